@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, license_scan, token_files
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE = {}
