@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, quality, token_files
+from . import byte_bpe, decontaminate, license_scan, pii, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_pii": pii.op5_pii,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_token_files": token_files.op10_token_files,
