@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, pii, quality, token_files
+from . import byte_bpe, decontaminate, license_scan, line_dedup, pii, quality, simhash, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_pii": pii.op5_pii,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_token_files": token_files.op10_token_files,
@@ -15,4 +17,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
 }

@@ -64,6 +64,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """A small side of a join: broadcast if it has at most max_rows rows, else joined by a shuffle. df must be kept()."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a shared folder; any scheme that pyarrow knows."""
     from pyarrow import fs
