@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, line_dedup, pii, quality, simhash, token_files
+from . import byte_bpe, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_pii": pii.op5_pii,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_token_files": token_files.op10_token_files,
