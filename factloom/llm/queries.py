@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, token_files
+from . import byte_bpe, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_warc": warc.op4_warc,
     "op5_pii": pii.op5_pii,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_lm_score": lm_score.op7_lm_score,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }
