@@ -1,13 +1,18 @@
 r"""SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into three segments. Two fingerprints that differ in at most four bits differ in at most
-one bit of some segment, so they agree on that segment with one bit deleted: every segment is indexed once per deleted bit
-(64 keys a fingerprint). Equal keys are joined and the fingerprints verified, exactly and without a cap.
+A fingerprint of 64 bits is cut into five segments. Four differing bits leave one segment intact at least; if only one is
+intact, every other differs in exactly one bit. So two linked fingerprints agree either on two segments, or on one segment
+and the next one with one bit deleted. Every fingerprint is indexed by its segments, each with the next one's one-wildcard
+variants (64 keys), which cover intact neighbours too, and by the five pairs of segments that aren't neighbours. Equal keys
+are joined and the fingerprints verified, exactly and without a cap; keys have 24 to 26 bits besides their number.
 
 Copies cost nothing: equal fingerprints are one class before anything is joined. Large groups of near copies would still
-give all their pairs, so links are made in two steps that reach the same components. First every key links its members to
-the least of them, where that link holds, and components are taken over these links. Then classes that share a key but not
-yet a component are joined and verified; what the first step has merged isn't paired again.
+give all their pairs, so links are made in steps that reach the same components. First every key links its members to one
+of them, where that link holds, several times with another one each; components are taken over these links. Only then
+members of a key that are still in different components are joined and verified.
+
+`deduplicate` finds documents whose sets of five-word shingles have a similarity of 0.8 or more, which may differ in far
+more than four of 64 bits: see there.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; a text of fewer words than a
 shingle is one shingle; a null id belongs to the class of its text but is never a component's id unless the component has
@@ -16,40 +21,64 @@ no other; repeated rows keep their own rows; only the id and text columns are re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components
-from .support import kept, prepare, spaced_words, table
+from .support import bounded, kept, prepare, spaced_words, table
 
 #: (first bit, bits) of the segments, and the most bits by which linked fingerprints differ.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 4
+#: How often keys link their members to one of them before pairs are joined.
+ROUNDS = 4
 SEED = 42
-_CHUNK = 1 << 15
+_CHUNK = 1 << 14
+#: Rows of ids that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """The fingerprint of a whole text: a bit is set if over half the shingles' hashes set it."""
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in parts; a text without words has none."""
     words = spaced_words(text.encode()) if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxh64_intdigest(joined, SEED)
+        yield np.array([xxh64_intdigest(joined, SEED)], "<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = ends[size - 1 :].tolist()
     first = [0, *(ends[: len(words) - size] + 1).tolist()]
-    set_bits = np.zeros(64, np.int64)
     for k in range(0, len(last), _CHUNK):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k : k + _CHUNK], last[k : k + _CHUNK], strict=True)], "<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << b for b in np.flatnonzero(2 * set_bits > len(last)).tolist()))
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k : k + _CHUNK], last[k : k + _CHUNK], strict=True)], "<u8")
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    """The bits that over half of the hashes have."""
+    total, seen = sum(map(len, parts)), np.zeros(64, np.int64)
+    for h in parts:
+        seen += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return sum(1 << b for b in np.flatnonzero(2 * seen > total).tolist())
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """The fingerprint of a whole text: a bit is set if over half the shingles' hashes set it."""
+    return _majority(list(shingle_hashes(text, size)))
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another independent hash of hashed shingles (the finaliser of splitmix64)."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -65,62 +94,166 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, fp long")
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """Every fp with its 64 one-wildcard segment variants: key holds the deleted bit's number and the segment's other bits."""
-    arms = []
-    for first, bits in SEGMENTS:
-        arms += [(1 << first + b, ((1 << bits) - 1 << first) & ~(1 << first + b)) for b in range(bits)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def signatures() -> list[Column]:
+    """The keys of a fingerprint fp, as hashes of the key's number and the bits it holds."""
+    bits = [((1 << n) - 1) << first for first, n in SEGMENTS]
+    count = len(SEGMENTS)
+    masks = [bits[a] | bits[(a + 1) % count] & ~(1 << SEGMENTS[(a + 1) % count][0] + b) for a in range(count) for b in range(SEGMENTS[(a + 1) % count][1])]
+    masks += [bits[a] | bits[c] for a in range(count) for c in range(a + 2, count) if (c + 1) % count != a]
+    return [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(masks)]
+
+
+def within_distance(a: str, b: str) -> Column:
+    """Whether the fingerprints <a>fp and <b>fp are linked."""
+    return F.expr(f"bit_count({a}fp ^ {b}fp) <= {DISTANCE}")
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
 
-    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long"))) for k, (_, mask) in enumerate(arms)]
-    return fps.select("fp", *[c for c in fps.columns if c != "fp"], F.explode(F.array(*keys)).alias("key"))
+def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column]) -> DataFrame:
+    """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
+    fps: fp (distinct longs) and whatever near reads; near: whether two rows are linked, given prefixes of their columns.
+    """
+    carried = fps.columns
+    keyed = fps.select(*carried, F.explode(F.array(*keys)).alias("key"))
+    # keys of two members at least; most have one
+    several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
+    shared = kept(keyed.join(several, "key"))
+    roots = None
+    for r in range(ROUNDS):
+        rooted = _rooted(shared, roots)
+        pivot = rooted.groupBy("key").agg(F.min_by(F.struct(*carried, "root"), F.xxhash64("fp", F.lit(r))).alias("p"))
+        pivot = pivot.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*carried, "root")])
+        edges = kept(rooted.join(pivot, "key").where(F.col("root") != F.col("p_root")).where(near("", "p_")).select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
+        if edges.isEmpty():
+            break
+        roots = _merged(roots, edges)
+    # Members that are in different components by now. Of such a pair one at least is outside the component that most of
+    # the key's members are in, so only those are paired with all
+    rooted = _rooted(shared, roots)
+    main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = kept(rooted.join(main.select("key", "main"), "key"))
+    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", *carried, "root")])
+    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & near("", "o_")).select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
+    roots = _merged(roots, more)
+    return roots.select("fp", "root")
 
-def links(fps: DataFrame) -> DataFrame:
-    """Components of distinct fingerprints under DISTANCE: fp and root, for those that have a link to another one."""
 
-    def near(a: str, b: str):
-        return F.expr(f"bit_count({a} ^ {b}) <= {DISTANCE}")
+def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """shared with the root of each fp, itself where it has none."""
+    if roots is None:
+        return shared.withColumn("root", F.col("fp"))
+    return shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-    keyed = variants(fps)
-    # keys of two members at least, with the least member; most keys have one
-    least = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("top")).where("least <> top").select("key", "least")
-    shared = kept(keyed.join(least, "key").select("key", "fp", "least"))
-    # step 1: to the least member of each key, if that is near
-    first = kept(components(shared.where("fp <> least").where(near("fp", "least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))))
-    # step 2: members of a key that are in different components by now. Of such a pair one at least is outside the
-    # component that most of the key's members are in, so only those are paired with all
-    rooted = kept(shared.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
-    most = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    mixed = rooted.join(most, "key")
-    other = mixed.where("root <> main").select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    more = mixed.join(other, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("root2")) & near("fp", "fp2")).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct()
-    merged = kept(components(more)).select(F.col("node").alias("root"), F.col("root").alias("final"))
-    return first.select(F.col("node").alias("fp"), "root").join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root")).unionByName(
-        merged.join(first.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("fp"), F.col("final").alias("root"))
-    )
+
+def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """fp and root after more edges between roots."""
+    new = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    if roots is None:
+        return kept(new.select(F.col("old").alias("fp"), F.col("new").alias("root")))
+    new = kept(new)
+    moved = roots.join(new, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root"))
+    fresh = new.join(roots.select("root").distinct(), F.col("old") == F.col("root"), "left_anti").select(F.col("old").alias("fp"), F.col("new").alias("root"))
+    return kept(moved.unionByName(fresh))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """Per document: id, fp (signed long), class_id (least id with its fingerprint) and component_id (least id reachable)."""
     prints = kept(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
     classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id")))
-    rooted = classes.join(links(classes.select("fp")), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(links(classes.select("fp"), signatures(), within_distance), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     placed = kept(rooted.join(least, "root").select("fp", "class_id", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "fp", "class_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """docs, all their columns, with one document of each component: the one whose id is least (of rows that repeat both id and text, one)."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size).select(F.col(id_col).alias("_own"), "component_id")
-    gone = found.where(~F.col("_own").eqNullSafe(F.col("component_id"))).select("_own").distinct()
+# near copies of a given similarity
+
+#: 64-bit words of a wide fingerprint, least shingle hashes that tell whether a document can have a near copy at all, and
+#: the share of pairs at the threshold that signatures should find.
+WIDE, LEAST, RECALL = 8, 8, 0.99
+
+
+def bit_rate(similarity: float) -> float:
+    """The expected share of differing bits of two sets of equal size with a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which documents count as similar: 96 % of pairs at the threshold."""
+    p, n = bit_rate(similarity), 64 * WIDE
+    return int(n * p + 1.75 * math.sqrt(n * p * (1 - p)))
+
+
+def plan_segments(similarity: float, documents: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of segments: two bits wider than the logarithm of the documents, so that keys hold few
+    strangers; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit."""
+    bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 2))
+    p = bit_rate(similarity)
+    each = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    wanted = math.ceil(math.log(1 - RECALL) / math.log(1 - each))
+    places = [(w, k * bits, bits) for k in range(64 // bits) for w in range(WIDE)]
+    return places[:wanted]
+
+
+def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """_id, w0 ... (wide fingerprint over the set of shingles) and least (the LEAST smallest hashes) of each document."""
+    prepare(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide, least = np.zeros((batch.num_rows, WIDE), np.uint64), []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                parts = list(shingle_hashes(text, size))
+                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                least.append(h[:LEAST].view(np.int64))
+                for k in range(WIDE if len(h) else 0):
+                    wide[row, k] = _majority([_remixed(h[a : a + _CHUNK], k) for a in range(0, len(h), _CHUNK)])
+            columns = [batch.column(0), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE)), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", *(f"w{k}" for k in range(WIDE)), "least"])
+
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document: id and component_id, the least id reachable over pairs whose shingle sets are similar.
+
+    Similarity is judged by wide fingerprints (512 bits over the set of shingles), whose differing bits estimate it to
+    about 0.03. Only documents that share one of their eight least shingle hashes with another are indexed: others have
+    no partner at 0.8, but for 3 pairs in a million.
+    """
+    words = [f"w{k}" for k in range(WIDE)]
+    prints = kept(sketches(docs, id_col=id_col, text_col=text_col, size=size).withColumn("fp", F.xxhash64(*words)))
+    classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), *[F.first(c).alias(c) for c in (*words, "least")]))
+    least = classes.select("fp", F.explode("least").alias("h"))
+    met = least.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("h")
+    some = least.join(met, "h", "left_semi").select("fp").distinct()
+    candidates = kept(classes.join(some, "fp", "left_semi").select("fp", *words))
+    segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
+    masks = [(w, ((1 << n) - 1 << first) & ~(1 << first + b)) for w, first, n in segments for b in range(n)]
+    keys = [F.xxhash64(F.lit(k), F.col(f"w{w}").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, (w, m) in enumerate(masks)]
+
+    def near(a: str, b: str) -> Column:
+        return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
+
+    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    placed = kept(rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("fp", "component_id"))
+    return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all their columns, with one document of each component of similar documents: the one whose id is least (of
+    rows that repeat both id and text, one)."""
+    found = similar(docs, id_col=id_col, text_col=text_col, size=size, similarity=similarity).select(F.col(id_col).alias("_own"), "component_id")
+    own = F.col("_own").eqNullSafe(F.col("component_id"))
     # an id that is the least of one component may be in another one too, by a row that repeats it
-    stays = found.where(F.col("_own").eqNullSafe(F.col("component_id"))).groupBy("_own").agg(F.count("*").alias("n"))
-    gone = kept(gone.join(stays.select(F.col("_own").alias("_stay")), F.col("_own").eqNullSafe(F.col("_stay")), "left_anti"))
-    left = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_own")), "left_anti")
+    stays = found.where(own).select(F.col("_own").alias("_stay")).distinct()
+    gone = kept(found.where(~own).select("_own").distinct().join(stays, F.col("_own").eqNullSafe(F.col("_stay")), "left_anti"))
+    left = docs.join(bounded(gone, BROADCAST_ROWS), F.col(f"`{id_col}`").eqNullSafe(F.col("_own")), "left_anti")
     unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
     return left if unique else left.dropDuplicates([id_col, text_col])
 
