@@ -144,7 +144,8 @@ def filter_documents(docs: DataFrame, policy: str | tuple[str, ...] = POLICY, *,
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text_col).alias("_t"))
     judged = verdicts(ledger(packed, id_col="_doc", text_col="_t"), policy)
-    return judged.where("kept").select("_doc.*")
+    # not a filter: it would be pushed below the measures and evaluate them once for each use
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_doc")))).select("col.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
