@@ -9,8 +9,9 @@ The rounds of a piece and the rows of each are at most its bytes, so the rows of
 length. Pieces of over LONG bytes (a run of letters without any space) are contracted by the same rule with a heap
 instead, in n log n; pieces go to the query in batches of bounded total rows.
 
-Whole texts are first cut where the pattern always cuts, before a run of white space that follows something else, so the
-pattern runs once per distinct cut. A worker forgets its pieces and cuts when they exceed REMEMBERED.
+Whole texts are first cut where the pattern always cuts: before a run of white space that follows something else, and
+after a run of letters that other ASCII follows. So the pattern runs once per distinct cut. A worker forgets its pieces
+and cuts when they exceed REMEMBERED.
 
 Defined results: null text is empty: no ids, and it decodes to the empty text; repeated documents are encoded one by one;
 an empty table gives no rows; only the id and text columns are read, so other columns can't clash.
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import prepare, table
-from .token_files import CUT, _groups
+from .token_files import CUT, Store, _groups
 
 LONG = 200
-REMEMBERED = 300_000
+REMEMBERED = 2_000_000
 #: Rows of a recursive query at most, about.
 QUERY_ROWS = 2_000_000
 
@@ -40,17 +41,15 @@ _MERGE = """
 WITH RECURSIVE step(w, pos, tok, done) AS (
     SELECT w, pos, tok, false FROM start
     UNION ALL
-    SELECT w, pos, CASE WHEN here = best THEN merged ELSE tok END, best IS NULL
-    FROM (
-        SELECT *, min(here) OVER whole AS best, lag(here) OVER piece AS before
-        FROM (
-            SELECT p.w, p.pos, p.tok, m.merged, m.merged * 65536 + p.pos AS here
-            FROM (SELECT w, pos, tok, lead(tok) OVER piece AS nxt FROM step WHERE NOT done WINDOW piece AS (PARTITION BY w ORDER BY pos)) p
-            LEFT JOIN merges m ON m.a = p.tok AND m.b = p.nxt
-        )
-        WINDOW piece AS (PARTITION BY w ORDER BY pos), whole AS (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    (WITH pair AS MATERIALIZED (
+        SELECT s.w, s.pos, s.tok, s.npos, m.merged, m.merged * 65536 + s.pos AS here
+        FROM (SELECT w, pos, tok, lead(tok) OVER piece AS nxt, lead(pos) OVER piece AS npos FROM step WHERE NOT done WINDOW piece AS (PARTITION BY w ORDER BY pos)) s
+        LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
+    ), least AS (
+        SELECT w, min(here) AS best, arg_min(npos, here) AS gone FROM pair GROUP BY w
     )
-    WHERE best IS NULL OR before IS DISTINCT FROM best
+    SELECT p.w, p.pos, CASE WHEN p.here = l.best THEN p.merged ELSE p.tok END, l.best IS NULL
+    FROM pair p JOIN least l ON p.w = l.w WHERE l.gone IS DISTINCT FROM p.pos)
 )
 SELECT w, tok FROM step WHERE done ORDER BY w, pos
 """
@@ -81,11 +80,8 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.cuts: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.int64), 0
-        self.at: list[int] = []
-        self.size: list[int] = []
+        #: ids of known cuts and pieces; a piece by itself is a cut of one piece
+        self.store = Store()
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same contraction with a heap: leftmost pair of minimum rank first."""
@@ -111,63 +107,58 @@ class Codec:
             offer(before[k])
         return tuple(self.ranks[t] for t in tokens if t is not None)
 
-    def _merge(self, pieces: list[str]) -> None:
-        """Learn pieces, which aren't known yet."""
-        batch, rows = [], 0
-        for piece in pieces:
+    def _merge(self, pieces: list[tuple[int, str]]) -> None:
+        """Fill in pieces, given with their numbers."""
+        direct, batch, rows = [], [], 0
+        for k, piece in pieces:
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.pieces[piece] = (rank,)
+                direct.append((k, rank))
             elif len(data) > LONG:
-                self.pieces[piece] = self.merge_long(data)
+                ids = self.merge_long(data)
+                self.store.fill(np.array([k]), np.array(ids), np.array([len(ids)]))
             else:
-                batch.append((piece, data))
+                batch.append((k, data))
                 rows += len(data) * (len(data) + 1) // 2
                 if rows > QUERY_ROWS:
                     self._query(batch)
                     batch, rows = [], 0
+        if direct:
+            numbers, ids = np.array(direct).T
+            self.store.fill(numbers, ids, np.ones(len(ids), np.int64))
         if batch:
             self._query(batch)
 
-    def _query(self, batch: list[tuple[str, bytes]]) -> None:
+    def _query(self, batch: list[tuple[int, bytes]]) -> None:
         sizes = np.array([len(d) for _, d in batch])
         which = np.repeat(np.arange(len(batch)), sizes)
         pos = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.db.register("start", pa.table({"w": which, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(d for _, d in batch), np.uint8)]}))
         got = self.db.execute(_MERGE).fetchnumpy()
         self.db.unregister("start")
-        upto = np.searchsorted(got["w"], np.arange(len(batch) + 1)).tolist()
-        tokens = got["tok"].tolist()
-        for k, (piece, _) in enumerate(batch):
-            self.pieces[piece] = tuple(tokens[upto[k] : upto[k + 1]])
+        self.store.fill(np.array([k for k, _ in batch]), got["tok"], np.bincount(got["w"], minlength=len(batch)))
 
-    def _learn(self, cuts: list[str]) -> None:
+    def _learn(self, first: int, cuts: list[str]) -> None:
+        """Fill in cuts, numbered from first on."""
         split = [self.split(c) for c in cuts]
-        self._merge([p for p in dict.fromkeys(p for s in split for p in s) if p not in self.pieces])
-        for cut, parts in zip(cuts, split, strict=True):
-            got = [t for p in parts for t in self.pieces[p]]
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(got)] = got
-            self.cuts[cut] = len(self.at)
-            self.at.append(self.used)
-            self.size.append(len(got))
-            self.used += len(got)
+        several = [(first + k, parts) for k, parts in enumerate(split) if len(parts) > 1]
+        index, more, pieces = self.store.number([parts for _, parts in several])
+        self._merge([*((first + k, c) for k, (c, parts) in enumerate(zip(cuts, split, strict=True)) if len(parts) == 1), *enumerate(pieces, more)])
+        if several:
+            ids, size = self.store.gather(index)
+            starts = np.cumsum([0, *(len(parts) for _, parts in several[:-1])])
+            self.store.fill(np.array([k for k, _ in several]), ids, np.add.reduceat(size, starts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.at) > REMEMBERED:
+        if len(self.store.known) > REMEMBERED:
             self.forget()
         cuts = [CUT.findall(t) for t in texts]
-        flat = [x for c in cuts for x in c]
-        self._learn([x for x in dict.fromkeys(flat) if x not in self.cuts])
-        index = np.fromiter(map(self.cuts.__getitem__, flat), np.int64, len(flat))
-        size, at = np.array(self.size, np.int64)[index], np.array(self.at, np.int64)[index]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(at - (ends - size), size)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cuts)])]
-        return ids, np.diff(upto)
+        index, first, new = self.store.number(cuts)
+        if new:
+            self._learn(first, new)
+        ids, size = self.store.gather(index)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, cuts)])])
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of documents whose ids follow one another; an id outside the vocabulary is an error."""

@@ -54,23 +54,16 @@ def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), escapes
-    at = np.arange(n)
-    left = np.minimum(n, (at // BLOCK + 1) * BLOCK) - at  # ids up to the end of the block
     best = np.full(n, len(SELECTORS) - 1, np.uint8)
-    undecided = np.ones(n, bool)
-    most = int(v.max())
-    run_of: dict[int, np.ndarray] = {}
-    for k, (count, width) in enumerate(SELECTORS[:-1]):
-        if width not in run_of:
-            run_of.clear()
-            if most < 1 << width:
-                run_of[width] = left
-            else:
-                stop = np.where(v >> np.uint64(width), at, n)
-                run_of[width] = np.minimum(np.minimum.accumulate(stop[::-1])[::-1] - at, left)
-        fits = undecided & (run_of[width] >= count)
-        best[fits] = k
-        undecided &= ~fits
+    narrow: dict[int, np.ndarray] = {}
+    for k in range(len(SELECTORS) - 2, -1, -1):  # the first selector that fits is the last to be set
+        count, width = SELECTORS[k]
+        if width not in narrow:
+            narrow = {width: np.flatnonzero(v < np.uint64(1 << width))}
+        here = narrow[width]
+        if len(here) >= count:
+            start = here[: len(here) - count + 1][here[count - 1 :] - here[: len(here) - count + 1] == count - 1]
+            best[start[start % BLOCK <= BLOCK - count]] = k
     counts = np.array([c for c, _ in SELECTORS])
     step = counts[best]
     blocks = -(-n // BLOCK)

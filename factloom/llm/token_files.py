@@ -5,8 +5,9 @@ files only where one id has very many rows. Each task encodes its documents in b
 under a name of its own, then renames: a task that runs again, or twice, leaves the same files. A manifest with one row
 per file gives every file its global start.
 
-Texts are cut where the pre-tokenizer always cuts, before a run of white space that follows something else; distinct cuts
-are encoded once by the tokenizers library and remembered by the worker (bounded).
+Texts are cut where the pre-tokenizer always cuts: before a run of white space that follows something else, and after a
+run of letters that other ASCII follows. Distinct cuts are encoded once by the tokenizers library and remembered by the
+worker (bounded).
 
 Defined results: null text is empty and has the end id alone; null ids come first; rows that repeat an id are ordered by
 text and have one result each; an empty table gives no files and no rows; only the id and text columns are read.
@@ -15,8 +16,9 @@ text and have one result each; an empty table gives no files and no rows; only t
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,12 @@ from .support import file_system, fresh_dir, prepare, table
 END_ID = 2
 #: White space as Unicode's property White_Space has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Letters by Unicode, all of these, for a quick rule: such a run, if other ASCII or nothing follows it, is one match.
+LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
+CUT = re.compile(rf" ?[{LETTERS}]++(?=[\x00-\x7f]|\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+WORD = re.compile(rf" [{LETTERS}]+\Z").match
 #: Distinct cuts that a worker remembers, and ids in a file at most (one longer document is a file of its own).
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 IDS_A_FILE = 4 << 20
 
 
@@ -50,40 +55,70 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used, self.count = 0, 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, cuts: list[str]) -> None:
-        for k in range(0, len(cuts), 4096):
-            for cut, e in zip(part := cuts[k : k + 4096], self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                got = e.ids
-                while self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if self.count == len(self.at):
-                    self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-                self.ids[self.used : self.used + len(got)] = got
-                self.at[self.count], self.size[self.count] = self.used, len(got)
-                self.known[cut] = self.count
-                self.used, self.count = self.used + len(got), self.count + 1
+        self.store = Store()
+
+    def _ids(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of cuts in the order of the rest, ids, number of ids of each). Spaced words go to the library joined,
+        1000 a text: each is one word to its pre-tokenizer, and the word numbers it reports divide the ids again."""
+        single = np.fromiter((WORD(c) is not None for c in cuts), bool, len(cuts))
+        order = np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)])
+        words, other = [cuts[k] for k in order[: single.sum()].tolist()], [cuts[k] for k in order[single.sum() :].tolist()]
+        texts = ["".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        ids, sizes = [], []
+        for k, e in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=1)
+            if len(size) != len(words[1000 * k : 1000 * (k + 1)]):
+                raise ValueError("the tokenizer doesn't split text as this module does")
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(size)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        return order, np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if self.count > REMEMBERED:
+        if len(self.store.known) > REMEMBERED:
             self.forget()
         cuts = [CUT.findall(t) for t in texts]
-        flat = [x for c in cuts for x in c]
-        index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(new := np.flatnonzero(index < 0)):
-            self._learn(list(dict.fromkeys(flat[i] for i in new.tolist())))
-            index[new] = np.fromiter((self.known[flat[i]] for i in new.tolist()), np.int64, len(new))
-        size = self.size[index]
+        index, first, new = self.store.number(cuts)
+        for k in range(0, len(new), 50_000):
+            order, ids, sizes = self._ids(new[k : k + 50_000])
+            self.store.fill(first + k + order, ids, sizes)
+        ids, size = self.store.gather(index)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, cuts)])])
+
+
+class Store:
+    """The ids of numbered texts: those of text k are ids[at[k] : at[k] + size[k]]."""
+
+    def __init__(self):
+        self.known: defaultdict = defaultdict(count().__next__)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def number(self, cuts: list[list[str]]) -> tuple[np.ndarray, int, list[str]]:
+        """(numbers of all cuts, first new number, the new cuts in order), which the caller has to fill."""
+        before = len(self.known)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
+        return index, before, list(islice(self.known, before, None))
+
+    def fill(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Set the ids of texts by number; ids follow one another."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.known) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts by number, one after another; the number of ids of each)."""
+        size = self.size[index].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.at[index] - (ends - size), size)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cuts)])]
-        return ids, np.diff(upto)
+        return self.ids[np.arange(total) + np.repeat(self.at[index] - (ends - size), size)], size
 
 
 _encoders: dict[str, Encoder] = {}
