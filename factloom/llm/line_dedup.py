@@ -34,16 +34,20 @@ BROADCAST_ROWS = 500_000
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, th (hash of the text), no and norm (words joined by single spaces) of every line."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "raw"))
-    flat = F.translate("raw", "\t\x0b\f\r", "    ")
-    rows = rows.select("_id", "th", "no", F.trim(flat).alias("flat"))
-    return rows.select("_id", "th", "no", F.when(F.contains("flat", F.lit("  ")), F.regexp_replace("flat", " +", " ")).otherwise(F.col("flat")).alias("norm"))
+    """_id, th (hash of the text), no and raw of every line."""
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "raw"))
+
+
+def _normal(rows: DataFrame) -> DataFrame:
+    """rows with norm, the words of raw joined by single spaces; most lines are so already and cost a few byte searches."""
+    odd = F.contains("raw", F.lit("\t")) | F.contains("raw", F.lit("\r")) | F.contains("raw", F.lit("\x0b")) | F.contains("raw", F.lit("\f"))
+    rows = rows.withColumn("raw", F.trim(F.when(odd, F.translate("raw", "\t\x0b\f\r", "    ")).otherwise(F.col("raw"))))
+    return rows.withColumn("norm", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))).drop("raw")
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines of MIN_WORDS or more: at (their place), n, h and h2 (hashes of the line), keys of their halves."""
-    rows = _exploded(docs, id_col, text_col).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    rows = _normal(_exploded(docs, id_col, text_col)).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
     keys = []
     for m in ("n", "n - 1"):
         keys += [f"xxhash64(0, {m}, substring_index(norm, ' ', cast(({m}) div 2 as int)))", f"xxhash64(1, {m}, substring_index(norm, ' ', -cast({m} - ({m}) div 2 as int)))"]
@@ -111,7 +115,7 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the words of candidates, from their first place
     places = bounded(wanted.select("h", F.col("at._id").alias("p_id"), F.col("at.th").alias("p_th"), F.col("at.no").alias("p_no"), "at"), BROADCAST_ROWS)
     texts = _exploded(docs, id_col, text_col).join(places, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("th").eqNullSafe(F.col("p_th")) & (F.col("no") == F.col("p_no")))
-    words = kept(texts.select("h", "at", F.split("norm", " ").alias("words")).dropDuplicates(["h"]))
+    words = kept(_normal(texts).select("h", "at", F.split("norm", " ").alias("words")).dropDuplicates(["h"]))
     near = _verified(_witnesses(words), words).withColumn("near", F.lit(True))
     marked = distinct.join(near, "h", "left").where("c > 1 or near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(kept(marked), ["h", "h2"]).where("near or at <> first")
