@@ -142,7 +142,7 @@ def rules() -> tuple[Rule, ...]:
     for label, ids, names in LICENSES:
         for x in ids:
             add(label, 5, 1.0, "spdx", f"spdx licen[sc]e identifier {x}")
-            add(label, 4, 0.9, "licen", f"licen[sc]ed? (?:is |under (?:the )?)?{x}")
+            add(label, 3, 0.9, "licen", f"licen[sc]ed? (?:is |under (?:the )?)?{x}")
         for name in names:
             keyword = "creative commons" if name.startswith("creative commons") else "licen" if "licen" in name else ""
             for priority, score, frame in FRAMES:

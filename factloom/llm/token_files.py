@@ -37,7 +37,7 @@ LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 CUT = re.compile(rf" ?[{LETTERS}]++(?=[\x00-\x7f]|\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORD = re.compile(rf" [{LETTERS}]+\Z").match
 #: Distinct cuts that a worker remembers, and ids in a file at most (one longer document is a file of its own).
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 IDS_A_FILE = 4 << 20
 
 
@@ -101,7 +101,8 @@ class Store:
         """(numbers of all cuts, first new number, the new cuts in order), which the caller has to fill."""
         before = len(self.known)
         index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
-        return index, before, list(islice(self.known, before, None))
+        new = list(islice(reversed(self.known), len(self.known) - before))
+        return index, before, new[::-1]
 
     def fill(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Set the ids of texts by number; ids follow one another."""
