@@ -161,8 +161,13 @@ def in_cidr(ip: Column, block: str) -> Column:
 def encrypt(text: Column, key: str, iv: Column | None = None) -> Column:
     hashed = F.unhex(F.sha2(F.lit(key), 256))
     sealed = F.aes_encrypt(text, hashed, F.lit("GCM"), F.lit("DEFAULT"), iv) if iv is not None else F.aes_encrypt(text, hashed, F.lit("GCM"))
-    n = F.octet_length(sealed)  # Spark: iv, ciphertext, tag
-    return F.base64(F.concat(F.substring(sealed, 1, 12), F.substring(sealed, n - 15, F.lit(16)), F.substring(sealed, F.lit(13), n - 28)))
+    # bound once: without a given iv every mention would seal again, with another one
+
+    def ordered(x: Column) -> Column:  # Spark has iv, ciphertext, tag
+        n = F.octet_length(x)
+        return F.base64(F.concat(F.substring(x, 1, 12), F.substring(x, n - 15, F.lit(16)), F.substring(x, F.lit(13), n - 28)))
+
+    return F.element_at(F.transform(F.array(sealed), ordered), 1)
 
 
 def decrypt(sealed: Column, key: str) -> Column:

@@ -95,7 +95,7 @@ def arithmetic(op: str, a: Column, b: Column, ta: T.DataType, tb: T.DataType) ->
         power = F.aggregate(F.array_repeat(exact(a, ta), b.cast("int")), one, lambda x, y: (x * y).cast("decimal(38,0)" if integers else "decimal(38,10)"))
         return power.cast("bigint") if integers else power
     if op == "/":
-        return F.round(exact(a, ta).cast("decimal(24,7)") / exact(b, tb).cast("decimal(19,7)"), 13).cast("decimal(38,13)")
+        return F.round(exact(a, ta).cast("decimal(20,7)") / exact(b, tb).cast("decimal(20,7)"), 13).cast("decimal(38,13)")
     if op not in ("+", "-", "*"):
         raise ValueError(f"unknown operator {op!r}")
     if integers:
@@ -218,7 +218,7 @@ class Compiler:
 
     def _calc(self, src, op, i, j):
         r = self(src)
-        df = r.df.where(_c(j) != 0) if op == "/" else r.df
+        df = r.df.where(exact(_c(j), r.type(j)) != 0) if op == "/" else r.df
         return Relation(df.withColumn(f"c{r.width + 1}", arithmetic(op, _c(i), _c(j), r.type(i), r.type(j))), r.keys)
 
     def _pairwith(self, src, v):
