@@ -171,7 +171,8 @@ def encrypt(text: Column, key: str, iv: Column | None = None) -> Column:
 
 
 def decrypt(sealed: Column, key: str) -> Column:
-    raw = F.unbase64(sealed)
-    n = F.octet_length(raw)
-    spark_order = F.concat(F.substring(raw, 1, 12), F.substring(raw, F.lit(29), n - 28), F.substring(raw, 13, 16))
-    return F.aes_decrypt(spark_order, F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM")).cast("string")
+    def opened(raw: Column) -> Column:
+        spark_order = F.concat(F.substring(raw, 1, 12), F.substring(raw, F.lit(29), F.octet_length(raw) - 28), F.substring(raw, 13, 16))
+        return F.aes_decrypt(spark_order, F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM")).cast("string")
+
+    return F.element_at(F.transform(F.array(F.unbase64(sealed)), opened), 1)
