@@ -15,7 +15,7 @@ from .plans import rmap
 from .plans.recipe import printed, relation
 from .plans.rules import closure, cycle_core, derive
 from .schema import Constraint, Machine, Rule, Transition
-from .star import lines, star_store, table
+from .star import star_store, table
 from .types import Domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

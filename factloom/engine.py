@@ -20,7 +20,7 @@ from .plans import machine as mach
 from .plans.recipe import Recipe, Relation, relation
 from .plans.rules import derive, explain, refused
 from .plans.tx import REFUSED, Answer, Snapshots, Writer
-from .schema import Machine, Schema
+from .schema import Machine
 from .session import kept
 from .store import FactStore
 

@@ -10,7 +10,7 @@ from factloom.plans import rmap
 from factloom.plans.recipe import relation
 from factloom.plans.rules import derive
 from factloom.schema import DEONTIC
-from factloom.sources import federation, files
+from factloom.sources import federation, files, replica
 from factloom.store import FactStore, flag, from_table, reference_facts
 
 
@@ -197,3 +197,8 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         r.for_rules("partial")
     assert r.unregistered({"twice", "x"}) == {"x"} and r.pick(1, 2) == 1
+
+
+def test_listed(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", 9), (4, "a", 7)], "k int, g string, v int")
+    assert [r.k for r in replica.listed(df, where={"g": "a"}, sort="v", descending=True, limit=2).collect()] == [2, 4]
