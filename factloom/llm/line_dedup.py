@@ -46,19 +46,35 @@ def _normal(rows: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines of MIN_WORDS or more: at (their place), n, h and h2 (hashes of the line), keys of their halves."""
-    rows = _normal(_exploded(docs, id_col, text_col)).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
-    keys = []
-    for m in ("n", "n - 1"):
-        keys += [f"xxhash64(0, {m}, substring_index(norm, ' ', cast(({m}) div 2 as int)))", f"xxhash64(1, {m}, substring_index(norm, ' ', -cast({m} - ({m}) div 2 as int)))"]
-    return rows.select(F.struct("_id", "th", "no").alias("at"), "n", F.xxhash64("norm").alias("h"), F.hash("norm").alias("h2"), F.expr(f"array({', '.join(keys)})").alias("keys"))
+    """Lines of MIN_WORDS or more: at (their place), n, h and h2 (hash and length of the line), keys of their halves.
+
+    A line of n words may be the shorter of a pair (m = n) or the longer (m = n - 1); its keys are m with its first m/2
+    words, and m with its last m - m/2 words. Two prefixes give all four: one of n/2 words, and one of a word more (n odd)
+    or less (n even).
+    """
+    rows = _normal(_exploded(docs, id_col, text_col))
+    rows = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    half, odd = (F.col("n") / 2).cast("int"), F.col("n") % 2 == 1
+    rows = rows.withColumns({"p": F.call_function("substring_index", "norm", F.lit(" "), half), "q": F.call_function("substring_index", "norm", F.lit(" "), half + F.when(odd, 1).otherwise(-1))})
+
+    def after(prefix: str):
+        return F.substring("norm", F.length(prefix) + 2, F.lit(1 << 30))
+
+    n, m = F.col("n"), F.col("n") - 1
+    keys = [
+        F.xxhash64(F.lit(0), n, "p"),
+        F.xxhash64(F.lit(1), n, after("p")),
+        F.xxhash64(F.lit(0), m, F.when(odd, F.col("p")).otherwise(F.col("q"))),
+        F.xxhash64(F.lit(1), m, F.when(odd, after("q")).otherwise(after("p"))),
+    ]
+    return rows.select(F.struct("_id", "th", "no").alias("at"), "n", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("h2"), F.array(*keys).alias("keys"))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
     """h and at of lines that share a half with a different line."""
     halves = distinct.select("h", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    return halves.join(shared, "key", "left_semi").select("h").distinct()
+    shared = kept(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
+    return halves.join(bounded(shared, BROADCAST_ROWS), "key", "left_semi").select("h").distinct()
 
 
 def _witnesses(lines: DataFrame) -> DataFrame:
@@ -118,7 +134,7 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     words = kept(_normal(texts).select("h", "at", F.split("norm", " ").alias("words")).dropDuplicates(["h"]))
     near = _verified(_witnesses(words), words).withColumn("near", F.lit(True))
     marked = distinct.join(near, "h", "left").where("c > 1 or near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(kept(marked), ["h", "h2"]).where("near or at <> first")
+    gone = lines.join(bounded(kept(marked), BROADCAST_ROWS), ["h", "h2"]).where("near or at <> first")
     by = gone.groupBy(F.col("at._id").alias("_id"), F.col("at.th").alias("th"))
     return by.agg(F.collect_set("at.no").alias("gone"), F.collect_set(F.when(F.col("at") == F.col("first"), F.col("at.no"))).alias("near"))
 
