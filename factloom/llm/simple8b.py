@@ -24,13 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC = b"S8BIDS01"
-BLOCK = 8192
+BLOCK = 1024
 #: (values in a word, bits of each) by selector; widths 0 are runs of zeros.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
 
 #: Values packed at once; blocks are independent, so this bounds memory only.
-_SLICE = 64 * BLOCK
+_SLICE = 512 * BLOCK
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,15 +55,19 @@ def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), escapes
     best = np.full(n, len(SELECTORS) - 1, np.uint8)
-    narrow: dict[int, np.ndarray] = {}
+    at = np.arange(n)
+    left = np.minimum(BLOCK - at % BLOCK, n - at)  # values up to the end of the block
+    narrow, last, most = at, 64, int(v.max())  # places of values of at most `last` bits
     for k in range(len(SELECTORS) - 2, -1, -1):  # the first selector that fits is the last to be set
         count, width = SELECTORS[k]
-        if width not in narrow:
-            narrow = {width: np.flatnonzero(v < np.uint64(1 << width))}
-        here = narrow[width]
-        if len(here) >= count:
-            start = here[: len(here) - count + 1][here[count - 1 :] - here[: len(here) - count + 1] == count - 1]
-            best[start[start % BLOCK <= BLOCK - count]] = k
+        if most < 1 << width:
+            best[left >= count] = k
+            continue
+        if width < last:
+            last, narrow = width, narrow[v[narrow] < np.uint64(1 << width)]
+        if len(narrow) >= count:
+            start = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
+            best[start[left[start] >= count]] = k
     counts = np.array([c for c, _ in SELECTORS])
     step = counts[best]
     blocks = -(-n // BLOCK)
