@@ -33,9 +33,9 @@ from .support import prepare, table
 from .token_files import CUT, Store, _groups
 
 LONG = 200
-REMEMBERED = 2_000_000
+REMEMBERED = 750_000
 #: Rows of a recursive query at most, about.
-QUERY_ROWS = 2_000_000
+QUERY_ROWS = 1_000_000
 
 _MERGE = """
 WITH RECURSIVE step(w, pos, tok, done) AS (
@@ -70,7 +70,7 @@ class Codec:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         a, b, r = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
         merges = pa.table({"a": a, "b": b, "merged": r})  # noqa: F841  (a rank is the merged token's id)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
