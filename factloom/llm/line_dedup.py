@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import bounded, kept, table
+from .support import bounded, kept, table, written
 
 MIN_WORDS = 5
 #: Rows of candidate lines, or of documents to change, that may be broadcast (a few dozen bytes each).
@@ -84,7 +84,7 @@ def _witnesses(lines: DataFrame) -> DataFrame:
     rows = lines.select("h", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     rows = rows.select("h", "at", "n", "i", F.xxhash64("word", "i").alias("g"), F.xxhash64("word", F.col("i") - 1).alias("s"))
     rows = rows.select("h", "at", "n", "i", F.bit_xor("g").over(spot).alias("x"), "g", F.bit_xor("g").over(upto).alias("gu"), F.bit_xor("s").over(upto).alias("su"), F.bit_xor("s").over(spot).alias("sx"))
-    variants = kept(
+    variants = written(
         rows.select(
             "h",
             "at",
@@ -93,7 +93,8 @@ def _witnesses(lines: DataFrame) -> DataFrame:
             "x",
             F.xxhash64("n", "i", F.col("x").bitwiseXOR(F.col("g"))).alias("replaced"),
             F.col("gu").bitwiseXOR(F.col("g")).bitwiseXOR(F.col("su")).bitwiseXOR(F.col("sx")).alias("deleted"),
-        )
+        ),
+        "variants",
     )
     # one word replaced: the earliest line of a key is within an edit of all others
     first = variants.groupBy("replaced").agg(F.min(F.struct("at", "h")).alias("e"), F.count("*").alias("c")).where("c > 1").select("replaced", "e")
@@ -125,7 +126,7 @@ def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses lines: _id, th, gone (line numbers from 0) and n_near (those that equal no earlier line)."""
-    lines = kept(_hashed(docs, id_col, text_col))
+    lines = written(_hashed(docs, id_col, text_col), "lines")
     distinct = kept(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("keys").alias("keys")))
     wanted = kept(_candidates(distinct).join(distinct.select("h", F.col("first").alias("at")), "h"))
     # the words of candidates, from their first place

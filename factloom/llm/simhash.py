@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components
-from .support import bounded, kept, prepare, spaced_words, table
+from .support import bounded, kept, prepare, release, spaced_words, table, written
 
 #: (first bit, bits) of the segments, and the most bits by which linked fingerprints differ.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 4
 #: How often keys link their members to one of them before pairs are joined.
-ROUNDS = 4
+ROUNDS = 3
 SEED = 42
 _CHUNK = 1 << 14
 #: Rows of ids that may be broadcast.
@@ -112,31 +112,51 @@ def within_distance(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a}fp ^ {b}fp) <= {DISTANCE}")
 
 
-def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column]) -> DataFrame:
+def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column], hints: DataFrame | None = None) -> DataFrame:
     """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
-    fps: fp (distinct longs) and whatever near reads; near: whether two rows are linked, given prefixes of their columns.
+    fps: fp (distinct longs) and whatever else near reads; near: whether two rows are linked, given prefixes of their
+    columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
+    merge needn't be found by the many keys. Rows of keys hold fp alone; the other columns are joined to the rows that are
+    compared.
     """
-    carried = fps.columns
-    keyed = fps.select(*carried, F.explode(F.array(*keys)).alias("key"))
-    # keys of two members at least; most have one
-    several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    shared = kept(keyed.join(several, "key"))
-    roots = None
-    for r in range(ROUNDS):
-        rooted = _rooted(shared, roots)
-        pivot = rooted.groupBy("key").agg(F.min_by(F.struct(*carried, "root"), F.xxhash64("fp", F.lit(r))).alias("p"))
-        pivot = pivot.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*carried, "root")])
-        edges = kept(rooted.join(pivot, "key").where(F.col("root") != F.col("p_root")).where(near("", "p_")).select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
-        if edges.isEmpty():
-            break
-        roots = _merged(roots, edges)
+    more_columns = [c for c in fps.columns if c != "fp"]
+
+    def full(df: DataFrame, prefix: str) -> DataFrame:
+        """df with the other columns of its column <prefix>fp, under that prefix."""
+        if not more_columns:
+            return df
+        return df.join(fps.select(F.col("fp").alias(f"{prefix}fp"), *[F.col(c).alias(f"{prefix}{c}") for c in more_columns]), f"{prefix}fp")
+
+    def pivoted(shared: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """roots after every key has linked its members to one of them, several times with another one each."""
+        for r in range(ROUNDS):
+            rooted = _rooted(shared, roots)
+            pivot = rooted.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(r))).alias("p"))
+            pivot = pivot.select("key", F.col("p.fp").alias("p_fp"), F.col("p.root").alias("p_root"))
+            pairs = rooted.join(pivot, "key").where(F.col("root") != F.col("p_root")).select("fp", "root", "p_fp", "p_root")
+            if more_columns:
+                pairs = full(full(pairs.distinct(), ""), "p_")
+            edges = kept(pairs.where(near("", "p_")).select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
+            if edges.isEmpty():
+                break
+            roots = _merged(roots, edges)
+            del rooted, pivot, pairs, edges
+            release(fps.sparkSession)
+        return roots
+
+    roots = pivoted(kept(hints), None) if hints is not None else None
+    keyed = _rooted(fps, roots).select("fp", "root", F.explode(F.array(*keys)).alias("key"))
+    # keys that bring different components together; most have one member
+    several = kept(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+    shared = written(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp"), "signatures")
+    roots = pivoted(shared, roots)
     # Members that are in different components by now. Of such a pair one at least is outside the component that most of
     # the key's members are in, so only those are paired with all
     rooted = _rooted(shared, roots)
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = kept(rooted.join(main.select("key", "main"), "key"))
-    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", *carried, "root")])
+    mixed = written(full(rooted.join(main.select("key", "main"), "key"), ""), "mixed")
+    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", *more_columns)])
     more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & near("", "o_")).select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
     roots = _merged(roots, more)
     return roots.select("fp", "root")
@@ -146,7 +166,7 @@ def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """shared with the root of each fp, itself where it has none."""
     if roots is None:
         return shared.withColumn("root", F.col("fp"))
-    return shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return shared.join(bounded(roots, BROADCAST_ROWS), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -172,9 +192,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 # near copies of a given similarity
 
-#: 64-bit words of a wide fingerprint, least shingle hashes that tell whether a document can have a near copy at all, and
-#: the share of pairs at the threshold that signatures should find.
-WIDE, LEAST, RECALL = 8, 8, 0.99
+#: 64-bit words of a wide fingerprint; least shingle hashes that tell whether a document can have a near copy at all, and how
+#: many of them others have to have; the share of pairs at the threshold that signatures should find.
+WIDE, LEAST, MET, RECALL = 8, 16, 8, 0.97
 
 
 def bit_rate(similarity: float) -> float:
@@ -189,9 +209,9 @@ def most_bits(similarity: float) -> int:
 
 
 def plan_segments(similarity: float, documents: int) -> list[tuple[int, int, int]]:
-    """(word, first bit, bits) of segments: two bits wider than the logarithm of the documents, so that keys hold few
+    """(word, first bit, bits) of segments: four bits wider than the logarithm of the documents, so that keys hold few
     strangers; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit."""
-    bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 2))
+    bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 4))
     p = bit_rate(similarity)
     each = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     wanted = math.ceil(math.log(1 - RECALL) / math.log(1 - each))
@@ -223,16 +243,19 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id and component_id, the least id reachable over pairs whose shingle sets are similar.
 
     Similarity is judged by wide fingerprints (512 bits over the set of shingles), whose differing bits estimate it to
-    about 0.03. Only documents that share one of their eight least shingle hashes with another are indexed: others have
-    no partner at 0.8, but for 3 pairs in a million.
+    about 0.03. Only documents of whose LEAST smallest shingle hashes others have MET or more among theirs are indexed
+    (all they have, if that is fewer): of two documents with a similarity of 0.8, each hash is shared with probability
+    0.8, so fewer than 8 of 16 are in 2 of 1000 such pairs.
     """
     words = [f"w{k}" for k in range(WIDE)]
     prints = kept(sketches(docs, id_col=id_col, text_col=text_col, size=size).withColumn("fp", F.xxhash64(*words)))
     classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), *[F.first(c).alias(c) for c in (*words, "least")]))
     least = classes.select("fp", F.explode("least").alias("h"))
     met = least.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("h")
-    some = least.join(met, "h", "left_semi").select("fp").distinct()
-    candidates = kept(classes.join(some, "fp", "left_semi").select("fp", *words))
+    some = least.join(met, "h", "left_semi").groupBy("fp").agg(F.count("*").alias("_met"))
+    candidates = classes.join(some, "fp").where(F.col("_met") >= F.least(F.lit(MET), F.ceil(F.size("least") * MET / LEAST)))
+    candidates = kept(candidates.select("fp", *words))
+    hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
     masks = [(w, ((1 << n) - 1 << first) & ~(1 << first + b)) for w, first, n in segments for b in range(n)]
     keys = [F.xxhash64(F.lit(k), F.col(f"w{w}").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, (w, m) in enumerate(masks)]
@@ -240,7 +263,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
 
-    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near, hints), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
     placed = kept(rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("fp", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
 

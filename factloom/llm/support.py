@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -64,6 +65,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, as a table in the shared folder: smaller than a checkpoint where values repeat."""
+    folder = fresh_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver to drop what nothing refers to any more, so that executors can delete the shuffle files of finished
+    rounds; Spark does so only after the driver's garbage is collected, which it may not need for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """A small side of a join: broadcast if it has at most max_rows rows, else joined by a shuffle. df must be kept()."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
