@@ -30,6 +30,8 @@ from .support import alnum_words, prepare
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Documents whose words a worker holds at once.
+SLICE = 256
 _BITS = 22
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -146,7 +148,7 @@ def scan(
     schema = T.StructType([f for f in source.schema if f.name != text_at] + RESULT.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             texts = batch.column(text_at).to_pylist()
             words = [alnum_words(t.encode()) if t else [] for t in texts]
             hits = [np.zeros(len(w), bool) for w in words]
