@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -131,7 +132,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
         items = sorted({(r.i, r.t) for r in part.toLocalIterator()}, key=lambda x: (x[0] or "", x[1]))
         if items:
-            blocks.append(spark.sparkContext.broadcast((k, items)))
+            # workers outlive a query, so the key tells this benchmark's blocks from any other's
+            blocks.append(spark.sparkContext.broadcast((uuid.uuid4().hex, items)))
     return blocks
 
 
