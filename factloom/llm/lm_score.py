@@ -4,17 +4,17 @@ Tokens are words `[^\x20\x09-\x0D]+` with A-Z lowered, then one end per document
 is not 0 train. The automaton has
 
   * a root, whose arcs are all training words: P(w) = (c(w) - D) / N;
-  * a state for each frequent word u (at least 1/STATES of all tokens, so at most STATES states) and for the end. Its arcs
-    are the frequent words seen after u: (c(uw) - D) / c(u) + b(u) P(w); its failure arc leads to the root with weight
-    b(u), what the arcs leave of u's mass;
+  * a state for each training word u and for the end. Its arcs are all words seen after u: (c(uw) - D) / c(u) + b(u) P(w);
+    its failure arc leads to the root with weight b(u) = D * T(u) / c(u), what the T(u) arcs leave of u's mass;
   * one arc from the root for any unseen word, with the mass D * V / N that discounting has freed.
 
 A document is traversed once from left to right: the state is that of the last word (the root if it has none); an arc is
 followed if there is one, else the failure arc and the root's arc.
 
-The vocabulary is never broadcast or collected. One pass over the texts writes blocks: documents as compressed word
-numbers, and the block's words with their training counts. Counts are summed by word over all blocks and joined back to
-(block, word); blocks then meet their own words only. What is broadcast has a proven bound: STATES**2 arcs.
+Neither vocabulary nor bigrams are broadcast or collected. One pass over the texts writes blocks: documents as compressed
+word numbers, the block's words with their training counts, and its distinct bigrams, dealt to PARTS * SLICES buckets by the
+hashes of both words and packed. Counts are summed by word, and by bigram within a bucket, over all blocks; blocks then
+meet the totals of their own words and bigrams only. A bigram's key is the 64-bit hashes of its two words.
 
 Defined results: null text is empty: its end alone; a null id counts as the empty text (crc32 0, held out); repeated rows
 each count and are scored; an empty table gives no rows; with no training document at all every word is unseen and
@@ -27,17 +27,22 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .support import fresh_dir, kept, prepare, spaced_words, table
+from .support import fresh_dir, kept, prepare, spaced_words, table, written
 
-#: A word has a state if it is at least 1/STATES of all training tokens.
+#: Scoring has no threshold: test_operators.py reads this where every word of its fixture reaches it.
 STATES = 2000
+#: Buckets of bigrams: so many by the first word, each in so many by the second, so that a common word's are dealt out.
+PARTS, SLICES = 64, 8
+SEED = 42
 DISCOUNT = 0.5
 #: The end of a document, as a word; no word is empty.
 END = b""
@@ -49,8 +54,53 @@ def held_out(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
 
 
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _bigrams(ids: np.ndarray) -> np.ndarray:
+    """A document's bigrams from end to end (word 0): the first word's number in the upper 31 of 63 bits."""
+    x = np.concatenate([np.zeros(1, np.uint64), ids.astype(np.uint64), np.zeros(1, np.uint64)])
+    return x[:-1] << np.uint64(32) | x[1:]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _summed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams, ascending, and their training counts, of bigrams with a last bit for training (codes is sorted)."""
+    codes.sort()
+    at = _starts(codes >> np.uint64(1))
+    return codes[at] >> np.uint64(1), np.add.reduceat((codes & np.uint64(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    """What of a word's hash tells the buckets of its bigrams."""
+    return (h % np.uint64(PARTS * SLICES)).astype(np.int16)
+
+
+def _bucket(places: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return places[pair >> np.uint64(32)] // SLICES * SLICES + places[pair & _LOW] % SLICES
+
+
+def _packed(first: np.ndarray, second: np.ndarray, c: np.ndarray) -> bytes:
+    """Bigrams whose first words come in runs: the runs' lengths and hashes, the second words' hashes, the counts."""
+    at = _starts(first)
+    return b"".join([np.array([len(c), len(at)], np.int64).tobytes(), np.diff(np.append(at, len(c))).tobytes(), first[at].tobytes(), second.tobytes(), c.tobytes()])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, runs = np.frombuffer(data, np.int64, 2).tolist()
+    x = np.frombuffer(data, np.uint64, offset=16)
+    return np.repeat(x[runs : 2 * runs], x[:runs].astype(np.int64)), x[2 * runs : 2 * runs + n], x[2 * runs + n :].astype(np.int64)
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """Rows of documents (_id, ids) and of words (word, lid, c) by block, written to the shared folder and read again."""
+    """Rows of documents (_id, ids), words (word, lid, c) and bigrams (bucket, data) by block, written to the shared folder and
+    read again."""
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -64,23 +114,46 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
         block, size = part, 0
         number: defaultdict = defaultdict(count().__next__)
         counts = np.zeros(0, np.int64)
+        codes: list[np.ndarray] = []
         id_type = None
 
         def start() -> None:
-            nonlocal number, counts, size
+            nonlocal number, counts, size, codes
             number = defaultdict(count().__next__)
             number[END]
-            counts, size = np.zeros(0, np.int64), 0
+            counts, size, codes = np.zeros(0, np.int64), 0, []
+
+        def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            empty = {"_id": id_type, "ids": pa.binary(), "word": pa.binary(), "lid": pa.int32(), "c": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *(columns[k] if k in columns else pa.nulls(n, t) for k, t in empty.items())], names=["block", *empty])
 
         def words() -> Iterator[pa.RecordBatch]:
             all_words, c = list(number), np.concatenate([counts, np.zeros(len(number) - len(counts), np.int64)])
             for k in range(0, len(all_words), 50_000):
                 w = all_words[k : k + 50_000]
                 n = len(w)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.nulls(n, id_type), pa.nulls(n, pa.binary()), pa.array(w, pa.binary()), pa.array(np.arange(k, k + n), pa.int32()), pa.array(c[k : k + n])],
-                    names=["block", "_id", "ids", "word", "lid", "c"],
-                )
+                yield batch_of(n, word=pa.array(w, pa.binary()), lid=pa.array(np.arange(k, k + n), pa.int32()), c=pa.array(c[k : k + n]))
+            yield from bigrams(all_words)
+
+        def bigrams(all_words: list[bytes]) -> Iterator[pa.RecordBatch]:
+            nonlocal codes
+            h = np.fromiter((xxh64_intdigest(w, SEED) for w in all_words), np.uint64, len(all_words))
+            x = np.concatenate([np.zeros(0, np.uint64), *codes])
+            codes = []
+            pair, c = _summed(x)
+            del x
+            buckets = _bucket(_places(h), pair)
+            order = np.argsort(buckets, kind="stable")
+            ends = np.cumsum(np.bincount(buckets, minlength=PARTS * SLICES))
+            out = []
+            for k in np.unique(buckets).tolist():
+                own = order[ends[k - 1] if k else 0 : ends[k]]
+                out.append((k, pack(_packed(h[pair[own] >> np.uint64(32)], h[pair[own] & _LOW], c[own]))))
+                if len(out) == 64:
+                    yield batch_of(64, bucket=pa.array([k for k, _ in out], pa.int32()), data=pa.array([d for _, d in out], pa.binary()))
+                    out = []
+            if out:
+                yield batch_of(len(out), bucket=pa.array([k for k, _ in out], pa.int32()), data=pa.array([d for _, d in out], pa.binary()))
 
         start()
         for whole in batches:
@@ -93,16 +166,15 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
                     ids = np.fromiter(map(number.__getitem__, found), np.uint32, len(found))
                     packed.append(pack(ids.tobytes()))
                     size += len(text or "")
-                    if not held_out(key):
+                    trains = not held_out(key)
+                    codes.append(_bigrams(ids) << np.uint64(1) | np.uint64(trains))
+                    if trains:
                         train += [ids, np.zeros(1, np.uint32)]  # word 0 is the end
                 seen = np.bincount(np.concatenate(train).astype(np.int64), minlength=len(number))
                 seen[: len(counts)] += counts
                 counts = seen
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), batch.column(0), pa.array(packed, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-                    names=["block", "_id", "ids", "word", "lid", "c"],
-                )
+                yield batch_of(n, _id=batch.column(0), ids=pa.array(packed, pa.binary()))
                 if size >= block_chars:
                     yield from words()
                     block += 1
@@ -111,36 +183,100 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
             yield from words()
 
     folder = fresh_dir(spark, "lm-blocks")
-    source.mapInArrow(run, f"block long, _id {kind}, ids binary, word binary, lid int, c long").write.parquet(folder)
+    source.mapInArrow(run, f"block long, _id {kind}, ids binary, word binary, lid int, c long, bucket int, data binary").write.parquet(folder)
     return spark.read.parquet(folder)
 
 
-def _pairs(docs: DataFrame, id_col: str, text_col: str, states: dict[bytes, int]) -> np.ndarray:
-    """How often each state's word follows each state's word in training documents, as a square matrix."""
-    size = len(states)
+def _totals(rows: DataFrame) -> DataFrame:
+    """Of bigrams: block, bucket and totals (training counts over all blocks, as _packed has them in order); u (a word's hash)
+    and t (its distinct followers in a bucket)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, end = np.zeros(size * size, np.int64), states[END]
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held_out(key):
-                    continue
-                words = spaced_words(text.encode()) if text else []
-                x = np.concatenate([[end], np.fromiter(map(states.get, words, repeat(-1)), np.int64, len(words)), [end]])
-                both = (x[:-1] >= 0) & (x[1:] >= 0)
-                np.add.at(seen, x[:-1][both] * size + x[1:][both], 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "c"])
+    def run(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        parts = [_unpacked(unpack(d)) for d in group.column("data").to_pylist()]
+        first, second, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((second, first))
+        at = _starts(first[order], second[order])
+        sums = np.add.reduceat(c[order], at)
+        total = np.empty(len(c), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(at, len(c))))
+        u, t = np.unique(first[order][at][sums > 0], return_counts=True)
+        ends = np.cumsum([len(x[2]) for x in parts])
+        n, m = len(parts), len(u)
+        back = [pack(x.tobytes()) for x in np.split(total, ends[:-1])]
+        columns = [
+            pa.concat_arrays([group.column("block").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([group.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(m, pa.int32())]),
+            pa.concat_arrays([pa.array(back, pa.binary()), pa.nulls(m, pa.binary())]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(u.view(np.int64))]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(t.astype(np.int64))]),
+        ]
+        return pa.table(columns, names=["block", "bucket", "totals", "u", "t"])
+
+    found = rows.where("bucket is not null").select("block", "bucket", "data")
+    return written(found.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary, u long, t long"), "lm-bigrams")
+
+
+class Automaton:
+    """States, arcs and failure weights over word numbers, as dense arrays; the root is the last state. Scoring takes the root
+    from it, and its states' arcs from _arcs."""
+
+    def __init__(self, n: int, v: int, states: dict[bytes, int], counts: np.ndarray, pairs: np.ndarray):
+        self.n, self.v, self.root = n, v, len(states)
+        self.end = states.get(END, self.root)
+        size = len(states)
+        self.arcs = np.full((size + 1, size + 1), np.nan)
+        self.failure = np.zeros(size + 1)
+        if size:
+            own = np.maximum(pairs - DISCOUNT, 0) / counts[:, None]
+            left = 1 - own.sum(1)
+            self.failure[:size] = np.log10(left)
+            seen = own + left[:, None] * (counts - DISCOUNT)[None, :] / n
+            self.arcs[:size, :size] = np.where(pairs > 0, np.log10(seen), np.nan)
+        self.unseen = math.log10(DISCOUNT * v / n) if n else 0.0
+
+    def at_root(self, c: np.ndarray) -> np.ndarray:
+        """log10 of the root's arcs of words with training counts c."""
+        return np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / max(self.n, 1)), self.unseen)
 
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = source.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(size * size, np.int64)
-    out[rows["pair"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
-    return out.reshape(size, size)
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """Of bigrams: block, bucket and totals (training counts over all blocks, as _packed has them in order); u (a word's hash)
+    and t (its distinct followers in a bucket)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        parts = [_unpacked(unpack(d)) for d in group.column("data").to_pylist()]
+        first, second, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((second, first))
+        at = _starts(first[order], second[order])
+        sums = np.add.reduceat(c[order], at)
+        total = np.empty(len(c), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(at, len(c))))
+        u, t = np.unique(first[order][at][sums > 0], return_counts=True)
+        ends = np.cumsum([len(x[2]) for x in parts])
+        n, m = len(parts), len(u)
+        back = [pack(x.tobytes()) for x in np.split(total, ends[:-1])]
+        columns = [
+            pa.concat_arrays([group.column("block").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([group.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(m, pa.int32())]),
+            pa.concat_arrays([pa.array(back, pa.binary()), pa.nulls(m, pa.binary())]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(u.view(np.int64))]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(t.astype(np.int64))]),
+        ]
+        return pa.table(columns, names=["block", "bucket", "totals", "u", "t"])
+
+    found = rows.where("bucket is not null").select("block", "bucket", "data")
+    return written(found.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary, u long, t long"), "lm-bigrams")
 
 
 class Automaton:
-    """States, arcs and failure weights over word numbers; the root is the last state."""
+    """States, arcs and failure weights over word numbers, as dense arrays; the root is the last state. Scoring takes the root
+    from it, and its states' arcs from _arcs."""
 
     def __init__(self, n: int, v: int, states: dict[bytes, int], counts: np.ndarray, pairs: np.ndarray):
         self.n, self.v, self.root = n, v, len(states)
@@ -168,6 +304,14 @@ class Automaton:
         return float(np.where(np.isnan(arc), self.failure[came] + at_root[ids], arc).sum())
 
 
+def _arcs(seen: np.ndarray, c: np.ndarray, t: np.ndarray, pair: np.ndarray, at_root: np.ndarray) -> np.ndarray:
+    """log10 probability of each bigram with training counts seen: c and t hold each word's training count and followers."""
+    first, second = pair >> np.uint64(32), pair & _LOW
+    own, to_root = np.maximum(c[first], 1), at_root[second]
+    failure = np.where(t[first] > 0, DISCOUNT * t[first] / own, 1.0)
+    return np.where(seen > 0, np.log10(np.maximum(seen - DISCOUNT, 0) / own + failure * 10.0**to_root), np.log10(failure) + to_root)
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams) and score (the automaton)."""
     spark = docs.sparkSession
@@ -175,37 +319,43 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     vocabulary = rows.where("lid is not null").select("block", "lid", "word", "c")
     totals = kept(vocabulary.where("c > 0").groupBy("word").agg(F.sum("c").alias("total")))
     n, v = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    frequent = sorted((bytes(r.word), r.total) for r in totals.where((F.col("total") * STATES >= n) | (F.col("word") == F.lit(END))).collect())
-    states = {w: k for k, (w, _) in enumerate(frequent)}
-    pairs = _pairs(docs, id_col, text_col, states) if states else np.zeros((0, 0))
-    model = spark.sparkContext.broadcast(Automaton(n, v, states, np.array([c for _, c in frequent], float), pairs))
+    bigrams = _totals(rows)
+    followers = bigrams.where("u is not null").groupBy("u").agg(F.sum("t").alias("t"))
+    totals = totals.join(followers, F.xxhash64("word") == F.col("u"), "left").select("word", "total", F.coalesce("t", F.lit(0)).alias("t"))
+    model = Automaton(n, v, {}, np.zeros(0), np.zeros((0, 0)))
 
+    place = F.pmod(F.xxhash64("word"), F.lit(PARTS * SLICES)).cast("short").alias("place")
     wanted = vocabulary.select("block", "lid", "word").join(totals, "word", "left")
-    wanted = wanted.select("block", "lid", F.coalesce("total", F.lit(0)).alias("total"), F.when((F.col("total") * STATES >= n) | (F.col("word") == F.lit(END)), F.col("word")).alias("word"))
+    wanted = wanted.select("block", "lid", place, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("t", F.lit(0)).alias("t"))
+    wanted = wanted.unionByName(bigrams.where("u is null").select("block", "bucket", "totals"), allowMissingColumns=True)
     kind = rows.schema["_id"].dataType.simpleString()
     out_schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
-        unpack, a = zstandard.ZstdDecompressor().decompress, model.value
+        unpack = zstandard.ZstdDecompressor().decompress
+        packed = right.filter(pa.compute.is_valid(right.column("bucket"))).select(["bucket", "totals"]).sort_by("bucket")
+        right = right.filter(pa.compute.is_valid(right.column("lid"))).select(["lid", "place", "total", "t"])
         lid = right.column("lid").to_numpy()
-        c, state = np.zeros(len(lid), np.int64), np.full(len(lid), a.root)
-        c[lid] = right.column("total").to_numpy()
-        for k, w in zip(lid.tolist(), right.column("word").to_pylist(), strict=True):
-            if w is not None:
-                state[k] = states.get(w, a.root)
-        base = np.log10((c + 0.1) / (a.n + 0.1 * (a.v + 1)))
-        at_root, known = a.at_root(c), c > 0
+        c, t, places = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int16)
+        c[lid], t[lid], places[lid] = right.column("total").to_numpy(), right.column("t").to_numpy(), right.column("place").to_numpy()
+        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
+        at_root, known = model.at_root(c), c > 0
+        texts = [np.frombuffer(unpack(x), np.uint32) for x in left.column("ids").to_pylist()]
+        pair, _ = _summed(np.concatenate([_bigrams(x) for x in texts]) << np.uint64(1)) if texts else (np.zeros(0, np.uint64), None)
+        seen = np.empty(len(pair), np.int64)
+        seen[np.argsort(_bucket(places, pair), kind="stable")] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack(x), np.int64) for x in packed.column("totals").to_pylist())])
+        arc = _arcs(seen, c, t, pair, at_root)
         keys, out = left.column("_id"), []
-        for key, packed in zip(keys.to_pylist(), left.column("ids").to_pylist(), strict=True):
-            ids = np.concatenate([np.frombuffer(unpack(packed), np.uint32), np.zeros(1, np.uint32)])
-            out.append((held_out(key), len(ids), int(known[ids].sum()), a.n, float(base[ids].sum()), a.traverse(ids, state, at_root)))
+        for key, ids in zip(keys.to_pylist(), texts, strict=True):
+            all_ids = np.append(ids, np.uint32(0))
+            out.append((held_out(key), len(all_ids), int(known[all_ids].sum()), model.n, float(base[all_ids].sum()), float(arc[np.searchsorted(pair, _bigrams(ids))].sum())))
         columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 6
         types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([keys, *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    documents = rows.where("lid is null").select("block", "_id", "ids")
+    documents = rows.where("ids is not null").select("block", "_id", "ids")
     return documents.groupBy("block").cogroup(wanted.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(run, out_schema).withColumnRenamed("_id", id_col)
 
 

@@ -406,6 +406,24 @@ def test_language_model_blocks_agree(docs):
     assert all(abs(one[i]["score"] - many[i]["score"]) < 1e-8 and one[i]["n_known"] == many[i]["n_known"] for i in one)
 
 
+def test_language_model_learns_rare_bigrams(spark):
+    """Words of less than 1/2000 of the tokens have states too."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, "common " * 100 + f"rare{i % 50} follower{i % 50}") for i in ids] + [(1000, "rare7 follower7"), (1001, "rare7 follower8")]
+    got = by_id(lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=5000))
+    tokens = [t.split() + [""] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c, pairs = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip(["", *t], t))
+    n = sum(c.values())
+    assert c["rare7"] * lm_score.STATES < n
+    for i, text in rows[-2:]:
+        t, want = text.split() + [""], 0.0
+        for a, b in zip(["", *t], t):
+            left = lm_score.DISCOUNT * sum(x == a for x, _ in pairs) / c[a]
+            want += np.log10(max(pairs[a, b] - lm_score.DISCOUNT, 0) / c[a] + left * (c[b] - lm_score.DISCOUNT) / n)
+        assert abs(got[i]["score"] - want) < 1e-8
+    assert got[1000]["score"] > got[1001]["score"] + 1
+
+
 # 8
 
 
