@@ -208,17 +208,43 @@ def most_bits(similarity: float) -> int:
     return int(n * p + 1.75 * math.sqrt(n * p * (1 - p)))
 
 
-def plan_segments(similarity: float, documents: int) -> list[tuple[int, int, int]]:
-    """(word, first bit, bits) of segments: four bits wider than the logarithm of the documents, so that keys hold few
-    strangers; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit."""
+def plan_segments(similarity: float, documents: int) -> list[tuple[int, ...]]:
+    """Bit positions (of 64 * WIDE) of segments: four bits more than the logarithm of the documents, so that keys hold few
+    strangers; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit.
+
+    Each run of 64 * WIDE // bits segments is cut from another order of all positions, so that segments of a run share none
+    and those of different runs few.
+    """
     bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 4))
-    p = bit_rate(similarity)
-    each = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    wanted = math.ceil(math.log(1 - RECALL) / math.log(1 - each))
-    places = [(w, k * bits, bits) for k in range(64 // bits) for w in range(WIDE)]
+    p, n = bit_rate(similarity), 64 * WIDE
+    # by the number d of differing bits: how likely it is, and that a segment has at most one of them
+    rows = []
+    for d in range(n - bits + 1):
+        likely = math.exp(math.lgamma(n + 1) - math.lgamma(d + 1) - math.lgamma(n - d + 1) + d * math.log(p) + (n - d) * math.log1p(-p))
+        rows.append((likely, (math.comb(n - d, bits) + d * math.comb(n - d, bits - 1)) / math.comb(n, bits)))
+    wanted = 1
+    while sum(x * (1 - (1 - each) ** wanted) for x, each in rows) < RECALL:
+        wanted += 1
+    order, places = np.random.default_rng(SEED), []
+    while len(places) < wanted:
+        at = order.permutation(64 * WIDE).tolist()
+        places += [tuple(sorted(at[k : k + bits])) for k in range(0, 64 * WIDE - bits + 1, bits)]
     return places[:wanted]
 
 
+def segment_keys(segments: list[tuple[int, ...]]) -> list[Column]:
+    """The keys of a wide fingerprint w0 ...: of each segment, its bits with one of them left out, for each of them."""
+    keys = []
+    for k, segment in enumerate(segments):
+        for out in segment:
+            masks: dict[int, int] = {}
+            for x in segment:
+                if x != out:
+                    masks[x // 64] = masks.get(x // 64, 0) | 1 << x % 64
+            keys.append(F.xxhash64(F.lit(k), F.lit(out), *[F.col(f"w{w}").bitwiseAND(F.lit(_signed(m)).cast("long")) for w, m in sorted(masks.items())]))
+    return keys
+
+
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
     """_id, w0 ... (wide fingerprint over the set of shingles) and least (the LEAST smallest hashes) of each document."""
     prepare(docs.sparkSession)
@@ -257,8 +283,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     candidates = kept(candidates.select("fp", *words))
     hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
-    masks = [(w, ((1 << n) - 1 << first) & ~(1 << first + b)) for w, first, n in segments for b in range(n)]
-    keys = [F.xxhash64(F.lit(k), F.col(f"w{w}").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, (w, m) in enumerate(masks)]
+    keys = segment_keys(segments)
 
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")

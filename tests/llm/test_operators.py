@@ -171,6 +171,18 @@ def test_near_copies_of_a_similarity(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("documents", [10**5, 10**7, 3 * 10**8])
+def test_segments_find_pairs_of_a_similarity_at_any_size(documents):
+    segments = simhash.plan_segments(0.8, documents)
+    rng = np.random.default_rng(5)
+    for similarity in (0.8, 0.85):
+        differs = rng.random((2000, 64 * simhash.WIDE)) < simhash.bit_rate(similarity)
+        found = np.zeros(2000, bool)
+        for x in segments:
+            found |= differs[:, list(x)].sum(1) <= 1
+        assert found.mean() >= (0.955 if similarity == 0.8 else 0.99), (documents, similarity)
+
+
 # 3
 
 
