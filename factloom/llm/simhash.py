@@ -112,12 +112,13 @@ def within_distance(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a}fp ^ {b}fp) <= {DISTANCE}")
 
 
-def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column], hints: DataFrame | None = None) -> DataFrame:
+def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column], hints: DataFrame | None = None, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
     fps: fp (distinct longs) and whatever else near reads; near: whether two rows are linked, given prefixes of their
     columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
-    merge needn't be found by the many keys. Rows of keys hold fp alone; the other columns are joined to the rows that are
+    merge needn't be found by the many keys; verified: of rows with fp and another named column of fingerprints, those that
+    are linked, where near only bounds that. Rows of keys hold fp alone; the other columns are joined to the rows that are
     compared.
     """
     more_columns = [c for c in fps.columns if c != "fp"]
@@ -137,7 +138,10 @@ def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column]
             pairs = rooted.join(pivot, "key").where(F.col("root") != F.col("p_root")).select("fp", "root", "p_fp", "p_root")
             if more_columns:
                 pairs = full(full(pairs.distinct(), ""), "p_")
-            edges = kept(pairs.where(near("", "p_")).select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
+            pairs = pairs.where(near("", "p_"))
+            if verified is not None:
+                pairs = verified(pairs.select("fp", "root", "p_fp", "p_root"), "p_fp")
+            edges = kept(pairs.select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
             if edges.isEmpty():
                 break
             roots = _merged(roots, edges)
@@ -157,7 +161,10 @@ def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column]
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     mixed = written(full(rooted.join(main.select("key", "main"), "key"), ""), "mixed")
     other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", *more_columns)])
-    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & near("", "o_")).select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
+    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & near("", "o_"))
+    if verified is not None:
+        more = verified(more.select("fp", "root", "o_fp", "o_root").distinct(), "o_fp")
+    more = more.select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
     roots = _merged(roots, more)
     return roots.select("fp", "root")
 
@@ -203,9 +210,10 @@ def bit_rate(similarity: float) -> float:
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which documents count as similar: 96 % of pairs at the threshold."""
+    """Differing bits of wide fingerprints up to which the sets of documents are compared: all but some 3 of 100,000 pairs
+    at the threshold have no more."""
     p, n = bit_rate(similarity), 64 * WIDE
-    return int(n * p + 1.75 * math.sqrt(n * p * (1 - p)))
+    return int(n * p + 4 * math.sqrt(n * p * (1 - p)))
 
 
 def plan_segments(similarity: float, documents: int) -> list[tuple[int, ...]]:
@@ -246,9 +254,10 @@ def segment_keys(segments: list[tuple[int, ...]]) -> list[Column]:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
-    """_id, w0 ... (wide fingerprint over the set of shingles) and least (the LEAST smallest hashes) of each document."""
+    """_id, th (hash of the text), w0 ... (wide fingerprint over the set of shingles) and least (the LEAST smallest hashes) of
+    each document."""
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,28 +268,45 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataF
                 least.append(h[:LEAST].view(np.int64))
                 for k in range(WIDE if len(h) else 0):
                     wide[row, k] = _majority([_remixed(h[a : a + _CHUNK], k) for a in range(0, len(h), _CHUNK)])
-            columns = [batch.column(0), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE)), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", *(f"w{k}" for k in range(WIDE)), "least"])
+            columns = [batch.column(0), batch.column(2), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE)), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "th", *(f"w{k}" for k in range(WIDE)), "least"])
+
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, th long, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, size: int) -> DataFrame:
+    """fp and shingles (the hashes of all its shingles, each once) of wanted documents (fp, th: the hash of a text)."""
+    texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("th"))
+    source = texts.join(bounded(wanted, BROADCAST_ROWS), "th").dropDuplicates(["fp"]).select("fp", "_text")
 
-    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, size)])).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return source.mapInArrow(run, "fp long, shingles array<long>")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: id and component_id, the least id reachable over pairs whose shingle sets are similar.
 
-    Similarity is judged by wide fingerprints (512 bits over the set of shingles), whose differing bits estimate it to
-    about 0.03. Only documents of whose LEAST smallest shingle hashes others have MET or more among theirs are indexed
+    Pairs are proposed by wide fingerprints (512 bits over the set of shingles) and linked if the sets of their shingles'
+    hashes have that similarity; documents whose wide fingerprints are equal count as alike. Only documents of whose LEAST smallest shingle hashes others have MET or more among theirs are indexed
     (all they have, if that is fewer): of two documents with a similarity of 0.8, each hash is shared with probability
     0.8, so fewer than 8 of 16 are in 2 of 1000 such pairs.
     """
     words = [f"w{k}" for k in range(WIDE)]
     prints = kept(sketches(docs, id_col=id_col, text_col=text_col, size=size).withColumn("fp", F.xxhash64(*words)))
-    classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), *[F.first(c).alias(c) for c in (*words, "least")]))
+    classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in (*words, "least")]))
     least = classes.select("fp", F.explode("least").alias("h"))
     met = least.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("h")
     some = least.join(met, "h", "left_semi").groupBy("fp").agg(F.count("*").alias("_met"))
     candidates = classes.join(some, "fp").where(F.col("_met") >= F.least(F.lit(MET), F.ceil(F.size("least") * MET / LEAST)))
-    candidates = kept(candidates.select("fp", *words))
+    candidates = kept(candidates.select("fp", "th", *words))
+    sets = written(shingle_sets(docs, candidates.select("fp", "th"), text_col=text_col, size=size), "shingles")
+    candidates = candidates.drop("th")
     hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
     keys = segment_keys(segments)
@@ -288,7 +314,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
 
-    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near, hints), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    def verified(pairs: DataFrame, other: str) -> DataFrame:
+        rows = pairs.join(sets.select("fp", F.col("shingles").alias("_a")), "fp").join(sets.select(F.col("fp").alias(other), F.col("shingles").alias("_b")), other)
+        both = F.size(F.array_intersect("_a", "_b"))
+        return rows.where(both / (F.size("_a") + F.size("_b") - both) >= similarity).drop("_a", "_b")
+
+    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near, hints, verified), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
     placed = kept(rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("fp", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
 

@@ -171,6 +171,27 @@ def test_near_copies_of_a_similarity(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_judged_by_their_shingles(spark):
+    """Pairs on both sides of the threshold, closer to it than fingerprints can tell."""
+    rng = random.Random(4)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, kept, sides = [], [], Counter()
+    for n in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        # a block replaced at the end changes as many shingles as it has words
+        v = w[:-(32 if n % 2 else 50)] + [f"v{rng.randrange(10**6)}" for _ in range(32 if n % 2 else 50)]
+        a, b = shingles(w), shingles(v)
+        alike = len(a & b) / len(a | b) >= 0.8
+        sides[alike] += 1
+        kept += [len(rows)] if alike else [len(rows), len(rows) + 1]
+        rows += [" ".join(w), " ".join(v)]
+    assert sides == {True: 30, False: 30}
+    out = simhash.deduplicate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    left = {r.doc_id for r in out.collect()}
+    assert set(kept) <= left  # none below the threshold goes
+    assert len(left - set(kept)) <= 3  # by RECALL, few of those above it stay
+
+
 @pytest.mark.parametrize("documents", [10**5, 10**7, 3 * 10**8])
 def test_segments_find_pairs_of_a_similarity_at_any_size(documents):
     segments = simhash.plan_segments(0.8, documents)
