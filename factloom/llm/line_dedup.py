@@ -2,7 +2,8 @@ r"""Line dedup by deletion neighbourhoods, by DataFrame functions only.
 
 A line goes if an earlier line equals it or is within one edit of it; the earliest stays. Lines are compared as their words
 (`[^\x20\x09-\x0D]+`), an edit puts in, takes out or replaces one word, and only lines of at least MIN_WORDS = 5 words are
-compared at all, so that two lines within an edit agree in four fifths of their words or more. Earlier means by id, then
+compared at all, so that two lines within an edit agree in four fifths of their words or more (`exact_words` lets shorter
+lines go too, if an earlier line equals them). Earlier means by id, then
 text (for rows that share an id), then line number. The rule looks at each line by itself: whether the earlier line goes
 too makes no difference.
 
@@ -45,15 +46,15 @@ def _normal(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))).drop("raw")
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines of MIN_WORDS or more: at (their place), n, h and h2 (hash and length of the line), keys of their halves.
+def _hashed(docs: DataFrame, id_col: str, text_col: str, exact_words: int) -> DataFrame:
+    """Lines of exact_words or more (those of less than MIN_WORDS without keys): at (their place), n, h and h2 (hash and length of the line), keys of their halves.
 
     A line of n words may be the shorter of a pair (m = n) or the longer (m = n - 1); its keys are m with its first m/2
     words, and m with its last m - m/2 words. Two prefixes give all four: one of n/2 words, and one of a word more (n odd)
     or less (n even).
     """
     rows = _normal(_exploded(docs, id_col, text_col))
-    rows = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    rows = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where((F.col("n") >= exact_words) & (F.col("norm") != ""))
     half, odd = (F.col("n") / 2).cast("int"), F.col("n") % 2 == 1
     rows = rows.withColumns({"p": F.call_function("substring_index", "norm", F.lit(" "), half), "q": F.call_function("substring_index", "norm", F.lit(" "), half + F.when(odd, 1).otherwise(-1))})
 
@@ -67,7 +68,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(F.lit(0), m, F.when(odd, F.col("p")).otherwise(F.col("q"))),
         F.xxhash64(F.lit(1), m, F.when(odd, after("q")).otherwise(after("p"))),
     ]
-    return rows.select(F.struct("_id", "th", "no").alias("at"), "n", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("h2"), F.array(*keys).alias("keys"))
+    return rows.select(F.struct("_id", "th", "no").alias("at"), "n", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("h2"), F.when(n >= MIN_WORDS, F.array(*keys)).otherwise(F.array().cast("array<bigint>")).alias("keys"))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
@@ -124,9 +125,9 @@ def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.withColumn("cut", F.expr(cut)).where(F.expr(_WITHIN)).select("h").distinct()
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
     """Per document that loses lines: _id, th, gone (line numbers from 0) and n_near (those that equal no earlier line)."""
-    lines = written(_hashed(docs, id_col, text_col), "lines")
+    lines = written(_hashed(docs, id_col, text_col, exact_words), "lines")
     distinct = kept(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("keys").alias("keys")))
     wanted = kept(_candidates(distinct).join(distinct.select("h", F.col("first").alias("at")), "h"))
     # the words of candidates, from their first place
@@ -140,9 +141,9 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return by.agg(F.collect_set("at.no").alias("gone"), F.collect_set(F.when(F.col("at") == F.col("first"), F.col("at.no"))).alias("near"))
 
 
-def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
     """docs packed as _doc, with n_lines, n_dropped, n_near (of those) and left (the text without the dropped lines)."""
-    found = kept(duplicate_lines(docs, id_col=id_col, text_col=text_col))
+    found = kept(duplicate_lines(docs, id_col=id_col, text_col=text_col, exact_words=exact_words))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_own"), F.col(text_col).alias("_t"), F.xxhash64(F.col(text_col)).alias("_th"))
     rows = packed.join(bounded(found, BROADCAST_ROWS), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").withColumn("_l", F.split("_t", "\n"))
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone")), lambda i: F.get("_l", i))
@@ -155,9 +156,9 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
     """docs, all their columns, without the lines that an earlier line equals or nearly equals."""
-    rows = mark(docs, id_col=id_col, text_col=text_col)
+    rows = mark(docs, id_col=id_col, text_col=text_col, exact_words=exact_words)
     return rows.select(*[F.col("left").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -385,6 +385,15 @@ def test_line_dedup_rows_that_share_an_id(spark):
     assert (0, other) in left and (2, "") in left and sum(line in t for _, t in left) in (1, 2)
 
 
+def test_short_lines_that_repeat_go_from_the_pipeline(spark):
+    import corpus_pipeline
+
+    long = "漢字" * 200
+    df = spark.createDataFrame([(1, f"Les.\nonce\n\n{long}"), (2, f" Les. \n\n{long}\ntwo words\ntwo words"), (3, "Les more\nLes.")], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
+    assert left == {1: f"Les.\nonce\n\n{long}", 2: "\ntwo words", 3: "Les more"}
+
+
 # 7
 
 
