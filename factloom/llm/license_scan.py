@@ -2,7 +2,7 @@
 
 A text is reduced to its words (A-Z lowered; letters, digits and anything outside ASCII), joined by single spaces. Rules
 are regular expressions over that form, written below as license names with their wordings and as sentence frames that
-take a name. Each rule has a keyword; a rule runs only on texts that hold its keyword. A detection is suppressed if a
+take a name. Each rule has a keyword that every match of it holds; a rule runs only on texts that hold its keyword. A detection is suppressed if a
 detection of higher priority, or an equal one that is longer or declared earlier, spans all its words.
 
 The base phrases (MIT, Apache, GPL) are found by a plain scan for consecutive words and always count.
@@ -26,9 +26,6 @@ from .support import alnum_words, prepare, table
 
 #: Phrases of the base labels.
 BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
-#: What must occur for any rule or base phrase to apply.
-KEYWORDS = ("licen", "copyright", "spdx", "public domain", "creative commons", "redistribution", "permission is hereby", "copyleft", "all rights reserved", "without warranty", "merchantability")
-
 #: label, SPDX-style identifiers, name wordings; every wording is a regular expression over normalised words.
 LICENSES = (
     ("mit", ("mit",), ("mit(?: x11)? licen[sc]e", "massachusetts institute of technology licen[sc]e", "expat licen[sc]e")),
@@ -108,11 +105,11 @@ FRAMES = (
 #: label, priority, score, keyword, regular expression: passages of license texts and notices.
 PASSAGES = (
     ("mit", 4, 0.95, "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", 4, 0.9, "merchantability", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 4, 0.9, "permission to use copy", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", 4, 0.85, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 5, 0.9, "redistribution", "neither the name of (?:\\S+ ){1,12}may be used to endorse or promote products derived"),
-    ("gpl", 4, 0.9, "copyright", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
-    ("gpl", 4, 0.8, "without warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd-3-clause", 5, 0.9, "neither the name of", "neither the name of (?:\\S+ ){1,12}may be used to endorse or promote products derived"),
+    ("gpl", 4, 0.9, "you can redistribute it", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("gpl", 4, 0.8, "implied warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("public-domain", 3, 0.8, "public domain", "(?:dedicated|released|placed|published) (?:in|into|to) the public domain"),
     ("public-domain", 1, 0.5, "public domain", "(?:is|are) in the public domain"),
     ("proprietary", 2, 0.7, "all rights reserved", "all rights reserved"),
@@ -131,6 +128,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+def _keyword(name: str) -> str:
+    """The longest text that every match of a name wording holds: what no group, class or question mark touches."""
+    last = None
+    while name != last:
+        last, name = name, re.sub(r"\(\?:[^()]*\)\??", "|", name)
+    return max(re.sub(r"\[[^]]*\]\??|[^|]\?", "|", name).split("|"), key=len)
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order: identifiers, names in sentence frames, passages."""
@@ -144,14 +149,18 @@ def rules() -> tuple[Rule, ...]:
             add(label, 5, 1.0, "spdx", f"spdx licen[sc]e identifier {x}")
             add(label, 3, 0.9, "licen", f"licen[sc]ed? (?:is |under (?:the )?)?{x}")
         for name in names:
-            keyword = "creative commons" if name.startswith("creative commons") else "licen" if "licen" in name else ""
             for priority, score, frame in FRAMES:
-                add(label, priority, score, keyword if frame == "{}" else keyword or "licen", frame.format(f"(?:{name})"))
+                add(label, priority, score, _keyword(name), frame.format(f"(?:{name})"))
     for label, priority, score, keyword, body in PASSAGES:
         add(label, priority, score, keyword, body)
     return tuple(found)
 
 
+@cache
+def keywords() -> tuple[str, ...]:
+    return tuple(sorted({r.keyword for r in rules()}))
+
+
 class Detection(NamedTuple):
     start: int
     end: int
@@ -181,7 +190,7 @@ def _places(norm: str, at: list[int]) -> list[int]:
     return out
 
 
-def detect(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection]]:
+def detect(text: str | None, gated: bool = True) -> tuple[int, list[tuple[int, str]], list[Detection]]:
     """Number of words; (first word, label) of each base phrase; detections with word intervals [start, end)."""
     words = alnum_words(text.encode()) if text else []
     if not words:
@@ -197,10 +206,10 @@ def detect(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection
             base.append((count, label))
             at = padded.find(b" " + phrase + b" ", at + 1)
     norm = joined.decode()
-    present = {k for k in KEYWORDS if k in norm}
+    present = {k for k in keywords() if not gated or k in norm}
     found: list[Detection] = []
     if present:
-        raw = [(m.start(), m.end(), k) for k, r in enumerate(rules()) if not r.keyword or r.keyword in present for m in r.pattern.finditer(norm)]
+        raw = [(m.start(), m.end(), k) for k, r in enumerate(rules()) if r.keyword in present for m in r.pattern.finditer(norm)]
         if raw:
             place = dict(zip(at := sorted({x for s, e, _ in raw for x in (s, e)}), _places(norm, at), strict=True))
             for s, e, k in raw:

@@ -481,6 +481,44 @@ def test_license_scan(spark):
     assert [d.start for d in got[6]["detections"]] == [0]
 
 
+def matches(tree, rng):
+    """A random text that a parsed regular expression matches."""
+    out = ""
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            kind, y = rng.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else ord("q") if str(kind) == "CATEGORY" else rng.randint(*y))
+        elif op == "SUBPATTERN":
+            out += matches(x[3], rng)
+        elif op == "BRANCH":
+            out += matches(rng.choice(x[1]), rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(matches(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], 3))))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_license_keywords_are_necessary():
+    from re import _parser
+
+    rng = random.Random(9)
+    texts = ["Code is released under GPLv3.", "CC BY-SA 4.0", "Under ASL 2.0", "free: CC Attribution 4.0"]
+    for r in license_scan.rules():
+        tree = _parser.parse(r.pattern.pattern)
+        for _ in range(8):
+            text = matches(tree, rng)
+            assert r.pattern.search(text) and r.keyword and r.keyword in text, (r, text)
+        texts.append(text)
+    for text in texts:
+        found = license_scan.detect(text)
+        assert found == license_scan.detect(text, gated=False) and found[2], text
+    assert {d.label for d in license_scan.detect(texts[0])[2]} == {"gpl-3.0"}
+
+
 def test_suppression_against_brute_force():
     rng = random.Random(6)
     D = license_scan.Detection
