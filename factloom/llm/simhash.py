@@ -112,10 +112,10 @@ def within_distance(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a}fp ^ {b}fp) <= {DISTANCE}")
 
 
-def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column], hints: DataFrame | None = None, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def links(fps: DataFrame, keys: list[Column] | Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hints: DataFrame | None = None, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
-    fps: fp (distinct longs) and whatever else near reads; near: whether two rows are linked, given prefixes of their
+    fps: fp (distinct longs) and whatever else near reads; keys: columns, or what gives fp, root and key of fps with root; near: whether two rows are linked, given prefixes of their
     columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
     merge needn't be found by the many keys; verified: of rows with fp and another named column of fingerprints, those that
     are linked, where near only bounds that. Rows of keys hold fp alone; the other columns are joined to the rows that are
@@ -150,7 +150,8 @@ def links(fps: DataFrame, keys: list[Column], near: Callable[[str, str], Column]
         return roots
 
     roots = pivoted(kept(hints), None) if hints is not None else None
-    keyed = _rooted(fps, roots).select("fp", "root", F.explode(F.array(*keys)).alias("key"))
+    keyed = _rooted(fps, roots)
+    keyed = keys(keyed) if callable(keys) else keyed.select("fp", "root", F.explode(F.array(*keys)).alias("key"))
     # keys that bring different components together; most have one member
     several = kept(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
     shared = written(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp"), "signatures")
@@ -240,17 +241,26 @@ def plan_segments(similarity: float, documents: int) -> list[tuple[int, ...]]:
     return places[:wanted]
 
 
-def segment_keys(segments: list[tuple[int, ...]]) -> list[Column]:
-    """The keys of a wide fingerprint w0 ...: of each segment, its bits with one of them left out, for each of them."""
-    keys = []
-    for k, segment in enumerate(segments):
-        for out in segment:
-            masks: dict[int, int] = {}
-            for x in segment:
-                if x != out:
-                    masks[x // 64] = masks.get(x // 64, 0) | 1 << x % 64
-            keys.append(F.xxhash64(F.lit(k), F.lit(out), *[F.col(f"w{w}").bitwiseAND(F.lit(_signed(m)).cast("long")) for w, m in sorted(masks.items())]))
-    return keys
+def segment_keys(rows: DataFrame, segments: list[tuple[int, ...]]) -> DataFrame:
+    """fp, root and key of rows with a wide fingerprint w0 ...: of each segment, its bits with one of them left out, for each
+    of them. By numpy, since as expressions so many keys of so many words would fill the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                wide = np.stack([batch.column(2 + w).to_numpy(zero_copy_only=False).astype(np.int64) for w in range(WIDE)], axis=1).astype("<i8")
+                bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+                keys = []
+                for k, segment in enumerate(segments):
+                    places = np.arange(len(segment), dtype=np.uint64)
+                    value = (bits[:, list(segment)] << places).sum(1, dtype=np.uint64)
+                    # value has 32 bits at most, the place left out 5 and the segment the rest, so keys are distinct
+                    keys += [value & ~(np.uint64(1) << b) | b << np.uint64(32) | np.uint64(k << 37) for b in places]
+                columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(keys))) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.stack(keys, axis=1).ravel().view(np.int64))], names=["fp", "root", "key"])
+
+    return rows.select("fp", "root", *[f"w{w}" for w in range(WIDE)]).mapInArrow(run, "fp long, root long, key long")
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -309,7 +319,6 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     candidates = candidates.drop("th")
     hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
-    keys = segment_keys(segments)
 
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
@@ -319,7 +328,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         both = F.size(F.array_intersect("_a", "_b"))
         return rows.where(both / (F.size("_a") + F.size("_b") - both) >= similarity).drop("_a", "_b")
 
-    rooted = classes.select("fp", "class_id").join(links(candidates, keys, near, hints, verified), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.select("fp", "class_id").join(links(candidates, lambda rows: segment_keys(rows, segments), near, hints, verified), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
     placed = kept(rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("fp", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
 
