@@ -6,18 +6,26 @@ is not 0 train. The automaton has
   * a root, whose arcs are all training words: P(w) = (c(w) - D) / N;
   * a state for each training word u and for the end. Its arcs are all words seen after u: (c(uw) - D) / c(u) + b(u) P(w);
     its failure arc leads to the root with weight b(u) = D * T(u) / c(u), what the T(u) arcs leave of u's mass;
+  * from order 3 on, a state for each training sequence s of order - 1 or fewer words (a document's first may start with the
+    end). Its arcs are all words seen after s: (c(sw) + M P(w | s without its first word)) / (c(s) + M); its failure arc
+    leads to the state of s without its first word with weight M / (c(s) + M);
   * one arc from the root for any unseen word, with the mass D * V / N that discounting has freed.
 
-A document is traversed once from left to right: the state is that of the last word (the root if it has none); an arc is
-followed if there is one, else the failure arc and the root's arc.
+A document is traversed once from left to right: the state is that of the longest sequence seen in training that the last
+words end with; an arc is followed if there is one, else failure arcs until there is.
 
-Neither vocabulary nor bigrams are broadcast or collected. One pass over the texts writes blocks: documents as compressed
-word numbers, the block's words with their training counts, and its distinct bigrams, dealt to PARTS * SLICES buckets by the
-hashes of both words and packed. Counts are summed by word, and by bigram within a bucket, over all blocks; blocks then
-meet the totals of their own words and bigrams only. A bigram's key is the 64-bit hashes of its two words.
+Nothing of the model is broadcast or collected, and nothing is left out: every word and every sequence of up to `order`
+words that occurs in a training document counts. Documents are dealt to blocks by hash; a block sorts the keys of its
+distinct sequences and sends them, packed, to the buckets of the ranges they fall in. A bucket adds up what all blocks sent
+and returns the totals in the order they came in. So a sequence takes a few bytes a block, however often it occurs, and no
+sequence, however common, weighs more than any other. Of a bigram that several blocks have, one is told that it is its own
+to count, so T(u) is a sum over blocks, which goes with the words' counts.
+
+A word is known by the upper 63 bits of its xxh64, a longer sequence by MARGIN bits more than the logarithm of all
+characters (63 at most): the probability that it shares its key with any other is under 2 to the -MARGIN.
 
 Defined results: null text is empty: its end alone; a null id counts as the empty text (crc32 0, held out); repeated rows
-each count and are scored; an empty table gives no rows; with no training document at all every word is unseen and
+each count and are scored (those with equal id and text in one block); an empty table gives no rows; with no training document at all every word is unseen and
 has probability 1; only the id and text columns are read.
 """
 
@@ -26,261 +34,173 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .support import fresh_dir, kept, prepare, spaced_words, table, written
+from .support import prepare, release, spaced_words, table, written
 
 #: Scoring has no threshold: test_operators.py reads this where every word of its fixture reaches it.
 STATES = 2000
-#: Buckets of bigrams: so many by the first word, each in so many by the second, so that a common word's are dealt out.
-PARTS, SLICES = 64, 8
 SEED = 42
 DISCOUNT = 0.5
+#: What a state of two words or more gives to the shorter one, in occurrences.
+MASS = 2.0
 #: The end of a document, as a word; no word is empty.
 END = b""
-#: Characters of a block, about.
-BLOCK_CHARS = 32_000_000
+#: Characters of a block, and of the documents whose sequences of one length a bucket counts, about.
+BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 32_000_000
+LEAST_BUCKETS = 8
+WORD_BITS, MARGIN = 63, 24
 
 
 def held_out(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
 
 
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _bigrams(ids: np.ndarray) -> np.ndarray:
-    """A document's bigrams from end to end (word 0): the first word's number in the upper 31 of 63 bits."""
-    x = np.concatenate([np.zeros(1, np.uint64), ids.astype(np.uint64), np.zeros(1, np.uint64)])
-    return x[:-1] << np.uint64(32) | x[1:]
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hashes of sequences of hashed contexts and words (the finaliser of splitmix64)."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
+def _starts(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys start."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     return np.flatnonzero(new)
 
 
-def _summed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct bigrams, ascending, and their training counts, of bigrams with a last bit for training (codes is sorted)."""
-    codes.sort()
-    at = _starts(codes >> np.uint64(1))
-    return codes[at] >> np.uint64(1), np.add.reduceat((codes & np.uint64(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, the low bytes of all first: what is small or alike compresses."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    """What of a word's hash tells the buckets of its bigrams."""
-    return (h % np.uint64(PARTS * SLICES)).astype(np.int16)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of as many 64-bit numbers each."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, columns)))
 
-def _bucket(places: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    return places[pair >> np.uint64(32)] // SLICES * SLICES + places[pair & _LOW] % SLICES
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    """What _packed was given, a row for each of n columns."""
+    import zstandard
 
-def _packed(first: np.ndarray, second: np.ndarray, c: np.ndarray) -> bytes:
-    """Bigrams whose first words come in runs: the runs' lengths and hashes, the second words' hashes, the counts."""
-    at = _starts(first)
-    return b"".join([np.array([len(c), len(at)], np.int64).tobytes(), np.diff(np.append(at, len(c))).tobytes(), first[at].tobytes(), second.tobytes(), c.tobytes()])
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 8, -1)
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).view("<i8")[:, :, 0]
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, runs = np.frombuffer(data, np.int64, 2).tolist()
-    x = np.frombuffer(data, np.uint64, offset=16)
-    return np.repeat(x[runs : 2 * runs], x[:runs].astype(np.int64)), x[2 * runs : 2 * runs + n], x[2 * runs + n :].astype(np.int64)
+class Block:
+    """The tokens of some documents, one after another: word numbers, each document's length and whether it trains."""
 
-
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """Rows of documents (_id, ids), words (word, lid, c) and bigrams (bucket, data) by block, written to the shared folder and
-    read again."""
-    spark = docs.sparkSession
-    prepare(spark)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from pyspark import TaskContext
-
-        pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 24
-        block, size = part, 0
+    def __init__(self, keys: list, texts: list[str | None], bits: int):
         number: defaultdict = defaultdict(count().__next__)
-        counts = np.zeros(0, np.int64)
-        codes: list[np.ndarray] = []
-        id_type = None
-
-        def start() -> None:
-            nonlocal number, counts, size, codes
-            number = defaultdict(count().__next__)
-            number[END]
-            counts, size, codes = np.zeros(0, np.int64), 0, []
-
-        def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            empty = {"_id": id_type, "ids": pa.binary(), "word": pa.binary(), "lid": pa.int32(), "c": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *(columns[k] if k in columns else pa.nulls(n, t) for k, t in empty.items())], names=["block", *empty])
-
-        def words() -> Iterator[pa.RecordBatch]:
-            all_words, c = list(number), np.concatenate([counts, np.zeros(len(number) - len(counts), np.int64)])
-            for k in range(0, len(all_words), 50_000):
-                w = all_words[k : k + 50_000]
-                n = len(w)
-                yield batch_of(n, word=pa.array(w, pa.binary()), lid=pa.array(np.arange(k, k + n), pa.int32()), c=pa.array(c[k : k + n]))
-            yield from bigrams(all_words)
-
-        def bigrams(all_words: list[bytes]) -> Iterator[pa.RecordBatch]:
-            nonlocal codes
-            h = np.fromiter((xxh64_intdigest(w, SEED) for w in all_words), np.uint64, len(all_words))
-            x = np.concatenate([np.zeros(0, np.uint64), *codes])
-            codes = []
-            pair, c = _summed(x)
-            del x
-            buckets = _bucket(_places(h), pair)
-            order = np.argsort(buckets, kind="stable")
-            ends = np.cumsum(np.bincount(buckets, minlength=PARTS * SLICES))
-            out = []
-            for k in np.unique(buckets).tolist():
-                own = order[ends[k - 1] if k else 0 : ends[k]]
-                out.append((k, pack(_packed(h[pair[own] >> np.uint64(32)], h[pair[own] & _LOW], c[own]))))
-                if len(out) == 64:
-                    yield batch_of(64, bucket=pa.array([k for k, _ in out], pa.int32()), data=pa.array([d for _, d in out], pa.binary()))
-                    out = []
-            if out:
-                yield batch_of(len(out), bucket=pa.array([k for k, _ in out], pa.int32()), data=pa.array([d for _, d in out], pa.binary()))
-
-        start()
-        for whole in batches:
-            id_type = whole.schema.field(0).type
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                keys, packed, train = batch.column(0).to_pylist(), [], [np.zeros(0, np.int64)]
-                for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-                    found = spaced_words(text.encode()) if text else []
-                    ids = np.fromiter(map(number.__getitem__, found), np.uint32, len(found))
-                    packed.append(pack(ids.tobytes()))
-                    size += len(text or "")
-                    trains = not held_out(key)
-                    codes.append(_bigrams(ids) << np.uint64(1) | np.uint64(trains))
-                    if trains:
-                        train += [ids, np.zeros(1, np.uint32)]  # word 0 is the end
-                seen = np.bincount(np.concatenate(train).astype(np.int64), minlength=len(number))
-                seen[: len(counts)] += counts
-                counts = seen
-                n = batch.num_rows
-                yield batch_of(n, _id=batch.column(0), ids=pa.array(packed, pa.binary()))
-                if size >= block_chars:
-                    yield from words()
-                    block += 1
-                    start()
-        if size or len(number) > 1 or len(counts):
-            yield from words()
-
-    folder = fresh_dir(spark, "lm-blocks")
-    source.mapInArrow(run, f"block long, _id {kind}, ids binary, word binary, lid int, c long, bucket int, data binary").write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
-def _totals(rows: DataFrame) -> DataFrame:
-    """Of bigrams: block, bucket and totals (training counts over all blocks, as _packed has them in order); u (a word's hash)
-    and t (its distinct followers in a bucket)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        parts = [_unpacked(unpack(d)) for d in group.column("data").to_pylist()]
-        first, second, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((second, first))
-        at = _starts(first[order], second[order])
-        sums = np.add.reduceat(c[order], at)
-        total = np.empty(len(c), np.int64)
-        total[order] = np.repeat(sums, np.diff(np.append(at, len(c))))
-        u, t = np.unique(first[order][at][sums > 0], return_counts=True)
-        ends = np.cumsum([len(x[2]) for x in parts])
-        n, m = len(parts), len(u)
-        back = [pack(x.tobytes()) for x in np.split(total, ends[:-1])]
-        columns = [
-            pa.concat_arrays([group.column("block").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([group.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(m, pa.int32())]),
-            pa.concat_arrays([pa.array(back, pa.binary()), pa.nulls(m, pa.binary())]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(u.view(np.int64))]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(t.astype(np.int64))]),
-        ]
-        return pa.table(columns, names=["block", "bucket", "totals", "u", "t"])
-
-    found = rows.where("bucket is not null").select("block", "bucket", "data")
-    return written(found.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary, u long, t long"), "lm-bigrams")
-
-
-class Automaton:
-    """States, arcs and failure weights over word numbers, as dense arrays; the root is the last state. Scoring takes the root
-    from it, and its states' arcs from _arcs."""
-
-    def __init__(self, n: int, v: int, states: dict[bytes, int], counts: np.ndarray, pairs: np.ndarray):
-        self.n, self.v, self.root = n, v, len(states)
-        self.end = states.get(END, self.root)
-        size = len(states)
-        self.arcs = np.full((size + 1, size + 1), np.nan)
-        self.failure = np.zeros(size + 1)
-        if size:
-            own = np.maximum(pairs - DISCOUNT, 0) / counts[:, None]
-            left = 1 - own.sum(1)
-            self.failure[:size] = np.log10(left)
-            seen = own + left[:, None] * (counts - DISCOUNT)[None, :] / n
-            self.arcs[:size, :size] = np.where(pairs > 0, np.log10(seen), np.nan)
-        self.unseen = math.log10(DISCOUNT * v / n) if n else 0.0
-
-    def at_root(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the root's arcs of words with training counts c."""
-        return np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / max(self.n, 1)), self.unseen)
-
-
-def _totals(rows: DataFrame) -> DataFrame:
-    """Of bigrams: block, bucket and totals (training counts over all blocks, as _packed has them in order); u (a word's hash)
-    and t (its distinct followers in a bucket)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        parts = [_unpacked(unpack(d)) for d in group.column("data").to_pylist()]
-        first, second, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((second, first))
-        at = _starts(first[order], second[order])
-        sums = np.add.reduceat(c[order], at)
-        total = np.empty(len(c), np.int64)
-        total[order] = np.repeat(sums, np.diff(np.append(at, len(c))))
-        u, t = np.unique(first[order][at][sums > 0], return_counts=True)
-        ends = np.cumsum([len(x[2]) for x in parts])
-        n, m = len(parts), len(u)
-        back = [pack(x.tobytes()) for x in np.split(total, ends[:-1])]
-        columns = [
-            pa.concat_arrays([group.column("block").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([group.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(m, pa.int32())]),
-            pa.concat_arrays([pa.array(back, pa.binary()), pa.nulls(m, pa.binary())]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(u.view(np.int64))]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(t.astype(np.int64))]),
-        ]
-        return pa.table(columns, names=["block", "bucket", "totals", "u", "t"])
-
-    found = rows.where("bucket is not null").select("block", "bucket", "data")
-    return written(found.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary, u long, t long"), "lm-bigrams")
+        number[END]
+        parts = []
+        for text in texts:
+            found = spaced_words(text.encode()) if text else []
+            parts += [np.fromiter(map(number.__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
+        tokens = np.concatenate(parts)
+        h = np.fromiter((xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
+        # words are renumbered by hash, so that sorted words are sorted keys
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int32)
+        rank[order] = np.arange(len(h), dtype=np.int32)
+        self.hashes, self.tokens, self.end, self.bits = h[order], rank[tokens], int(rank[0]), bits
+        self.lengths = np.fromiter((len(x) + 1 for x in parts[::2]), np.int64, len(texts))
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.out = np.fromiter(map(held_out, keys), bool, len(texts))
+        self.train = np.repeat(~self.out, self.lengths)
+
+    def before(self) -> np.ndarray:
+        """The word before each token: the end, where a document starts, since documents follow one another."""
+        return np.concatenate([np.full(1, self.end, np.int32), self.tokens[:-1]])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of the distinct words."""
+        return self.hashes >> np.uint64(64 - WORD_BITS), np.bincount(self.tokens[self.train], minlength=len(self.hashes))
+
+    def sequences(self, order: int):
+        """For each order from 2 on: the key of the sequence that ends at each token that has so many before it (a document
+        starts with the end of another), and where those tokens are."""
+        words = self.hashes[self.tokens]
+        full, at = _joined(self.hashes[self.before()], words), np.arange(len(words))
+        place = at - np.repeat(self.first, self.lengths)
+        for k in range(2, order + 1):
+            if k > 2:
+                full = np.concatenate([np.zeros(1, np.uint64), _joined(full[:-1], words[1:])])
+                at = np.flatnonzero(place >= k - 2)
+            yield k, full[at] >> np.uint64(64 - self.bits), at
+
+    def distinct(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order and their training counts."""
+        codes = keys << np.uint64(1) | self.train[at]
+        codes.sort()
+        starts = _starts(codes >> np.uint64(1))
+        return codes[starts] >> np.uint64(1), np.add.reduceat((codes & np.uint64(1)).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the distinct bigrams in order, and their first words."""
+        code = np.unique(self.before().astype(np.uint64) << np.uint64(32) | self.tokens.astype(np.uint64))
+        first = (code >> np.uint64(32)).astype(np.int64)
+        keys = _joined(self.hashes[first], self.hashes[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)]) >> np.uint64(64 - self.bits)
+        order = np.argsort(keys, kind="stable")
+        starts = _starts(keys[order])
+        return keys[order][starts], first[order][starts]
+
+
+def _messages(block: int, order: int, bits: int, buckets: int, keys: np.ndarray, *counts: np.ndarray) -> list[tuple]:
+    """Rows (block, length, bucket, data) of ascending keys, given as differences, and their counts."""
+    bucket = (keys >> np.uint64(bits - 20)) * np.uint64(buckets) >> np.uint64(20)
+    ends = np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64), side="right").tolist()
+    return [(block, order, k, _packed(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts))) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
+
+_SENT = "block long, length int, bucket int, data binary"
+_SENT_ARROW = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW) if rows else _SENT_ARROW.empty_table()
+
+
+def _added(group: pa.Table, columns: int) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of what blocks sent to a bucket: the blocks, the columns of totals to return to each, whether each of its keys is its
+    own to count, and the totals of the distinct keys."""
+    group = group.sort_by("block")
+    parts = [_unpacked(x, columns + 1) for x in group.column("data").to_pylist()]
+    keys = np.concatenate([np.cumsum(x[0]) for x in parts])
+    order = np.argsort(keys, kind="stable")
+    starts = _starts(keys[order])
+    sums = np.stack([np.add.reduceat(np.concatenate([x[c] for x in parts])[order], starts) for c in range(1, columns + 1)])
+    back = np.empty((columns, len(keys)), np.int64)
+    back[:, order] = np.repeat(sums, np.diff(np.append(starts, len(keys))), axis=1)
+    own = np.zeros(len(keys), np.int64)
+    own[order[starts]] = 1
+    cuts = np.cumsum([x.shape[1] for x in parts])[:-1]
+    return group.column("block").to_pylist(), np.split(back, cuts, axis=1), np.split(own, cuts), sums
+
+
+def _returned(answers: pa.Table, length: int, columns: int) -> np.ndarray:
+    """The totals of a block's keys of a length, in order."""
+    rows = answers.filter(pc.equal(answers.column("length"), length)).sort_by("bucket").column("data").to_pylist()
+    return np.concatenate([np.zeros((columns, 0), np.int64), *(_unpacked(x, columns) for x in rows)], axis=1)
 
 
 class Automaton:
     """States, arcs and failure weights over word numbers, as dense arrays; the root is the last state. Scoring takes the root
-    from it, and its states' arcs from _arcs."""
+    from it, and the other states' arcs from arcs()."""
 
     def __init__(self, n: int, v: int, states: dict[bytes, int], counts: np.ndarray, pairs: np.ndarray):
         self.n, self.v, self.root = n, v, len(states)
-        self.end = states.get(END, self.root)
         size = len(states)
         self.arcs = np.full((size + 1, size + 1), np.nan)
         self.failure = np.zeros(size + 1)
@@ -296,68 +216,98 @@ class Automaton:
         """log10 of the root's arcs of words with training counts c."""
         return np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / max(self.n, 1)), self.unseen)
 
-    def traverse(self, ids: np.ndarray, state: np.ndarray, at_root: np.ndarray) -> float:
-        """log10 probability of a document's word numbers: state and at_root hold each word's state and root arc."""
-        to = state[ids]
-        came = np.concatenate([[self.end], to[:-1]])
-        arc = self.arcs[came, to]
-        return float(np.where(np.isnan(arc), self.failure[came] + at_root[ids], arc).sum())
 
+def arcs(root: np.ndarray, own: np.ndarray, followers: np.ndarray, seen: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each token: root: log10 at the root; own and followers: training count of the word before it and
+    how many different words follow that; seen: count of the bigram; longer, for each order from 3 on: the places of tokens
+    with so long a context, the counts of the contexts and of the sequences."""
+    p = 10.0**root
+    p = np.where(followers > 0, (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * followers * p) / np.maximum(own, 1), p)
+    for at, context, c in longer:
+        p[at] = (c + MASS * p[at]) / (context + MASS)
+    return np.log10(p)
 
-def _arcs(seen: np.ndarray, c: np.ndarray, t: np.ndarray, pair: np.ndarray, at_root: np.ndarray) -> np.ndarray:
-    """log10 probability of each bigram with training counts seen: c and t hold each word's training count and followers."""
-    first, second = pair >> np.uint64(32), pair & _LOW
-    own, to_root = np.maximum(c[first], 1), at_root[second]
-    failure = np.where(t[first] > 0, DISCOUNT * t[first] / own, 1.0)
-    return np.where(seen > 0, np.log10(np.maximum(seen - DISCOUNT, 0) / own + failure * 10.0**to_root), np.log10(failure) + to_root)
 
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams) and score (the automaton)."""
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams) and score (the automaton with
+    sequences of up to `order` words)."""
+    if order < 2:
+        raise ValueError("the automaton's order is 2 or more")
     spark = docs.sparkSession
-    rows = _blocks(docs, id_col, text_col, block_chars)
-    vocabulary = rows.where("lid is not null").select("block", "lid", "word", "c")
-    totals = kept(vocabulary.where("c > 0").groupBy("word").agg(F.sum("c").alias("total")))
-    n, v = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    bigrams = _totals(rows)
-    followers = bigrams.where("u is not null").groupBy("u").agg(F.sum("t").alias("t"))
-    totals = totals.join(followers, F.xxhash64("word") == F.col("u"), "left").select("word", "total", F.coalesce("t", F.lit(0)).alias("t"))
+    prepare(spark)
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    blocks, buckets = max(1, -(-chars // block_chars)), max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
+    bits = min(WORD_BITS, MARGIN + max(1, chars).bit_length())
+    source = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).groupBy("block")
+
+    def read(group: pa.Table) -> tuple[int, Block]:
+        return group.column("block")[0].as_py(), Block(group.column("_id").to_pylist(), group.column("_text").to_pylist(), bits)
+
+    def send(group: pa.Table) -> pa.Table:
+        at, block = read(group)
+        return _sent([m for k, keys, where in block.sequences(order) for m in _messages(at, k, bits, buckets, *block.distinct(keys, where))])
+
+    def count_sequences(group: pa.Table) -> pa.Table:
+        length, bucket = (group.column(c)[0].as_py() for c in ("length", "bucket"))
+        of, totals, own, _ = _added(group, 1)
+        return _sent([(b, length, bucket, _packed(x[0], o) if length == 2 else _packed(x[0])) for b, x, o in zip(of, totals, own, strict=True)])
+
+    counted = written(source.applyInArrow(send, _SENT).groupBy("length", "bucket").applyInArrow(count_sequences, _SENT), "lm-sequences")
+    release(spark)
+
+    def send_words(group: pa.Table, answers: pa.Table) -> pa.Table:
+        at, block = read(group)
+        keys, c = block.words()
+        _, first = block.bigrams()
+        total, own = _returned(answers, 2, 2)
+        followers = np.bincount(first[(own > 0) & (total > 0)], minlength=len(keys))
+        return _sent(_messages(at, 1, WORD_BITS, buckets, keys, c, followers))
+
+    def count_words(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        of, totals, _, (c, _) = _added(group, 2)
+        rows = _sent([(b, 1, bucket, _packed(*x)) for b, x in zip(of, totals, strict=True)])
+        return rows.append_column("n", pa.array([int(c.sum())] + [0] * (len(of) - 1), pa.int64())).append_column("v", pa.array([int((c > 0).sum())] + [0] * (len(of) - 1), pa.int64()))
+
+    words = written(
+        source.cogroup(counted.where("length = 2").withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(send_words, _SENT).groupBy("bucket").applyInArrow(count_words, _SENT + ", n long, v long"),
+        "lm-words",
+    )
+    release(spark)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     model = Automaton(n, v, {}, np.zeros(0), np.zeros((0, 0)))
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def traverse(group: pa.Table, answers: pa.Table) -> pa.Table:
+        _, block = read(group)
+        c, t = _returned(answers, 1, 2)
+        before, longer, seen, last = block.before(), [], None, np.zeros(0, np.int64)
+        for k, keys, at in block.sequences(order):
+            totals = _returned(answers, k, 2 if k == 2 else 1)[0]
+            found = totals[np.searchsorted(np.unique(keys), keys)]
+            if k == 2:
+                seen = found
+            else:
+                longer.append((at, last[at - 1], found))
+            last = np.zeros(len(block.tokens), np.int64)
+            last[at] = found
+        p = arcs(model.at_root(c)[block.tokens], c[before], t[before], seen, longer)
+        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))[block.tokens]
+        columns = [
+            group.column("_id"),
+            pa.array(block.out),
+            pa.array(block.lengths),
+            pa.array(np.add.reduceat((c > 0)[block.tokens].astype(np.int64), block.first)),
+            pa.array(np.full(len(block.out), model.n, np.int64)),
+            pa.array(np.add.reduceat(base, block.first)),
+            pa.array(np.add.reduceat(p, block.first)),
+        ]
+        return pa.table(columns, names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    place = F.pmod(F.xxhash64("word"), F.lit(PARTS * SLICES)).cast("short").alias("place")
-    wanted = vocabulary.select("block", "lid", "word").join(totals, "word", "left")
-    wanted = wanted.select("block", "lid", place, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("t", F.lit(0)).alias("t"))
-    wanted = wanted.unionByName(bigrams.where("u is null").select("block", "bucket", "totals"), allowMissingColumns=True)
-    kind = rows.schema["_id"].dataType.simpleString()
+    answers = counted.unionByName(words.drop("n", "v")).withColumnRenamed("block", "of_block").groupBy("of_block")
     out_schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        packed = right.filter(pa.compute.is_valid(right.column("bucket"))).select(["bucket", "totals"]).sort_by("bucket")
-        right = right.filter(pa.compute.is_valid(right.column("lid"))).select(["lid", "place", "total", "t"])
-        lid = right.column("lid").to_numpy()
-        c, t, places = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int16)
-        c[lid], t[lid], places[lid] = right.column("total").to_numpy(), right.column("t").to_numpy(), right.column("place").to_numpy()
-        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
-        at_root, known = model.at_root(c), c > 0
-        texts = [np.frombuffer(unpack(x), np.uint32) for x in left.column("ids").to_pylist()]
-        pair, _ = _summed(np.concatenate([_bigrams(x) for x in texts]) << np.uint64(1)) if texts else (np.zeros(0, np.uint64), None)
-        seen = np.empty(len(pair), np.int64)
-        seen[np.argsort(_bucket(places, pair), kind="stable")] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack(x), np.int64) for x in packed.column("totals").to_pylist())])
-        arc = _arcs(seen, c, t, pair, at_root)
-        keys, out = left.column("_id"), []
-        for key, ids in zip(keys.to_pylist(), texts, strict=True):
-            all_ids = np.append(ids, np.uint32(0))
-            out.append((held_out(key), len(all_ids), int(known[all_ids].sum()), model.n, float(base[all_ids].sum()), float(arc[np.searchsorted(pair, _bigrams(ids))].sum())))
-        columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 6
-        types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([keys, *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    documents = rows.where("ids is not null").select("block", "_id", "ids")
-    return documents.groupBy("block").cogroup(wanted.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(run, out_schema).withColumnRenamed("_id", id_col)
+    return source.cogroup(answers).applyInArrow(traverse, out_schema).withColumnRenamed("_id", id_col)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=3)

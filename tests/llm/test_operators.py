@@ -466,6 +466,43 @@ def test_language_model_learns_rare_bigrams(spark):
     assert got[1000]["score"] > got[1001]["score"] + 1
 
 
+def test_language_model_of_three_words(docs, texts, none, spark):
+    """Every sequence of up to three words counts, whatever the blocks; the arcs of a state sum up to one."""
+    got, many = by_id(lm_score.score(docs, order=3)), by_id(lm_score.score(docs.repartition(5), order=3, block_chars=400))
+    tokens = {i: [b"", *(t or "").encode().lower().split(), b""] for i, t in texts}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    c = [Counter(tuple(t[k : k + n]) for t in train for k in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    for t in train:
+        c[0][b"",] -= 1  # the start isn't a token
+    total, v, d, m = sum(c[0].values()), len(c[0]), lm_score.DISCOUNT, lm_score.MASS
+    types = Counter(u for u, _ in c[1])
+
+    def p(w, s):
+        if not s:
+            return (c[0][w,] - d) / total if c[0][w,] else d * v / total
+        if len(s) == 1:
+            return (max(c[1][s[0], w] - d, 0) + d * types[s[0]] * p(w, ())) / c[0][s[0],] if c[0][s[0],] else p(w, ())
+        return (c[2][*s, w] + m * p(w, s[1:])) / (c[1][s] + m)
+
+    for i, t in tokens.items():
+        want = sum(np.log10(p(t[k], tuple(t[max(0, k - 2) : k]))) for k in range(1, len(t)))
+        assert abs(got[i]["score"] - want) < 1e-8 and abs(many[i]["score"] - want) < 1e-8, i
+    for s in [(), (b"",), *c[1]][:40]:
+        if s[-1:] != (b"",) or len(s) < 2:
+            assert abs(sum(p(w, s) for (w,) in c[0]) + (d * v / total) - 1) < 1e-9 if not s else abs(sum(p(w, s) for (w,) in c[0]) + p(b"unseen word", s) - 1) < 1e-9
+    assert lm_score.score(none, order=3).count() == 0
+    alone = spark.createDataFrame([(None, None, 1), (0, "a b " * 5000, 1), (0, "", 1)], "doc_id long, text string, block int")
+    assert sorted((r.held_out, r.n_tokens, r.score == 0) for r in lm_score.score(alone, order=3).collect()) == [(False, 1, False), (False, 10001, False), (True, 1, False)]
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 1 << 62, 1000, np.int64).astype(np.uint64))
+    counts = rng.integers(0, 5, 1000)
+    x = lm_score._unpacked(lm_score._packed(np.diff(keys, prepend=np.uint64(0)), counts), 2)
+    assert (np.cumsum(x[0]) == keys.astype(np.int64)).all() and (x[1] == counts).all()
+
+
 # 8
 
 
