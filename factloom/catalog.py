@@ -13,7 +13,7 @@ from .plans import constraints as con
 from .plans import machine as mach
 from .plans import rmap
 from .plans.recipe import printed, relation
-from .plans.rules import closure, cycle_core, derive
+from .plans.rules import closure, cycle_core, derive, most_specifically
 from .schema import Constraint, Machine, Rule, Transition
 from .star import star_store, table
 from .types import Domain
@@ -247,7 +247,7 @@ def ss_joinpath(spark, d):
     """Who buys from a supplier is of its nation: the argument joins three fact types, whatever order they are given in."""
     store = star_store(spark, d)
     left = con.joined_path(store, [("OrderFromSupplier", ("o", "s")), ("CustomerInNation", ("c", "n")), ("OrderPlacedByCustomer", ("o", "c"))], ("c", "s"))
-    right = con.joined_path(store, [("CustomerInNation", ("c", "n")), ("SupplierInNation", ("s", "n"))], ("c", "s"))
+    right = con.joined_path(store, [("CustomerInNation", ("c", "n")), ("SupplierInNation", ("s", "n"))], ("c", "s"), within=left)
     return con.subset(left, right)
 
 
@@ -272,13 +272,25 @@ def xo_exactly_one(spark, d):
     return con.exactly_one(table(spark, d, "nation").select(F.col("n_nationkey").alias("n")), [_nations(spark, d, "s"), _nations(spark, d, "c")])
 
 
-_EDGES = "SELECT DISTINCT (l_suppkey % 40)::BIGINT AS a, (l_partkey % 40)::BIGINT AS b FROM lineitem WHERE l_orderkey % 11 = 0"
-_FEW = "SELECT DISTINCT (l_suppkey % 97)::BIGINT AS a, (l_partkey % 97)::BIGINT AS b FROM lineitem WHERE l_orderkey % 331 = 0"
+_EDGES = "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem"
+#: What contains what: region, nation, customer, order, line.
+_TREE = (
+    "SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer "
+    "UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '.' || l_linenumber FROM lineitem"
+)
+
+
+def _edges(spark, d):
+    """Supplier numbers and the part numbers they supply, as one relation over numbers."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+
 
+def _tree(spark, d):
+    def pairs(name, x, a, y, *b):
+        return table(spark, d, name).select(F.concat(F.lit(x), F.col(a).cast("string")).alias("a"), F.concat(F.lit(y), F.concat_ws(".", *b)).alias("b"))
 
-def _edges(spark, d, few: bool = False):
-    m, k = (97, 331) if few else (40, 11)
-    return table(spark, d, "lineitem").where(f"l_orderkey % {k} = 0").select((F.col("l_suppkey") % m).alias("a"), (F.col("l_partkey") % m).alias("b")).distinct()
+    parts = [pairs("nation", "r", "n_regionkey", "n", "n_nationkey"), pairs("customer", "n", "c_nationkey", "c", "c_custkey"), pairs("orders", "c", "o_custkey", "o", "o_orderkey"), pairs("lineitem", "o", "l_orderkey", "l", "l_orderkey", "l_linenumber")]
+    return sets.union(*parts)
 
 
 for _adj, _sql in {
@@ -293,9 +305,9 @@ for _adj, _sql in {
     query(f"WITH e AS ({_EDGES}) {_sql}", f"ring_{_adj}")(lambda spark, d, _adj=_adj: con.RINGS[_adj](_edges(spark, d)))
 
 
-@query(f"WITH RECURSIVE e AS ({_FEW}), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM e WHERE EXISTS (SELECT 1 FROM c WHERE c.a = e.b AND c.b = e.a)")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM e WHERE EXISTS (SELECT 1 FROM c WHERE c.a = e.b AND c.b = e.a)")
 def ring_acyclic(spark, d):
-    return con.acyclic(_edges(spark, d, few=True))
+    return con.acyclic(_edges(spark, d))
 
 
 for _name, _op, _sql in (("lt", "<", ">="), ("le", "<=", ">"), ("ge", ">=", "<"), ("ne", "<>", "=")):
@@ -404,25 +416,25 @@ _REACH = "WITH RECURSIVE e AS ({}), r(a, b) AS (SELECT a, b FROM e UNION SELECT
 
 
 def _with_edges(spark, d):
-    return star_store(spark, d).with_facts(Edge=relation(_edges(spark, d, few=True), (1, 2)))
+    return star_store(spark, d).with_facts(Edge=relation(_tree(spark, d), (1, 2)))
 
 
-@query(_REACH.format(_FEW))
+@query(_REACH.format(_TREE))
 def closure_linear(spark, d):
     return derive(_with_edges(spark, d), [Rule("Reaches", ("Edge", ["joinon", "Reaches#base", "Edge", [[2, 1]], [1, 4]]))]).facts("Reaches").toDF("a", "b")
 
 
-@query(_REACH.format(_FEW))
+@query(_REACH.format(_TREE))
 def closure_nonlinear(spark, d):
     return derive(_with_edges(spark, d), [Rule("Reaches", ("Edge", ["joinon", "Reaches", "Reaches", [[2, 1]], [1, 4]]))]).facts("Reaches").toDF("a", "b")
 
 
-@query(_REACH.format(_FEW))
+@query(_REACH.format(_TREE))
 def closure_doubling(spark, d):
-    return closure(_edges(spark, d, few=True)).toDF("a", "b")
+    return closure(_tree(spark, d)).toDF("a", "b")
 
 
-@query(f"WITH RECURSIVE e AS ({_FEW}), r(a, b, odd) AS (SELECT a, b, true FROM e UNION SELECT r.a, e.b, NOT r.odd FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r WHERE NOT odd")
+@query(f"WITH RECURSIVE e AS ({_TREE}), r(a, b, odd) AS (SELECT a, b, true FROM e UNION SELECT r.a, e.b, NOT r.odd FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r WHERE NOT odd")
 def closure_mutual(spark, d):
     """Pairs that an even number of steps connects: two heads that derive each other."""
     step = [[2, 1]]
@@ -430,9 +442,9 @@ def closure_mutual(spark, d):
     return derive(_with_edges(spark, d), rules).facts("Even").toDF("a", "b")
 
 
-@query(f"WITH RECURSIVE e AS ({_FEW}), f(a, b) AS (SELECT a, b FROM e UNION SELECT f.a, e.b FROM f JOIN e ON f.b = e.a) SELECT a, b FROM e WHERE (a IN (SELECT a FROM f WHERE a = b) OR EXISTS (SELECT 1 FROM f WHERE f.b = e.a AND f.a IN (SELECT a FROM f WHERE a = b))) AND (b IN (SELECT a FROM f WHERE a = b) OR EXISTS (SELECT 1 FROM f WHERE f.a = e.b AND f.b IN (SELECT a FROM f WHERE a = b)))", "cycle_core")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), f(a, b) AS (SELECT a, b FROM e UNION SELECT f.a, e.b FROM f JOIN e ON f.b = e.a) SELECT a, b FROM e WHERE (a IN (SELECT a FROM f WHERE a = b) OR EXISTS (SELECT 1 FROM f WHERE f.b = e.a AND f.a IN (SELECT a FROM f WHERE a = b))) AND (b IN (SELECT a FROM f WHERE a = b) OR EXISTS (SELECT 1 FROM f WHERE f.a = e.b AND f.b IN (SELECT a FROM f WHERE a = b)))", "cycle_core")
 def _cycle_core(spark, d):
-    return cycle_core(_edges(spark, d, few=True)).toDF("a", "b")
+    return cycle_core(_edges(spark, d)).toDF("a", "b")
 
 
 @query("SELECT 'c' || c_custkey AS party FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier")
@@ -445,13 +457,10 @@ def subtype_inherit(spark, d):
     return sets.union(*[store.facts(f).select("c1") for f, ft in store.schema.fact_types.items() if f in ("CustomerInNation", "SupplierInNation") and ft.players[0] in store.schema.subtypes("Party")]).toDF("party")
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM ({_FEW}) WHERE a < b), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM r x JOIN r y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b)")
+@query(f"WITH RECURSIVE e AS ({_TREE}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r EXCEPT SELECT x.a, y.b FROM r x JOIN r y ON x.b = y.a")
 def most_specific(spark, d):
-    """Edges of an order that no longer path implies."""
-    edges = _edges(spark, d, few=True).where("a < b")
-    longer = closure(edges).toDF("a", "b")
-    two = longer.alias("x").join(longer.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct()
-    return edges.join(two, ["a", "b"], "left_anti")
+    """What most specifically contains each thing: of all that contain it, directly or not, the ones that contain no other."""
+    return most_specifically(closure(_tree(spark, d))).toDF("a", "b")
 
 
 # machines over events

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..schema import Constraint
 from ..types import Domain, kind, same_kind
 from .recipe import Compiler, sources
-from .rules import closure, cycle_core
+from .rules import strong_edges
 
 
 def _on(left: Iterable[str], right: Iterable[str]) -> Column:
@@ -164,12 +164,9 @@ def reflexive(df: DataFrame) -> DataFrame:
 
 
 def acyclic(df: DataFrame) -> DataFrame:
-    """The edges that lie on a cycle of any length."""
-    core = cycle_core(df)
-    back = closure(core).toDF("b1", "b2")
+    """The edges that lie on a cycle of any length: those inside a strongly connected component."""
     a, b = _pair(df)
-    edges = core.toDF(a, b)
-    return edges.join(back, (F.col(a) == F.col("b2")) & (F.col(b) == F.col("b1")), "left_semi")
+    return strong_edges(df).toDF(a, b)
 
 
 # values
@@ -326,12 +323,21 @@ def join_path(fact_types: list[tuple[str, tuple[str, ...]]]) -> list[int] | None
     return order
 
 
-def joined_path(store, fact_types: list[tuple[str, tuple[str, ...]]], want: tuple[str, ...]) -> DataFrame | None:
-    """Fact types joined on shared variables, projected to the wanted ones; None (unbuilt) if they don't connect."""
+def joined_path(store, fact_types: list[tuple[str, tuple[str, ...]]], want: tuple[str, ...], within: DataFrame | None = None) -> DataFrame | None:
+    """Fact types joined on shared variables, projected to the wanted ones; None (unbuilt) if they don't connect.
+
+    within: rows of the wanted variables to keep to, such as the other side of a subset. They are joined first, so that
+    ends that many middles connect don't make all their pairs.
+    """
     order = join_path(fact_types)
     if order is None:
         return None
-    out = None
+    out = None if within is None else within.select(*want).distinct()
+    if out is not None:
+        order = join_path([("", want), *fact_types])
+        if order is None:
+            return None
+        order = [k - 1 for k in order[1:]]
     for k in order:
         name, variables = fact_types[k]
         df = store.facts(name).toDF(*variables)

@@ -164,6 +164,7 @@ def _fixpoint(store: FactStore, part: list[str], arms: dict[str, list], semi: se
     if not total:
         raise RefusedRule(f"{', '.join(part)}: no arm to start from")
     delta = dict(total)
+    rounds = 0
 
     def source(name: str) -> Relation:
         if name.startswith("#delta "):
@@ -188,23 +189,70 @@ def _fixpoint(store: FactStore, part: list[str], arms: dict[str, list], semi: se
                 rows = kept(rows.subtract(total[head]) if head in total else rows.distinct())
                 if not rows.isEmpty():
                     new[head] = rows
+        rounds += 1
         for head, rows in new.items():
-            total[head] = total[head].union(rows) if head in total else rows
+            rows = total[head].union(rows) if head in total else rows
+            # many rounds leave many files, which every later round would read
+            total[head] = kept(rows) if rounds % 8 == 0 else rows
         delta = new
     return store.with_facts(**{h: Relation(df, frozenset([frozenset(range(1, len(df.columns) + 1))])) for h, df in total.items()})
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure of c1 -> c2 by doubling: path lengths double each round, so rounds are few."""
+    """Transitive closure of c1 -> c2 by doubling: path lengths double each round, so rounds are few. A round joins what the
+    last one found with all, from either side."""
     total = kept(edges.select(F.col(edges.columns[0]).alias("c1"), F.col(edges.columns[1]).alias("c2")).distinct())
+    new = total
     while True:
-        step = total.alias("a").join(total.alias("b"), F.col("a.c2") == F.col("b.c1")).select(F.col("a.c1").alias("c1"), F.col("b.c2").alias("c2"))
-        new = kept(step.subtract(total))
+        after = new.alias("a").join(total.alias("b"), F.col("a.c2") == F.col("b.c1")).select(F.col("a.c1").alias("c1"), F.col("b.c2").alias("c2"))
+        before = total.alias("a").join(new.alias("b"), F.col("a.c2") == F.col("b.c1")).select(F.col("a.c1").alias("c1"), F.col("b.c2").alias("c2"))
+        new = kept((after if new is total else after.union(before)).subtract(total))
         if new.isEmpty():
             return total
         total = kept(total.union(new))
 
 
+def most_specifically(pairs: DataFrame) -> DataFrame:
+    """Of a transitive relation (container, contained), the pairs with nothing between them."""
+    rows = pairs.toDF("c1", "c2")
+    between = rows.alias("a").join(rows.alias("b"), F.col("a.c2") == F.col("b.c1")).select(F.col("a.c1").alias("c1"), F.col("b.c2").alias("c2"))
+    return rows.join(between, ["c1", "c2"], "left_anti")
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after the least label of each node has gone along all edges, until nothing changes."""
+    while True:
+        came = edges.join(labels, F.col("c1") == F.col("node")).select(F.col("c2").alias("node"), "label")
+        least = kept(labels.union(came).groupBy("node").agg(F.min("label").alias("label")))
+        if least.subtract(labels).isEmpty():
+            return least
+        labels = least
+
+
+def strong_edges(edges: DataFrame) -> DataFrame:
+    """The edges inside strongly connected components, by colours: each node takes the least node that reaches it; those of
+    a colour that reach the colour's own node are its component. Components go, and the rest is coloured anew. Nothing is
+    as large as a closure."""
+    inside = []
+    rest = cycle_core(edges)
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("c1").alias("node")).union(rest.select("c2")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), rest)
+        named = rest.join(colour.toDF("c1", "l1"), "c1").join(colour.toDF("c2", "l2"), "c2")
+        same = kept(named.where("l1 = l2").select("c1", "c2", F.col("l1").alias("label")))
+        # backwards from each colour's own node
+        found = kept(colour.where("node = label").select("node"))
+        new = found
+        while not new.isEmpty():
+            back = same.join(new, F.col("c2") == F.col("node"), "left_semi").select(F.col("c1").alias("node")).distinct()
+            new = kept(back.join(found, "node", "left_anti"))
+            found = kept(found.union(new))
+        own = same.join(found.toDF("c1"), "c1", "left_semi").join(found.toDF("c2"), "c2", "left_semi").select("c1", "c2")
+        inside.append(kept(own))
+        rest = cycle_core(rest.join(found.toDF("c1"), "c1", "left_anti").join(found.toDF("c2"), "c2", "left_anti").select("c1", "c2"))
+    return reduce(DataFrame.union, inside) if inside else edges.limit(0).toDF("c1", "c2")
+
+
 def cycle_core(edges: DataFrame) -> DataFrame:
     """The edges that can lie on a cycle: ends that nothing enters or leaves are taken off until none is left."""
     core = kept(edges.select(F.col(edges.columns[0]).alias("c1"), F.col(edges.columns[1]).alias("c2")).distinct())
