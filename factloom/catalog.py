@@ -44,7 +44,7 @@ def recipe(name: str, form, columns: str, sql: str) -> None:
 recipe("rec_sel", ["sel", "OrderHasStatus", 2, "F"], "o s", "SELECT o_orderkey AS o, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'F'")
 recipe("rec_sel_other_kind", ["sel", "OrderHasStatus", 2, 1], "o s", "SELECT o_orderkey AS o, o_orderstatus AS s FROM orders WHERE false")
 recipe("rec_starts", ["starts", "PartHasType", 2, "P"], "p t", "SELECT p_partkey AS p, p_type AS t FROM part WHERE starts_with(p_type, 'P')")
-recipe("rec_cmp", ["cmp", ["joinon", "CustomerInNation", "NationInRegion", [[2, 1]], [1, 2, 4]], 2, 3], "c n r", "SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < n_regionkey")
+recipe("rec_cmp", ["cmp", ["joinon", "CustomerInNation", "NationInRegion", [[2, 1]], [1, 2, 4]], 3, 2], "c n r", "SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < c_nationkey")
 recipe("rec_proj", ["proj", "CustomerInNation", [2]], "n", "SELECT DISTINCT c_nationkey AS n FROM customer")
 recipe("rec_proj_repeat", ["proj", "CustomerInNation", [2, 1, 2]], "n c n2", "SELECT DISTINCT c_nationkey AS n, c_custkey AS c, c_nationkey AS n2 FROM customer")
 recipe("rec_join", ["join", "OrderPlacedByCustomer", "CustomerInNation", [1, 3]], "o n", "SELECT DISTINCT o_orderkey AS o, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -66,6 +66,17 @@ QUERIES["rec_calc_div"] = lambda spark, d: star_store(spark, d).query(["calc", "
 ORACLE["rec_calc_div"] = "SELECT event_id AS e, user_id AS u, ((event_id * 1000) // user_id)::BIGINT AS r FROM events WHERE user_id <> 0"
 QUERIES["rec_pow"] = lambda spark, d: star_store(spark, d).query(["calc", ["pairwith", "PartHasSize", 3], "^", 2, 3]).toDF("p", "s", "e", "r").select("p", "s", "r")
 ORACLE["rec_pow"] = "SELECT p_partkey AS p, p_size AS s, (p_size::BIGINT * p_size * p_size) AS r FROM part"
+def _digits(name: str, form, columns: str, sql: str, decimals: int) -> None:
+    """Register a recipe whose last column is compared as a whole number of units of its last decimal."""
+    *names, last = columns.split()
+    QUERIES[name] = lambda spark, d: star_store(spark, d).query(form).toDF(*names, last).withColumn(last, F.regexp_replace(F.col(last).cast(f"decimal(38,{decimals})").cast("string"), "[.]", "").cast("decimal(38,0)").cast("string"))
+    ORACLE[name] = sql
+
+
+# quotients, rounded in the 13th decimal, of large dividends and of fine ones; products to the last digit
+_digits("rec_calc_big", ["calc", ["proj", ["calc", ["pairwith", "EventOfUser", 10**13], "*", 1, 3], [1, 4, 2]], "/", 2, 3], "e a u r", "SELECT event_id AS e, event_id * 10000000000000 AS a, user_id AS u, ((event_id::HUGEINT * 10000000000000 * 10000000000000 * 2 + user_id) // (2 * user_id))::VARCHAR AS r FROM events WHERE user_id <> 0", 13)
+_digits("rec_calc_fine", ["calc", ["pairwith", ["pairwith", "EventOfUser", 0.1234567891], 3], "/", 3, 4], "e u f t r", "SELECT event_id AS e, user_id AS u, 0.1234567891::DOUBLE AS f, 3 AS t, '411522630333' AS r FROM events", 13)
+_digits("rec_calc_decimal", ["calc", ["pairwith", "OrderHasTotal", 0.0000123], "*", 2, 3], "o t f r", "SELECT o_orderkey AS o, o_totalprice AS t, 0.0000123::DOUBLE AS f, (round(o_totalprice::DECIMAL(18,2) * 100)::HUGEINT * 123)::VARCHAR AS r FROM orders", 9)
 recipe("rec_pairwith", ["pairwith", ["proj", "NationInRegion", [1]], "nation"], "n k", "SELECT n_nationkey AS n, 'nation' AS k FROM nation")
 recipe("rec_flat", ["flat", ["count", "SupplierSuppliesPart", ["CONS", 1]]], "s n", "SELECT l_suppkey AS s, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1")
 recipe("rec_union", ["union", ["proj", "CustomerInNation", [2]], ["proj", ["sel", "NationInRegion", 2, 1], [1]]], "n", "SELECT c_nationkey AS n FROM customer UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
@@ -406,8 +417,8 @@ for _name, (_run, _sql) in {
         "IdleNation",
         [["minus", ["proj", "NationInRegion", [1]], "ActiveNation"]],
         "n",
-        "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000 AND o_orderstatus = 'P'",
-        more=(Rule("ActiveNation", (["proj", ["joinon", ["joinon", "OrderPlacedByCustomer", ["joinon", ["cmp", ["pairwith", "OrderHasTotal", 400000.0], 3, 2], ["sel", "OrderHasStatus", 2, "P"], [[1, 1]], [1]], [[1, 1]], [1, 2]], "CustomerInNation", [[2, 1]], [1, 2, 4]], [3]],)),),
+        "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 499500 AND o_orderstatus = 'P'",
+        more=(Rule("ActiveNation", (["proj", ["joinon", ["joinon", "OrderPlacedByCustomer", ["joinon", ["cmp", ["pairwith", "OrderHasTotal", 499500.0], 3, 2], ["sel", "OrderHasStatus", 2, "P"], [[1, 1]], [1]], [[1, 1]], [1, 2]], "CustomerInNation", [[2, 1]], [1, 2, 4]], [3]],)),),
     ),
 }.items():
     query(_sql, _name)(_run)

@@ -74,35 +74,53 @@ def literal(value, data_type: T.DataType) -> Column | None:
     return F.lit(value) if number or kind(data_type) == "text" else F.lit(value).cast(data_type)
 
 
+#: What exact arithmetic is done in: 19 digits before the point, as 64-bit integers have, and 18 after it.
+EXACT, WHOLE, FRACTION = "decimal(37,18)", "decimal(19,0)", "decimal(18,18)"
+
+
 def exact(col: Column, data_type: T.DataType) -> Column:
-    """A number, or the text of one, as an exact decimal."""
-    if isinstance(data_type, T.DecimalType):
-        return col
-    if isinstance(data_type, T.IntegralType):
-        return col.cast("decimal(19,0)")
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return col.cast("decimal(19,6)")
-    return col.cast("decimal(19,7)")
+    """A number, or the text of one, as an exact decimal; a double is the shortest decimal that reads back as it."""
+    return col.cast(WHOLE if isinstance(data_type, T.IntegralType) else EXACT)
+
+
+def _split(x: Column) -> tuple[Column, Column]:
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast(WHOLE)
+    return whole, (x - whole).cast(FRACTION)
+
+
+def _product(x: Column, y: Column) -> Column:
+    """x * y of EXACT numbers, by parts, since the product of two wide decimals would lose its last digits."""
+    (a, b), (c, d) = _split(x), _split(y)
+    # a sum has a digit more than its parts
+    return reduce(lambda s, p: (s + p.cast("decimal(37,17)")).cast("decimal(37,17)"), [a * d, b * c, b * d], (a * c).cast("decimal(37,17)"))
+
+
+def _quotient(x: Column, y: Column) -> Column:
+    """x / y with 13 decimals: the nearest whole number, and what is left of x, which is at most half of y and so has that
+    many right digits as a double."""
+    whole = F.round(x / y, 0).cast(WHOLE)
+    c, d = _split(y)
+    rest = ((x - (whole * c).cast(EXACT)).cast(EXACT) - (whole * d).cast(EXACT)).cast("double") / y.cast("double")
+    return (whole.cast("decimal(32,13)") + F.round(rest, 13).cast("decimal(14,13)")).cast("decimal(38,13)")
 
 
 def arithmetic(op: str, a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
-    """a op b, exact. Integers stay 64-bit integers (overflow is an error) but for /, whose quotient has 13 decimals."""
+    """a op b, exact: integers stay 64-bit integers but for /, whose quotient has 13 decimals; other numbers have 19 digits
+    before the point, and 18 decimals (a product 17). What doesn't fit is an error."""
     integers = isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType)
     if op == "^":
         if not isinstance(tb, T.IntegralType):
             raise TypeError("the exponent is an integer")
-        one = F.lit(1).cast("decimal(38,0)" if integers else "decimal(38,10)")
-        power = F.aggregate(F.array_repeat(exact(a, ta), b.cast("int")), one, lambda x, y: (x * y).cast("decimal(38,0)" if integers else "decimal(38,10)"))
+        one, step = (F.lit(1).cast("decimal(38,0)"), lambda x, y: (x * y).cast("decimal(38,0)")) if integers else (F.lit(1).cast(EXACT), lambda x, y: _product(x, y).cast(EXACT))
+        power = F.aggregate(F.array_repeat(exact(a, ta), b.cast("int")), one, step)
         return power.cast("bigint") if integers else power
-    if op == "/":
-        return F.round(exact(a, ta).cast("decimal(20,7)") / exact(b, tb).cast("decimal(20,7)"), 13).cast("decimal(38,13)")
-    if op not in ("+", "-", "*"):
+    if op not in ("+", "-", "*", "/"):
         raise ValueError(f"unknown operator {op!r}")
-    if integers:
+    if integers and op != "/":
         a, b = a.cast("bigint"), b.cast("bigint")
-    else:
-        a, b = exact(a, ta), exact(b, tb)
-    return {"+": a + b, "-": a - b, "*": a * b}[op]
+        return {"+": a + b, "-": a - b, "*": a * b}[op]
+    a, b = exact(a, ta).cast(EXACT), exact(b, tb).cast(EXACT)
+    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: _product(a, b), "/": lambda: _quotient(a, b)}[op]()
 
 
 def printed(col: Column) -> Column:
@@ -212,7 +230,7 @@ class Compiler:
         r, key = self._grouped(src, c)
         value = _c(over)
         if isinstance(r.type(over), (T.FloatType, T.DoubleType)):
-            value = value.cast("decimal(19,6)")
+            value = value.cast("decimal(28,12)")
         same_kind(r.type(over), T.LongType(), "sum")
         return Relation(r.df.groupBy(key.alias("c1")).agg(F.sum(value).alias("c2")), frozenset([frozenset([1])]))
 

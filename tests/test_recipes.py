@@ -101,3 +101,30 @@ def test_ask_and_membership(people):
     assert people.has("Name", "p3", "Cy") and not people.has("Name", "p3", "Ann")
     assert "Nothing" not in people
     assert [n for n, _ in people.ask([(1, "Happy")])] == ["Happy"]
+
+
+def test_arithmetic_is_exact(spark):
+    from decimal import Decimal, localcontext
+
+    big = 9_000_000_000_000_000_000
+    df = spark.createDataFrame([(0.1234567891, 3.0, big, 7, 2.5, 0.4), (1e-9, 1e-10, 10**13, 3, 1000000.1, 1000000.0), (-7.25, 0.3, -(10**15) - 1, 10**6, 0.1, 0.2)], "a double, b double, c long, d long, e double, f double")
+    store = {"t": relation(df)}
+
+    def calc(op, i, j):
+        return [r[-1] for r in Compiler(store.get)(["calc", "t", op, i, j]).df.collect()]
+
+    def want(op, i, j):
+        rows = [[Decimal(repr(x)) for x in r] for r in df.collect()]
+        digits = {"/": 13, "*": 17}.get(op)
+        with localcontext(prec=60):
+            return [x if digits is None else x.quantize(Decimal(10) ** -digits, "ROUND_HALF_UP") for x in [{"/": lambda x, y: x / y, "*": lambda x, y: x * y, "+": lambda x, y: x + y, "-": lambda x, y: x - y}[op](r[i - 1], r[j - 1]) for r in rows]]
+
+    for i, j in ((1, 2), (3, 4), (5, 6), (4, 2), (5, 4)):
+        assert calc("/", i, j) == want("/", i, j), (i, j)
+    for op in "+-*":
+        for i, j in ((1, 2), (5, 6), (1, 6)):
+            assert calc(op, i, j) == want(op, i, j), (op, i, j)
+    assert calc("*", 4, 4) == [49, 9, 10**12] and calc("-", 3, 4) == [big - 7, 10**13 - 3, -(10**15) - 1 - 10**6]
+    for row, op, text in ((0, "*", "1"), (1, "-", "0.1")):
+        column = Compiler(store.get)(["calc", "t", op, 5, 6]).df.select(printed(F.col("c7")).alias("p")).collect()
+        assert column[row].p == text
