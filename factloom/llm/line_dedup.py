@@ -145,7 +145,7 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exa
     """docs packed as _doc, with n_lines, n_dropped, n_near (of those) and left (the text without the dropped lines)."""
     found = kept(duplicate_lines(docs, id_col=id_col, text_col=text_col, exact_words=exact_words))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_own"), F.col(text_col).alias("_t"), F.xxhash64(F.col(text_col)).alias("_th"))
-    rows = packed.join(bounded(found, BROADCAST_ROWS), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").withColumn("_l", F.split("_t", "\n"))
+    rows = packed.join(bounded(found, BROADCAST_ROWS, 4 * (F.size("gone") + F.size("near"))), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").withColumn("_l", F.split("_t", "\n"))
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone")), lambda i: F.get("_l", i))
     return rows.select(
         "_doc",

@@ -1,15 +1,18 @@
 r"""SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into five segments. Four differing bits leave one segment intact at least; if only one is
-intact, every other differs in exactly one bit. So two linked fingerprints agree either on two segments, or on one segment
-and the next one with one bit deleted. Every fingerprint is indexed by its segments, each with the next one's one-wildcard
-variants (64 keys), which cover intact neighbours too, and by the five pairs of segments that aren't neighbours. Equal keys
-are joined and the fingerprints verified, exactly and without a cap; keys have 24 to 26 bits besides their number.
+A fingerprint of 64 bits is cut into five segments. Four differing bits leave two segments intact, or one while each other
+segment differs in exactly one bit. So a fingerprint is indexed by its ten pairs of segments and by each segment with the
+next one's one-wildcard variants (64 keys). Fingerprints that meet by a wildcard only need comparing if they differ in that
+bit, and then they differ in the parity of every segment but the intact one; whether two such parities are equal is the same
+for both, which gives the key three bits more. Equal keys are joined and the fingerprints verified, exactly and without a
+cap; keys have 24 to 29 bits besides their number.
 
 Copies cost nothing: equal fingerprints are one class before anything is joined. Large groups of near copies would still
 give all their pairs, so links are made in steps that reach the same components. First every key links its members to one
-of them, where that link holds, several times with another one each; components are taken over these links. Only then
-members of a key that are still in different components are joined and verified.
+of them, where that link holds, several times with another one each; components are taken over these links. That is done
+with the ten pairs of segments as keys, which are few and bring most linked fingerprints together, and then with those of
+the signatures that different components share. Only then members of a key that are still in different components are
+joined and verified.
 
 `deduplicate` finds documents whose sets of five-word shingles have a similarity of 0.8 or more, which may differ in far
 more than four of 64 bits: see there.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +102,49 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_BITS = [((1 << n) - 1) << first for first, n in SEGMENTS]
+
+
+def _bits_of(mask: int) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))
+
+
+def _wildcards() -> list[tuple[int, int]]:
+    """(segment, bit of the next segment) of each key with a wildcard."""
+    follows = [SEGMENTS[(a + 1) % len(SEGMENTS)] for a in range(len(SEGMENTS))]
+    return [(a, first + b) for a, (first, n) in enumerate(follows) for b in range(n)]
+
+
 def signatures() -> list[Column]:
     """The keys of a fingerprint fp, as hashes of the key's number and the bits it holds."""
-    bits = [((1 << n) - 1) << first for first, n in SEGMENTS]
-    count = len(SEGMENTS)
-    masks = [bits[a] | bits[(a + 1) % count] & ~(1 << SEGMENTS[(a + 1) % count][0] + b) for a in range(count) for b in range(SEGMENTS[(a + 1) % count][1])]
-    masks += [bits[a] | bits[c] for a in range(count) for c in range(a + 2, count) if (c + 1) % count != a]
-    return [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(masks)]
+    count, keys = len(SEGMENTS), []
+    for k, (a, bit) in enumerate(_wildcards()):
+        others = [_BITS[c] for c in range(count) if c != a]
+        parities = [F.bit_count(_bits_of(x | y)) % 2 for x, y in zip(others, others[1:], strict=False)]
+        keys.append(F.xxhash64(F.lit(k), _bits_of(_BITS[a] | _BITS[(a + 1) % count] & ~(1 << bit)), *parities))
+    return keys + segment_pairs()
+
+
+def sides() -> list[Column]:
+    """For each of the signatures, what two fingerprints have to differ in to be compared: the wildcard's bit, or nothing."""
+    return [(_bits_of(1 << bit) != 0).cast("tinyint") for _, bit in _wildcards()] + [F.lit(None).cast("tinyint") for _ in segment_pairs()]
+
+
+def signature_keys(rows: DataFrame) -> DataFrame:
+    """fp, root, key and side of rows with fp and root."""
+    pairs = F.explode(F.array(*[F.struct(k.alias("key"), x.alias("side")) for k, x in zip(signatures(), sides(), strict=True)]))
+    return rows.select("fp", "root", pairs.alias("k")).select("fp", "root", "k.key", "k.side")
+
+
+def segment_pairs() -> list[Column]:
+    """Cheap keys of a fingerprint fp that bring most linked ones together: every pair of segments, without wildcards."""
+    return [F.xxhash64(F.lit(-1 - k), _bits_of(a | b)) for k, (a, b) in enumerate(combinations(_BITS, 2))]
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (fp, key) whose key several fingerprints have."""
+    several = kept(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"))
+    return keyed.join(bounded(several, BROADCAST_ROWS), "key", "left_semi")
 
 
 def within_distance(a: str, b: str) -> Column:
@@ -112,30 +152,37 @@ def within_distance(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a}fp ^ {b}fp) <= {DISTANCE}")
 
 
-def links(fps: DataFrame, keys: list[Column] | Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hints: DataFrame | None = None, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def _facing(a: str, b: str) -> Column:
+    """Whether rows of a key are to be compared under it: sides a and b differ, or the key has none."""
+    return F.col(a).isNull() | (F.col(a) != F.col(b))
+
+
+def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hints: DataFrame, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
-    fps: fp (distinct longs) and whatever else near reads; keys: columns, or what gives fp, root and key of fps with root; near: whether two rows are linked, given prefixes of their
+    fps: fp (distinct longs) and whatever else near reads; keys: gives fp, root, key and side (null, or a byte that has to
+    differ) of rows of fps with root; near: whether two rows are linked, given prefixes of their
     columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
     merge needn't be found by the many keys; verified: of rows with fp and another named column of fingerprints, those that
     are linked, where near only bounds that. Rows of keys hold fp alone; the other columns are joined to the rows that are
     compared.
     """
-    more_columns = [c for c in fps.columns if c != "fp"]
+    spark, more_columns = fps.sparkSession, [c for c in fps.columns if c != "fp"]
+    wide = bounded(fps, BROADCAST_ROWS // 4) if more_columns else None
 
     def full(df: DataFrame, prefix: str) -> DataFrame:
         """df with the other columns of its column <prefix>fp, under that prefix."""
-        if not more_columns:
+        if wide is None:
             return df
-        return df.join(fps.select(F.col("fp").alias(f"{prefix}fp"), *[F.col(c).alias(f"{prefix}{c}") for c in more_columns]), f"{prefix}fp")
+        return df.join(wide.select(F.col("fp").alias(f"{prefix}fp"), *[F.col(c).alias(f"{prefix}{c}") for c in more_columns]), f"{prefix}fp")
 
     def pivoted(shared: DataFrame, roots: DataFrame | None) -> DataFrame | None:
         """roots after every key has linked its members to one of them, several times with another one each."""
         for r in range(ROUNDS):
             rooted = _rooted(shared, roots)
-            pivot = rooted.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(r))).alias("p"))
-            pivot = pivot.select("key", F.col("p.fp").alias("p_fp"), F.col("p.root").alias("p_root"))
-            pairs = rooted.join(pivot, "key").where(F.col("root") != F.col("p_root")).select("fp", "root", "p_fp", "p_root")
+            pivot = rooted.groupBy("key").agg(F.min_by(F.struct("fp", "root", "side"), F.xxhash64("fp", F.lit(r))).alias("p"))
+            pivot = pivot.select("key", F.col("p.fp").alias("p_fp"), F.col("p.root").alias("p_root"), F.col("p.side").alias("p_side"))
+            pairs = rooted.join(pivot, "key").where((F.col("root") != F.col("p_root")) & _facing("side", "p_side")).select("fp", "root", "p_fp", "p_root")
             if more_columns:
                 pairs = full(full(pairs.distinct(), ""), "p_")
             pairs = pairs.where(near("", "p_"))
@@ -146,23 +193,25 @@ def links(fps: DataFrame, keys: list[Column] | Callable[[DataFrame], DataFrame],
                 break
             roots = _merged(roots, edges)
             del rooted, pivot, pairs, edges
-            release(fps.sparkSession)
+            release(spark)
         return roots
 
-    roots = pivoted(kept(hints), None) if hints is not None else None
-    keyed = _rooted(fps, roots)
-    keyed = keys(keyed) if callable(keys) else keyed.select("fp", "root", F.explode(F.array(*keys)).alias("key"))
+    roots = pivoted(kept(hints.withColumn("side", F.lit(None).cast("tinyint"))), None)
+    # as many tasks as shuffles have: fingerprints are few and small, their keys many
+    keyed = keys(_rooted(fps, roots).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # keys that bring different components together; most have one member
-    several = kept(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    shared = written(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp"), "signatures")
+    facing = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    several = kept(facing.where("lo <> hi and (s0 is null or s0 <> s1)").select("key"))
+    shared = written(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "side"), "signatures")
+    release(spark)
     roots = pivoted(shared, roots)
     # Members that are in different components by now. Of such a pair one at least is outside the component that most of
     # the key's members are in, so only those are paired with all
     rooted = _rooted(shared, roots)
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     mixed = written(full(rooted.join(main.select("key", "main"), "key"), ""), "mixed")
-    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", *more_columns)])
-    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & near("", "o_"))
+    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", "side", *more_columns)])
+    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & _facing("side", "o_side") & near("", "o_"))
     if verified is not None:
         more = verified(more.select("fp", "root", "o_fp", "o_root").distinct(), "o_fp")
     more = more.select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
@@ -188,13 +237,19 @@ def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return kept(moved.unionByName(fresh))
 
 
+def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """classes (fp, class_id) with component_id, the least class_id of all that have its root; most have none."""
+    least = kept(classes.select("fp", "class_id").join(roots, "fp").groupBy("root").agg(F.min("class_id").alias("component_id")))
+    linked = kept(roots.join(bounded(least, BROADCAST_ROWS), "root").select("fp", "component_id"))
+    return classes.join(bounded(linked, BROADCAST_ROWS), "fp", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """Per document: id, fp (signed long), class_id (least id with its fingerprint) and component_id (least id reachable)."""
     prints = kept(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
     classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id")))
-    rooted = classes.join(links(classes.select("fp"), signatures(), within_distance), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    placed = kept(rooted.join(least, "root").select("fp", "class_id", "component_id"))
+    cheap = shared_keys(classes.select("fp", F.explode(F.array(*segment_pairs())).alias("key")))
+    placed = kept(_placed(classes, links(classes.select("fp"), signature_keys, within_distance, cheap)).select("fp", "class_id", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "fp", "class_id", "component_id")
 
 
@@ -242,8 +297,9 @@ def plan_segments(similarity: float, documents: int) -> list[tuple[int, ...]]:
 
 
 def segment_keys(rows: DataFrame, segments: list[tuple[int, ...]]) -> DataFrame:
-    """fp, root and key of rows with a wide fingerprint w0 ...: of each segment, its bits with one of them left out, for each
-    of them. By numpy, since as expressions so many keys of so many words would fill the driver."""
+    """fp, root, key and side of rows with a wide fingerprint w0 ...: of each segment, all its bits, and its bits with one of
+    them left out, for each of them, which is the side. By numpy, since as expressions so many keys of so many words would
+    fill the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -251,16 +307,21 @@ def segment_keys(rows: DataFrame, segments: list[tuple[int, ...]]) -> DataFrame:
                 batch = whole.slice(at, 256)
                 wide = np.stack([batch.column(2 + w).to_numpy(zero_copy_only=False).astype(np.int64) for w in range(WIDE)], axis=1).astype("<i8")
                 bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-                keys = []
+                keys, sides = [], []
                 for k, segment in enumerate(segments):
                     places = np.arange(len(segment), dtype=np.uint64)
-                    value = (bits[:, list(segment)] << places).sum(1, dtype=np.uint64)
-                    # value has 32 bits at most, the place left out 5 and the segment the rest, so keys are distinct
-                    keys += [value & ~(np.uint64(1) << b) | b << np.uint64(32) | np.uint64(k << 37) for b in places]
+                    own = bits[:, list(segment)]
+                    value = (own << places).sum(1, dtype=np.uint64)
+                    # value has 32 bits at most, the place left out 6 (63: none) and the segment the rest, so keys are distinct
+                    keys += [value & ~(np.uint64(1) << b) | b << np.uint64(32) | np.uint64(k << 38) for b in places]
+                    sides += [own[:, b].astype(np.int8) for b in range(len(segment))]
+                    keys.append(value | np.uint64(63 << 32 | k << 38))
+                    sides.append(np.full(len(value), -1, np.int8))
                 columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(keys))) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.stack(keys, axis=1).ravel().view(np.int64))], names=["fp", "root", "key"])
+                side = np.stack(sides, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.stack(keys, axis=1).ravel().view(np.int64)), pa.array(side, mask=side < 0)], names=["fp", "root", "key", "side"])
 
-    return rows.select("fp", "root", *[f"w{w}" for w in range(WIDE)]).mapInArrow(run, "fp long, root long, key long")
+    return rows.select("fp", "root", *[f"w{w}" for w in range(WIDE)]).mapInArrow(run, "fp long, root long, key long, side byte")
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -323,13 +384,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
 
+    few = bounded(sets, BROADCAST_ROWS // 4, 8 * F.size("shingles"))
+
     def verified(pairs: DataFrame, other: str) -> DataFrame:
-        rows = pairs.join(sets.select("fp", F.col("shingles").alias("_a")), "fp").join(sets.select(F.col("fp").alias(other), F.col("shingles").alias("_b")), other)
+        rows = pairs.join(few.select("fp", F.col("shingles").alias("_a")), "fp").join(few.select(F.col("fp").alias(other), F.col("shingles").alias("_b")), other)
         both = F.size(F.array_intersect("_a", "_b"))
         return rows.where(both / (F.size("_a") + F.size("_b") - both) >= similarity).drop("_a", "_b")
 
-    rooted = classes.select("fp", "class_id").join(links(candidates, lambda rows: segment_keys(rows, segments), near, hints, verified), "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
-    placed = kept(rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("fp", "component_id"))
+    placed = kept(_placed(classes.select("fp", "class_id"), links(candidates, lambda rows: segment_keys(rows, segments), near, hints, verified)).select("fp", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
 
 

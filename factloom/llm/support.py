@@ -74,14 +74,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Ask the driver to drop what nothing refers to any more, so that executors can delete the shuffle files of finished
-    rounds; Spark does so only after the driver's garbage is collected, which it may not need for a long time."""
+    rounds; Spark does so only after the driver's garbage is collected, which it may not need for a long time. The last
+    query's plan is held until another one runs."""
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """A small side of a join: broadcast if it has at most max_rows rows, else joined by a shuffle. df must be kept()."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of arrays and texts in the rows of a side that is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, max_rows: int, bytes_of: Column | None = None) -> DataFrame:
+    """A small side of a join: broadcast if it has at most max_rows rows, and at most BROADCAST_BYTES of bytes_of (what is not
+    of a fixed size in a row), else joined by a shuffle. df must be kept()."""
+    if df.limit(max_rows + 1).count() > max_rows or bytes_of is not None and (df.agg(F.sum(bytes_of)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def file_system(uri: str):
