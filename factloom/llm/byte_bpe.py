@@ -11,7 +11,7 @@ instead, in n log n; pieces go to the query in batches of bounded total rows.
 
 Whole texts are first cut where the pattern always cuts: before a run of white space that follows something else, and
 after a run of letters that other ASCII follows. So the pattern runs once per distinct cut. A worker forgets its pieces
-and cuts when they exceed REMEMBERED.
+and cuts when they take more than REMEMBERED bytes, whatever their lengths.
 
 Defined results: null text is empty: no ids, and it decodes to the empty text; repeated documents are encoded one by one;
 an empty table gives no rows; only the id and text columns are read, so other columns can't clash.
@@ -33,7 +33,7 @@ from .support import prepare, table
 from .token_files import CUT, Store, _groups
 
 LONG = 200
-REMEMBERED = 750_000
+REMEMBERED = 112 << 20
 #: Rows of a recursive query at most, about.
 QUERY_ROWS = 1_000_000
 
@@ -151,7 +151,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.store.known) > REMEMBERED:
+        if self.store.bytes() > REMEMBERED:
             self.forget()
         cuts = [CUT.findall(t) for t in texts]
         index, first, new = self.store.number(cuts)

@@ -36,8 +36,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 CUT = re.compile(rf" ?[{LETTERS}]++(?=[\x00-\x7f]|\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORD = re.compile(rf" [{LETTERS}]+\Z").match
-#: Distinct cuts that a worker remembers, and ids in a file at most (one longer document is a file of its own).
-REMEMBERED = 1_500_000
+#: Bytes of distinct cuts that a worker remembers, and ids in a file at most (one longer document is a file of its own).
+REMEMBERED = 288 << 20
 IDS_A_FILE = 4 << 20
 
 
@@ -78,7 +78,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.store.known) > REMEMBERED:
+        if self.store.bytes() > REMEMBERED:
             self.forget()
         cuts = [CUT.findall(t) for t in texts]
         index, first, new = self.store.number(cuts)
@@ -94,22 +94,29 @@ class Store:
 
     def __init__(self):
         self.known: defaultdict = defaultdict(count().__next__)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.chars = 0
 
     def number(self, cuts: list[list[str]]) -> tuple[np.ndarray, int, list[str]]:
         """(numbers of all cuts, first new number, the new cuts in order), which the caller has to fill."""
         before = len(self.known)
         index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
         new = list(islice(reversed(self.known), len(self.known) - before))
+        self.chars += sum(map(len, new))
         return index, before, new[::-1]
 
+    def bytes(self) -> int:
+        """What the store takes, about: a text of up to four bytes a character, its entry and its number, and the arrays."""
+        return 4 * self.chars + 150 * len(self.known) + self.ids.nbytes + self.at.nbytes + self.size.nbytes
+
     def fill(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Set the ids of texts by number; ids follow one another."""
         while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids.resize(len(self.ids) * 3 // 2, refcheck=False)
         while len(self.known) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            for x in (self.at, self.size):
+                x.resize(len(x) * 3 // 2, refcheck=False)
         self.ids[self.used : self.used + len(ids)] = ids
         self.at[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
