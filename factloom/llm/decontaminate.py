@@ -4,8 +4,9 @@ Every benchmark item gives its windows of `window` consecutive normalised words
 none, is one window). Workers hold the windows twice: as 64-bit hashes behind a bitmap, which a vectorised pass over a
 whole document consults, and as the words themselves, by which every hash hit is verified.
 
-The benchmark is broadcast in blocks of at most `block_bytes` of text, so what a worker holds at once is bounded however
-large the benchmark is; a document batch is scanned against each block in turn and no documents are shuffled.
+The benchmark is broadcast if its text has at most `block_bytes`, so what a worker holds is bounded; it builds the index
+once, and no documents are shuffled. A larger benchmark is joined instead: windows of documents and items meet by two
+64-bit hashes of their words, and the places found go back to the documents by two hashes of the text.
 
 Defined results: null or empty text has no words and no hits; a null item text has no windows; an item with a null id
 marks words but is not listed; repeated documents are scanned one by one, repeated items count once by id; result columns
@@ -97,12 +98,12 @@ class WindowIndex:
 _last: list = [None, None]
 
 
-def _index(block, window: int) -> WindowIndex:
-    """The index of a broadcast block; a worker holds one at a time."""
-    key = (block.value[0], window)
+def _index(items, window: int) -> WindowIndex:
+    """The index of broadcast items; a worker holds that of the last benchmark."""
+    key = (items.value[0], window)
     if _last[0] != key:
         _last[0] = _last[1] = None
-        _last[1] = WindowIndex(block.value[1], window)
+        _last[1] = WindowIndex(items.value[1], window)
         _last[0] = key
     return _last[1]
 
@@ -122,19 +123,65 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list:
-    """Broadcasts of (key, items), each of at most about block_bytes of text (one longer item is a block of its own)."""
-    spark, rows = benchmark.sparkSession, benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    parts = -(-size // max(1, block_bytes)) if size else 0
-    blocks = []
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        items = sorted({(r.i, r.t) for r in part.toLocalIterator()}, key=lambda x: (x[0] or "", x[1]))
-        if items:
-            # workers outlive a query, so the key tells this benchmark's blocks from any other's
-            blocks.append(spark.sparkContext.broadcast((uuid.uuid4().hex, items)))
-    return blocks
+_RUN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _result(batch: pa.RecordBatch, text_at: str, drop: list[str], texts: list, words: list, hits: list[np.ndarray], found: list) -> pa.RecordBatch:
+    rest = batch.drop_columns([text_at, *drop])
+    columns = [
+        pa.array([len(w) for w in words], pa.int64()),
+        pa.array([int(h.sum()) for h in hits], pa.int64()),
+        pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.string())),
+        pa.array([_spans(t, h) if h.any() else [] for t, h in zip(texts, hits, strict=True)], _RUN_TYPE),
+    ]
+    return pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, *(f.name for f in RESULT)])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Slices of batches with their texts and words."""
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+        texts = batch.column(text_at).to_pylist()
+        yield batch, texts, [alnum_words(t.encode()) if t else [] for t in texts]
+
+
+def _windows(rows: DataFrame, window: int, sizes: list[int] | None) -> DataFrame:
+    """Of rows (k: anything, t: text): k, size, at and two hashes of the windows of each size (sizes None: each text's own)."""
+    prepare(rows.sparkSession)
+    factors = [np.array([xxh64_intdigest(b"%d place %d" % (f, k)) | 1 for k in range(window)], np.uint64) for f in range(2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, words in _sliced(batches, "t"):
+            for row, w in enumerate(words):
+                codes = np.fromiter((xxh64_intdigest(x) for x in w), np.uint64, len(w))
+                for size in ([min(window, len(w))] if w else []) if sizes is None else [s for s in sizes if s <= len(w)]:
+                    n = len(w) - size + 1
+                    hashes = [sum((codes[k : k + n] * f[k] for k in range(size)), np.zeros(n, np.uint64)) for f in factors]
+                    hashes = [(h ^ (h >> np.uint64(29))).view(np.int64) for h in hashes]
+                    key = batch.column(0).take(pa.array(np.full(n, row)))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(np.full(n, size, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, hashes)], names=["k", "size", "at", "a", "b"])
+
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, size int, at int, a long, b long")
+
+
+def _scan_by_join(source: DataFrame, items: DataFrame, text_at: str, window: int, schema: T.StructType) -> DataFrame:
+    """source with RESULT where the benchmark is too large to broadcast."""
+    own = _windows(items.select(F.struct("i").alias("k"), "t"), window, None).select("k", "size", "a", "b").distinct()
+    sizes = sorted(r[0] for r in own.select("size").distinct().collect())
+    key = F.struct(F.xxhash64(text_at).alias("x"), F.xxhash64(F.lit(1), text_at).alias("y"))
+    found = _windows(source.where(F.col(text_at) != "").select(key.alias("k"), F.col(text_at).alias("t")), window, sizes)
+    hits = found.withColumnRenamed("k", "_text_key").join(own, ["size", "a", "b"])
+    hits = hits.groupBy("_text_key").agg(F.collect_set(F.struct("at", "size")).alias("_places"), F.collect_set("k.i").alias("_items"))
+    rows = source.withColumn("_text_key", key).join(hits, "_text_key", "left").drop("_text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, words in _sliced(batches, text_at):
+            hits = [np.zeros(len(w), bool) for w in words]
+            for h, places in zip(hits, batch.column("_places").to_pylist(), strict=True):
+                for p in places or ():
+                    h[p["at"] : p["at"] + p["size"]] = True
+            yield _result(batch, text_at, ["_places", "_items"], texts, words, hits, [x or () for x in batch.column("_items").to_pylist()])
+
+    return rows.mapInArrow(run, schema)
 
 
 def scan(
@@ -146,31 +193,23 @@ def scan(
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in names]
     text_at = "_scan_text"
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text_at))
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     schema = T.StructType([f for f in source.schema if f.name != text_at] + RESULT.fields)
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
+    if (items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) > block_bytes:
+        return _scan_by_join(source, items, text_at, window, schema)
+    rows = sorted({(r.i, r.t) for r in items.collect()}, key=lambda x: (x[0] or "", x[1]))
+    # workers outlive a query, so the key tells this benchmark from any other
+    block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            texts = batch.column(text_at).to_pylist()
-            words = [alnum_words(t.encode()) if t else [] for t in texts]
+        for batch, texts, words in _sliced(batches, text_at):
+            index = _index(block, window)
             hits = [np.zeros(len(w), bool) for w in words]
             found: list[set] = [set() for _ in words]
-            for block in blocks:
-                index = _index(block, window)
-                for w, h, f in zip(words, hits, found, strict=True):
-                    if w:
-                        index.scan(w, h, f)
-            rest = batch.drop_columns([text_at])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *rest.columns,
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([int(h.sum()) for h in hits], pa.int64()),
-                    pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.string())),
-                    pa.array([_spans(t, h) if h.any() else [] for t, h in zip(texts, hits, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                names=[*rest.schema.names, *(f.name for f in RESULT)],
-            )
+            for w, h, f in zip(words, hits, found, strict=True):
+                if w:
+                    index.scan(w, h, f)
+            yield _result(batch, text_at, [], texts, words, hits, found)
 
     return source.mapInArrow(run, schema)
 
