@@ -56,7 +56,7 @@ END = b""
 #: Characters of a block, and of the documents whose sequences of one length a bucket counts, about.
 BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 32_000_000
 LEAST_BUCKETS = 8
-WORD_BITS, MARGIN = 63, 24
+WORD_BITS, LEAST_BITS, MARGIN = 63, 40, 16
 
 
 def held_out(key) -> bool:
@@ -78,24 +78,47 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    order = np.argsort(keys)
+    starts = _starts(keys[order])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    return keys[order[starts]], place
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
     """64-bit numbers byte by byte, the low bytes of all first: what is small or alike compresses."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of as many 64-bit numbers each."""
+def _packed(counts: list[np.ndarray], keys: np.ndarray | None = None) -> bytes:
+    """Columns of as many 64-bit numbers each: counts, mostly a few bits, by Huffman's code, and differences of keys."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, columns)))
+    wide, low = [] if keys is None else [_planes(np.diff(keys, prepend=np.uint64(0))).tobytes()], []
+    for c in map(_planes, counts):
+        low.append(c[0].tobytes())
+        wide.append(c[1:].tobytes())
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    short = coder.compress(b"".join(low)) + coder.flush()
+    return len(short).to_bytes(8, "little") + short + zstandard.ZstdCompressor(level=1).compress(b"".join(wide))
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    """What _packed was given, a row for each of n columns."""
+def _unpacked(data: bytes, counts: int, keys: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The counts that _packed was given, a row for each, and the keys."""
     import zstandard
 
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 8, -1)
-    return np.ascontiguousarray(x.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    size = 8 + int.from_bytes(data[:8], "little")
+    low = np.frombuffer(zlib.decompress(data[8:size], -15), np.uint8).reshape(counts, -1)
+    n = low.shape[1]
+    wide = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[size:]), np.uint8)
+    planes = np.concatenate([low[:, None], wide[8 * n * keys :].reshape(counts, 7, n)], axis=1)
+
+    def numbers(x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x.swapaxes(-1, -2)).view("<i8")[..., 0]
+
+    return numbers(planes), np.cumsum(numbers(wide[: 8 * n].reshape(8, n))) if keys else None
 
 
 class Block:
@@ -149,19 +172,21 @@ class Block:
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the distinct bigrams in order, and their first words."""
-        code = np.unique(self.before().astype(np.uint64) << np.uint64(32) | self.tokens.astype(np.uint64))
+        code = self.before().astype(np.uint64) << np.uint64(32) | self.tokens.astype(np.uint64)
+        code.sort()
+        code = code[_starts(code)]
         first = (code >> np.uint64(32)).astype(np.int64)
         keys = _joined(self.hashes[first], self.hashes[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)]) >> np.uint64(64 - self.bits)
-        order = np.argsort(keys, kind="stable")
-        starts = _starts(keys[order])
-        return keys[order][starts], first[order][starts]
+        order = np.argsort(keys)
+        order = order[_starts(keys[order])]
+        return keys[order], first[order]
 
 
 def _messages(block: int, order: int, bits: int, buckets: int, keys: np.ndarray, *counts: np.ndarray) -> list[tuple]:
-    """Rows (block, length, bucket, data) of ascending keys, given as differences, and their counts."""
+    """Rows (block, length, bucket, data) of ascending keys and their counts."""
     bucket = (keys >> np.uint64(bits - 20)) * np.uint64(buckets) >> np.uint64(20)
     ends = np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64), side="right").tolist()
-    return [(block, order, k, _packed(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts))) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+    return [(block, order, k, _packed([c[a:b] for c in counts], keys[a:b])) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
 _SENT = "block long, length int, bucket int, data binary"
@@ -176,23 +201,23 @@ def _added(group: pa.Table, columns: int) -> tuple[list[int], list[np.ndarray],
     """Of what blocks sent to a bucket: the blocks, the columns of totals to return to each, whether each of its keys is its
     own to count, and the totals of the distinct keys."""
     group = group.sort_by("block")
-    parts = [_unpacked(x, columns + 1) for x in group.column("data").to_pylist()]
-    keys = np.concatenate([np.cumsum(x[0]) for x in parts])
-    order = np.argsort(keys, kind="stable")
+    parts = [_unpacked(x, columns, True) for x in group.column("data").to_pylist()]
+    keys = np.concatenate([x for _, x in parts])
+    order = np.argsort(keys)
     starts = _starts(keys[order])
-    sums = np.stack([np.add.reduceat(np.concatenate([x[c] for x in parts])[order], starts) for c in range(1, columns + 1)])
+    sums = np.stack([np.add.reduceat(np.concatenate([x[c] for x, _ in parts])[order], starts) for c in range(columns)])
     back = np.empty((columns, len(keys)), np.int64)
     back[:, order] = np.repeat(sums, np.diff(np.append(starts, len(keys))), axis=1)
     own = np.zeros(len(keys), np.int64)
     own[order[starts]] = 1
-    cuts = np.cumsum([x.shape[1] for x in parts])[:-1]
+    cuts = np.cumsum([len(x) for _, x in parts])[:-1]
     return group.column("block").to_pylist(), np.split(back, cuts, axis=1), np.split(own, cuts), sums
 
 
 def _returned(answers: pa.Table, length: int, columns: int) -> np.ndarray:
     """The totals of a block's keys of a length, in order."""
     rows = answers.filter(pc.equal(answers.column("length"), length)).sort_by("bucket").column("data").to_pylist()
-    return np.concatenate([np.zeros((columns, 0), np.int64), *(_unpacked(x, columns) for x in rows)], axis=1)
+    return np.concatenate([np.zeros((columns, 0), np.int64), *(_unpacked(x, columns)[0] for x in rows)], axis=1)
 
 
 class Automaton:
@@ -237,7 +262,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     prepare(spark)
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks, buckets = max(1, -(-chars // block_chars)), max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
-    bits = min(WORD_BITS, MARGIN + max(1, chars).bit_length())
+    bits = max(LEAST_BITS, min(WORD_BITS, MARGIN + chars.bit_length()))
     source = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).groupBy("block")
 
     def read(group: pa.Table) -> tuple[int, Block]:
@@ -250,7 +275,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     def count_sequences(group: pa.Table) -> pa.Table:
         length, bucket = (group.column(c)[0].as_py() for c in ("length", "bucket"))
         of, totals, own, _ = _added(group, 1)
-        return _sent([(b, length, bucket, _packed(x[0], o) if length == 2 else _packed(x[0])) for b, x, o in zip(of, totals, own, strict=True)])
+        return _sent([(b, length, bucket, _packed([x[0], o] if length == 2 else [x[0]])) for b, x, o in zip(of, totals, own, strict=True)])
 
     counted = written(source.applyInArrow(send, _SENT).groupBy("length", "bucket").applyInArrow(count_sequences, _SENT), "lm-sequences")
     release(spark)
@@ -266,7 +291,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     def count_words(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         of, totals, _, (c, _) = _added(group, 2)
-        rows = _sent([(b, 1, bucket, _packed(*x)) for b, x in zip(of, totals, strict=True)])
+        rows = _sent([(b, 1, bucket, _packed(list(x))) for b, x in zip(of, totals, strict=True)])
         return rows.append_column("n", pa.array([int(c.sum())] + [0] * (len(of) - 1), pa.int64())).append_column("v", pa.array([int((c > 0).sum())] + [0] * (len(of) - 1), pa.int64()))
 
     words = written(
@@ -284,7 +309,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         before, longer, seen, last = block.before(), [], None, np.zeros(0, np.int64)
         for k, keys, at in block.sequences(order):
             totals = _returned(answers, k, 2 if k == 2 else 1)[0]
-            found = totals[np.searchsorted(np.unique(keys), keys)]
+            found = totals[_distinct(keys)[1]]
             if k == 2:
                 seen = found
             else:

@@ -499,8 +499,9 @@ def test_packed_numbers_round_trip():
     rng = np.random.default_rng(3)
     keys = np.sort(rng.integers(0, 1 << 62, 1000, np.int64).astype(np.uint64))
     counts = rng.integers(0, 5, 1000)
-    x = lm_score._unpacked(lm_score._packed(np.diff(keys, prepend=np.uint64(0)), counts), 2)
-    assert (np.cumsum(x[0]) == keys.astype(np.int64)).all() and (x[1] == counts).all()
+    back, same = lm_score._unpacked(lm_score._packed([counts, counts * 10**12], keys), 2, True)
+    assert (same == keys.astype(np.int64)).all() and (back == [counts, counts * 10**12]).all()
+    assert (lm_score._unpacked(lm_score._packed([counts]), 1)[0] == counts).all()
 
 
 # 8
