@@ -1,11 +1,10 @@
 r"""Line dedup by deletion neighbourhoods, by DataFrame functions only.
 
-A line goes if an earlier line equals it or is within one edit of it; the earliest stays. Lines are compared as their words
-(`[^\x20\x09-\x0D]+`), an edit puts in, takes out or replaces one word, and only lines of at least MIN_WORDS = 5 words are
-compared at all, so that two lines within an edit agree in four fifths of their words or more (`exact_words` lets shorter
-lines go too, if an earlier line equals them). Earlier means by id, then
-text (for rows that share an id), then line number. The rule looks at each line by itself: whether the earlier line goes
-too makes no difference.
+A line with a word goes if an earlier line equals it or is within one edit of it; the earliest stays. Lines are compared as
+their words (`[^\x20\x09-\x0D]+`). Lines of any length can be equal (by a 64-bit hash and the length of their words); an edit
+puts in, takes out or replaces one word, and only counts between lines of at least MIN_WORDS = 5 words, so that two lines
+within an edit agree in four fifths of their words or more. Earlier means by id, then a hash of the text (for rows that
+share an id), then line number. The rule looks at each line by itself: whether the earlier line goes too makes no difference.
 
 Every line within the bound of another shares with it a line with one word deleted. Emitting all such variants for every
 line would multiply the corpus by its words, so lines are first grouped by hash, and only those that share a half with a
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import bounded, kept, table, written
+from .support import bounded, kept, release, table, written
 
 MIN_WORDS = 5
 #: Rows of candidate lines, or of documents to change, that may be broadcast (a few dozen bytes each).
@@ -46,15 +45,16 @@ def _normal(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))).drop("raw")
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, exact_words: int) -> DataFrame:
-    """Lines of exact_words or more (those of less than MIN_WORDS without keys): at (their place), n, h and h2 (hash and length of the line), keys of their halves.
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines with a word: at (their place), n, h and h2 (hash and length of the line), and keys of their halves if they have
+    MIN_WORDS words.
 
     A line of n words may be the shorter of a pair (m = n) or the longer (m = n - 1); its keys are m with its first m/2
     words, and m with its last m - m/2 words. Two prefixes give all four: one of n/2 words, and one of a word more (n odd)
     or less (n even).
     """
     rows = _normal(_exploded(docs, id_col, text_col))
-    rows = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where((F.col("n") >= exact_words) & (F.col("norm") != ""))
+    rows = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where("norm <> ''")
     half, odd = (F.col("n") / 2).cast("int"), F.col("n") % 2 == 1
     rows = rows.withColumns({"p": F.call_function("substring_index", "norm", F.lit(" "), half), "q": F.call_function("substring_index", "norm", F.lit(" "), half + F.when(odd, 1).otherwise(-1))})
 
@@ -125,25 +125,28 @@ def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.withColumn("cut", F.expr(cut)).where(F.expr(_WITHIN)).select("h").distinct()
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses lines: _id, th, gone (line numbers from 0) and n_near (those that equal no earlier line)."""
-    lines = written(_hashed(docs, id_col, text_col, exact_words), "lines")
+    lines = written(_hashed(docs, id_col, text_col), "lines")
     distinct = kept(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("keys").alias("keys")))
+    release(docs.sparkSession)
     wanted = kept(_candidates(distinct).join(distinct.select("h", F.col("first").alias("at")), "h"))
     # the words of candidates, from their first place
     places = bounded(wanted.select("h", F.col("at._id").alias("p_id"), F.col("at.th").alias("p_th"), F.col("at.no").alias("p_no"), "at"), BROADCAST_ROWS)
     texts = _exploded(docs, id_col, text_col).join(places, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("th").eqNullSafe(F.col("p_th")) & (F.col("no") == F.col("p_no")))
     words = kept(_normal(texts).select("h", "at", F.split("norm", " ").alias("words")).dropDuplicates(["h"]))
-    near = _verified(_witnesses(words), words).withColumn("near", F.lit(True))
+    release(docs.sparkSession)
+    near = kept(_verified(_witnesses(words), words).withColumn("near", F.lit(True)))
+    release(docs.sparkSession)
     marked = distinct.join(near, "h", "left").where("c > 1 or near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(bounded(kept(marked), BROADCAST_ROWS), ["h", "h2"]).where("near or at <> first")
     by = gone.groupBy(F.col("at._id").alias("_id"), F.col("at.th").alias("th"))
     return by.agg(F.collect_set("at.no").alias("gone"), F.collect_set(F.when(F.col("at") == F.col("first"), F.col("at.no"))).alias("near"))
 
 
-def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
+def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs packed as _doc, with n_lines, n_dropped, n_near (of those) and left (the text without the dropped lines)."""
-    found = kept(duplicate_lines(docs, id_col=id_col, text_col=text_col, exact_words=exact_words))
+    found = kept(duplicate_lines(docs, id_col=id_col, text_col=text_col))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_own"), F.col(text_col).alias("_t"), F.xxhash64(F.col(text_col)).alias("_th"))
     rows = packed.join(bounded(found, BROADCAST_ROWS, 4 * (F.size("gone") + F.size("near"))), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").withColumn("_l", F.split("_t", "\n"))
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone")), lambda i: F.get("_l", i))
@@ -156,9 +159,9 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exa
     )
 
 
-def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all their columns, without the lines that an earlier line equals or nearly equals."""
-    rows = mark(docs, id_col=id_col, text_col=text_col, exact_words=exact_words)
+    rows = mark(docs, id_col=id_col, text_col=text_col)
     return rows.select(*[F.col("left").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -170,13 +173,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
 x AS (SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
-d AS (SELECT array_to_string(w, ' ') AS k, w, len(w) AS n, min((doc_id, no)) AS pl FROM x WHERE len(w) >= 5 GROUP BY ALL),
-v AS (SELECT k, pl, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+d AS (SELECT array_to_string(w, ' ') AS k, w, len(w) AS n, min((doc_id, no)) AS pl FROM x WHERE len(w) > 0 GROUP BY ALL),
+v AS (SELECT k, pl, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)),
 r AS (SELECT k, pl, min(pl) OVER (PARTITION BY n, i, rest) AS e FROM v),
-p AS (SELECT v.k AS ka, v.pl AS aa, d.k AS kb, d.pl AS ab FROM v JOIN d ON v.rest = d.k),
+p AS (SELECT v.k AS ka, v.pl AS aa, d.k AS kb, d.pl AS ab FROM v JOIN d ON v.rest = d.k WHERE d.n >= 5),
 near AS (SELECT k FROM r WHERE e < pl UNION SELECT ka FROM p WHERE ab < aa UNION SELECT kb FROM p WHERE aa < ab),
 j AS (SELECT x.doc_id, x.no, x.line, d.k IS NOT NULL AND ((x.doc_id, x.no) <> d.pl OR d.k IN (FROM near)) AS gone, d.k IS NOT NULL AND (x.doc_id, x.no) = d.pl AND d.k IN (FROM near) AS near
-      FROM x LEFT JOIN d ON len(x.w) >= 5 AND array_to_string(x.w, ' ') = d.k)
+      FROM x LEFT JOIN d ON len(x.w) > 0 AND array_to_string(x.w, ' ') = d.k)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, count(*) FILTER (near)::BIGINT AS n_near,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
 FROM j GROUP BY doc_id
