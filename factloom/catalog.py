@@ -672,3 +672,6 @@ def authorized_links(spark, d):
     by_customer = store.query(["joinon", ["joinon", "OrderPlacedByCustomer", "CustomerInNation", [[2, 1]], [1, 2, 4]], "NationInRegion", [[3, 1]], [2, 1, 5]]).toDF("c", "o", "r")
     grants = spark.createDataFrame([("ann", 1)], "user string, r int")
     return granted(by_customer, grants, "ann", "r").select("c", "o")
+
+
+from . import catalog_operators  # noqa: E402, F401  (registers more)

@@ -142,11 +142,5 @@ def insert(f: Callable[[Column, Column], Column]) -> Fn:
 
 
 def bounded_while(p: Fn, f: Fn, rounds: int) -> Fn:
-    """f while p, at most `rounds` times (a column expression is of fixed size; longer loops run on the driver)."""
-
-    def run(x: Column) -> Column:
-        for _ in range(rounds):
-            x = F.when(p(x), f(x)).otherwise(x)
-        return x
-
-    return run
+    """f while p, at most `rounds` times; f keeps the type. The loop is a fold, so the expression doesn't grow with it."""
+    return lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, lambda acc, _: F.when(p(acc), f(acc)).otherwise(acc))
