@@ -542,6 +542,25 @@ def sm_guarded(spark, d):
     return mach.fold(events, GUARDED, entity="user_id", event="event_type", order=["ts", "event_id"], guards={"BigValue": "big"})
 
 
+@query(
+    _fold_sql(_UNGUARDED, "SELECT f.u AS entity, e.event_id, f.s AS \"from\", t.n AS \"to\" FROM (SELECT u, arg_max(s, k) AS s FROM f GROUP BY u) f JOIN events e ON e.user_id = f.u JOIN t ON t.s = f.s AND t.e = e.event_type WHERE e.event_type <> 'purchase' OR e.value > 50", " WHERE event_type <> 'purchase' OR value > 50")
+)
+def sm_moves_guarded(spark, d):
+    """What each event would do to its user as it stands now; a guarded transition needs its guard."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("trigger"), "event_id", (F.col("value") > 50).alias("big"))
+    held = sm_guarded(spark, d).toDF("entity", "status")
+    each = [mach.moves(held, GUARDED, events.where(F.col("trigger") == t), {"BigValue": "big"}).withColumn("trigger", F.lit(t)) for t in ("signup", "purchase", "error")]
+    moved = sets.union(*each)
+    return events.where("trigger <> 'purchase' or big").select("entity", "event_id", "trigger").join(moved, ["entity", "trigger"]).select("entity", "event_id", "from", "to")
+
+
+@query(_fold_sql(_UNGUARDED, "SELECT x.u AS entity, x.s AS status, t.e AS \"trigger\", t.n AS target FROM (SELECT u, arg_max(s, k) AS s FROM f GROUP BY u) x JOIN (SELECT DISTINCT * FROM t) t ON t.s = x.s WHERE t.e <> 'purchase' OR x.u IN (SELECT user_id FROM events WHERE value > 99)", " WHERE event_type <> 'purchase' OR value > 50"))
+def sm_actions_guarded(spark, d):
+    """Links of the statuses; a guarded one for entities of which the guard holds."""
+    rich = table(spark, d, "events").where("value > 99").select("user_id")
+    return mach.available(sm_guarded(spark, d).withColumnRenamed("user_id", "entity"), GUARDED, {"BigValue": rich})
+
+
 @query(_fold_sql(USER, "SELECT u AS user_id, arg_max(s, k) AS status FROM f GROUP BY u HAVING arg_max(s, k) <> 'Gone'"))
 def sm_terminal_hidden(spark, d):
     status = sm_status(spark, d)

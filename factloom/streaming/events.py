@@ -18,19 +18,27 @@ from ..schema import Machine
 
 
 def transition_table(m: Machine) -> dict[tuple[str, str], str]:
-    return {(t.source, t.trigger): t.target for t in effective(m) if t.guard is None}
-
-
-def fold_stream(events: DataFrame, m: Machine, *, entity: str, event: str, order: str) -> DataFrame:
-    """entity and status after each micro-batch; the state of an entity is its status alone."""
-    moves, start = transition_table(m), leaf(m, m.start())
+    """The targets of transitions without guards."""
+    return {(t.source, t.trigger): t.target for t in reversed(effective(m)) if t.guard is None}
+
+
+def fold_stream(events: DataFrame, m: Machine, *, entity: str, event: str, order: str, guards: dict[str, str] | None = None) -> DataFrame:
+    """entity and status after each micro-batch; the state of an entity is its status alone. guards: guard fact type ->
+    boolean column of events, as for the batch fold; a guard without a column doesn't hold."""
+    guards = guards or {}
+    moves: dict[tuple[str, str], list[tuple[str | None, str]]] = {}
+    for t in effective(m):
+        if t.guard is None or t.guard in guards:
+            moves.setdefault((t.source, t.trigger), []).append((guards.get(t.guard) if t.guard else None, t.target))
+    start, asked = leaf(m, m.start()), list(guards.values())
     kind = events.schema[entity].dataType.simpleString()
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status = state.get[0] if state.exists else start
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        for e in rows[event]:
-            status = moves.get((status, e), status)
+        for e, *held in rows[[event, *asked]].itertuples(index=False, name=None):
+            holds = dict(zip(asked, held, strict=True))
+            status = next((to for column, to in moves.get((status, e), ()) if column is None or holds[column] is True or holds[column] == 1), status)
         state.update((status,))
         yield pd.DataFrame({entity: [key[0]], "status": [status]})
 

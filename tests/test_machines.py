@@ -106,3 +106,28 @@ def test_deciders(spark):
     assert rows(deciders.ring_complete(f([("F", "A", "A"), ("G", "A", "A"), ("H", "A", "B")], "fact_type string, player1 string, player2 string"), f([("G",)], "fact_type string"), f([], "fact_type string"))) == {("F",)}
     assert rows(deciders.vc_types(f([("c", "A"), ("c", "B"), ("d", "A")], "constraint string, player string"), f([("A", "date"), ("B", "integer")], "player string, data_type string"))) == {("c",)}
     assert rows(deciders.refmode_restated(f([("F", "A", "B"), ("G", "A", "C")], "fact_type string, player1 string, player2 string"), f([("A", "B")], "entity string, value string"), f([("F", 2)], "fact_type string, role int"))) == {("F",)}
+
+
+def test_guards_in_moves_links_and_streams(spark, tmp_path):
+    held = spark.createDataFrame([("p1", "s0"), ("p2", "s0")], "entity string, status string")
+    happened = spark.createDataFrame([("p1", "likes", True), ("p2", "likes", False)], "entity string, trigger string, glad boolean")
+    assert rows(mach.moves(held, PERSON, happened, {"happy": "glad"})) == {("p1", "s0", "x")}
+    assert rows(mach.moves(held, PERSON, happened)) == set()
+    links = mach.available(held, PERSON, {"happy": spark.createDataFrame([("p2",)], "e string")})
+    assert rows(links.select("entity", "trigger")) == {("p1", "happy"), ("p2", "happy"), ("p2", "likes")}
+    ev = spark.createDataFrame([("p4", 1, "likes", True), ("p9", 1, "likes", False), ("p9", 2, "likes", None)], "e string, t int, k string, glad boolean")
+    ev.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = stream.fold_stream(spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in"), PERSON, entity="e", event="k", order="t", guards={"happy": "glad"})
+    q = out.writeStream.format("memory").queryName("guarded").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("guarded")) == rows(mach.fold(ev, PERSON, entity="e", event="k", order=["t"], guards={"happy": "glad"})) == {("p4", "x"), ("p9", "s0")}
+
+
+def test_one_entity_with_most_events(spark):
+    """A hot entity's events are dealt over chunks, and so is its history."""
+    ev = spark.range(4000).selectExpr("if(id % 4 = 0, id, -1) as u", "id as t", "element_at(array('signup','view','click','purchase','error'), int(pmod(hash(id), 5)) + 1) as k")
+    whole = rows(mach.fold(ev, USER, entity="u", event="k", order=["t"]))
+    assert rows(mach.fold(ev, USER, entity="u", event="k", order=["t"], chunk=50)) == whole
+    one = rows(mach.history(ev, USER, entity="u", event="k", order=["t"], chunk=10**6))
+    assert rows(mach.history(ev, USER, entity="u", event="k", order=["t"], chunk=40)) == one and len(one) == 4000
