@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import prepare, table
+from .support import prepare, table, tidied
 from .token_files import CUT, Store, _groups
 
 LONG = 200
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
             for keys, texts in _groups([batch], 2_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), _ids_array(*codec.encode(texts))], names=["_id", "ids"])
 
-    return source.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(lambda b: tidied(run(b)), f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -216,7 +216,7 @@ def decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                 ids = part.column(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.decode(ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False)), pa.binary())], names=["_id", "data"])
 
-    return source.mapInArrow(run, f"_id {kind}, data binary").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(lambda b: tidied(run(b)), f"_id {kind}, data binary").withColumnRenamed("_id", id_col)
 
 
 _DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -244,7 +244,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
                     columns.append(_ids_array(ids, lengths))
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", *_DIGESTS.names, "ids"][: len(columns)])
 
-    return source.mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
+    return source.mapInArrow(lambda b: tidied(run(b)), f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

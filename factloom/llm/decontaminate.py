@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .support import alnum_words, prepare
+from .support import alnum_words, prepare, tidied
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -160,7 +160,7 @@ def _windows(rows: DataFrame, window: int, sizes: list[int] | None) -> DataFrame
                     key = batch.column(0).take(pa.array(np.full(n, row)))
                     yield pa.RecordBatch.from_arrays([key, pa.array(np.full(n, size, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, hashes)], names=["k", "size", "at", "a", "b"])
 
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, size int, at int, a long, b long")
+    return rows.mapInArrow(lambda b: tidied(run(b)), f"k {rows.schema['k'].dataType.simpleString()}, size int, at int, a long, b long")
 
 
 def _scan_by_join(source: DataFrame, items: DataFrame, text_at: str, window: int, schema: T.StructType) -> DataFrame:
@@ -181,7 +181,7 @@ def _scan_by_join(source: DataFrame, items: DataFrame, text_at: str, window: int
                     h[p["at"] : p["at"] + p["size"]] = True
             yield _result(batch, text_at, ["_places", "_items"], texts, words, hits, [x or () for x in batch.column("_items").to_pylist()])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: tidied(run(b)), schema)
 
 
 def scan(
@@ -211,7 +211,7 @@ def scan(
                     index.scan(w, h, f)
             yield _result(batch, text_at, [], texts, words, hits, found)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda b: tidied(run(b)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:

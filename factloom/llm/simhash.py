@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components
-from .support import bounded, kept, prepare, release, spaced_words, table, written
+from .support import bounded, kept, prepare, release, spaced_words, table, tidied, written
 
 #: (first bit, bits) of the segments, and the most bits by which linked fingerprints differ.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             values = np.fromiter((fingerprint(t, size) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["_id", "fp"])
 
-    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(lambda b: tidied(run(b)), f"_id {source.schema['_id'].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -321,7 +321,7 @@ def segment_keys(rows: DataFrame, segments: list[tuple[int, ...]]) -> DataFrame:
                 side = np.stack(sides, axis=1).ravel()
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.stack(keys, axis=1).ravel().view(np.int64)), pa.array(side, mask=side < 0)], names=["fp", "root", "key", "side"])
 
-    return rows.select("fp", "root", *[f"w{w}" for w in range(WIDE)]).mapInArrow(run, "fp long, root long, key long, side byte")
+    return rows.select("fp", "root", *[f"w{w}" for w in range(WIDE)]).mapInArrow(lambda b: tidied(run(b)), "fp long, root long, key long, side byte")
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -342,7 +342,7 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataF
             columns = [batch.column(0), batch.column(2), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE)), pa.array(least, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "th", *(f"w{k}" for k in range(WIDE)), "least"])
 
-    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, th long, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
+    return source.mapInArrow(lambda b: tidied(run(b)), f"_id {source.schema['_id'].dataType.simpleString()}, th long, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, size: int) -> DataFrame:
@@ -357,7 +357,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, size: int
                 found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, size)])).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
-    return source.mapInArrow(run, "fp long, shingles array<long>")
+    return source.mapInArrow(lambda b: tidied(run(b)), "fp long, shingles array<long>")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
