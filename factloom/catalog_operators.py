@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _C, _FOLD, _LAST, _S, GUARDED, ORACLE, QUERIES, USER, _list_query, _nations, _scalar, _text, query
-from .engine import Engine
+from .catalog import GUARDED, ORACLE, QUERIES, USER, _list_query, _scalar, _text, query
 from .functions import ffp, scalars
+from .functions.readings import Parser
 from .operators import sets
 from .plans import constraints as con
 from .plans import deciders, induce, rmap
@@ -17,7 +17,6 @@ from .plans.recipe import relation
 from .plans.rules import derive, explain
 from .plans.tx import Writer
 from .schema import Constraint, Machine, Rule, Transition
-from .sources import replica
 from .star import star_store, table
 from .store import reference_facts
 from .streaming import events as streams
@@ -290,3 +289,56 @@ def event_records(spark, d):
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'click'")
 def event_demultiplexed(spark, d):
     return streams.demultiplexed(table(spark, d, "events"), F.col("event_type"), "click").select("event_id", "user_id")
+
+
+# sentences
+
+_READINGS = """
+Order(.nr) is an entity type. Customer(.nr) is an entity type. Nation(.nr) is an entity type.
+Total is a value type. Balance is a value type. Status is a value type. Spending is a value type. Order Count is a value type. Due is a value type. Nation Count is a value type.
+Order placed by Customer. Order has Total. Order has Status. Customer has Balance. Customer in Nation.
+Customer has Order Count. Customer has Spending. Customer is busy. Order is large. Order has Due. Customer is thrifty. Nation has Order Count.
+* Customer has Order Count iff Order Count is the count of Order where Order placed by Customer.
+* Customer has Spending iff Spending is the sum of Total where Order placed by Customer and Order has Total.
+* Customer is busy iff Customer has Order Count that is at least 12.
+* Order is large iff Order has Total that exceeds 450000.5 and Order has Status 'F'.
+* Order has Due iff Order placed by that Customer and Order has Total and Customer has Balance and Due is that Total minus that Balance.
+* Customer is thrifty iff Customer has Spending and Customer has Balance1 and no Customer is busy and Spending exceeds Balance1.
+* Nation has Order Count iff Order Count is the count of Order where Order placed by Customer and Customer in Nation and Order has Status 'P'.
+"""
+
+
+def _said(head: str, columns: str, sql: str, name: str) -> None:
+    """Register a head that the sentences derive."""
+
+    def run(spark, d):
+        parsed = Parser().read(_READINGS)
+        if parsed.unknown:
+            raise ValueError(f"not understood: {parsed.unknown}")
+        return derive(star_store(spark, d), parsed.rules, only=[head]).facts(head).toDF(*columns.split())
+
+    query(sql, name)(run)
+
+
+_said("CustomerHasOrderCount", "c n", "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1", "said_count")
+QUERIES["said_sum"] = lambda spark, d: derive(star_store(spark, d), Parser().read(_READINGS).rules, only=["CustomerHasSpending"]).facts("CustomerHasSpending").toDF("c", "total").withColumn("total", F.round("total", 2).cast("double"))
+ORACLE["said_sum"] = "SELECT o_custkey AS c, round(sum(o_totalprice::DECIMAL(19,6)), 2)::DOUBLE AS total FROM orders GROUP BY 1"
+_said("CustomerIsBusy", "c", "SELECT o_custkey AS c FROM orders GROUP BY 1 HAVING count(*) >= 12", "said_at_least")
+_said("OrderIsLarge", "o", "SELECT o_orderkey AS o FROM orders WHERE o_totalprice > 450000.5 AND o_orderstatus = 'F'", "said_exceeds")
+QUERIES["said_calculated"] = lambda spark, d: derive(star_store(spark, d), Parser().read(_READINGS).rules, only=["OrderHasDue"]).facts("OrderHasDue").toDF("o", "due").withColumn("due", F.round("due", 2).cast("double"))
+ORACLE["said_calculated"] = "SELECT o_orderkey AS o, round(o_totalprice::DECIMAL(19,6) - c_acctbal::DECIMAL(19,6), 2)::DOUBLE AS due FROM orders JOIN customer ON o_custkey = c_custkey"
+_said("CustomerIsThrifty", "c", "SELECT o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_acctbal HAVING sum(o_totalprice::DECIMAL(19,6)) > c_acctbal::DECIMAL(19,6) AND count(*) < 12", "said_negated_compared")
+_said("NationHasOrderCount", "n k", "SELECT c_nationkey AS n, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1", "said_count_joined")
+
+
+@query("SELECT o_orderkey AS o, o_custkey AS c FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def said_subset(spark, d):
+    """A conditional sentence whose sides share one of their variables."""
+    parsed = Parser().read(
+        "Order(.nr) is an entity type. Customer(.nr) is an entity type. Balance is a value type. Order placed by Customer. Customer has Balance. Order is of rich Customer. If Order1 is of rich Customer1 then Customer1 has Balance1."
+    )
+    store = star_store(spark, d)
+    store = store.with_facts(OrderIsOfRichCustomer=store.relation("OrderPlacedByCustomer"), CustomerHasBalance=relation(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal"), (1,)))
+    (rule,) = parsed.constraints
+    left = store.query(["joinon", "OrderPlacedByCustomer", ["minus", *[a if isinstance(a, list) else ["proj", a, [1]] for a in rule.args]], [[2, 1]], [1, 2]])
+    return left.toDF("o", "c")

@@ -202,3 +202,32 @@ def test_registry(spark):
 def test_listed(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", 9), (4, "a", 7)], "k int, g string, v int")
     assert [r.k for r in replica.listed(df, where={"g": "a"}, sort="v", descending=True, limit=2).collect()] == [2, 4]
+
+
+def test_sentences_of_constraints_and_conditions():
+    text = """
+    Order(.nr) is an entity type. Customer(.nr) is an entity type. Room(.nr) is an entity type. Slot(.nr) is an entity type.
+    Order placed by Customer. Order has Amount. Amount is a value type. Customer books Room at Slot. Customer is active.
+    Room has Slot. Room seats Customer. Customer pays Amount.
+    For each Customer and Slot, that Customer books Room at that Slot at most one Amount.
+    Each Customer occurs at most once in the population of Customer is active.
+    Each Order occurs at least 1 and at most 3 times in the population of Order placed by Customer.
+    For each Slot and Customer, at most one Room has that Slot and seats that Customer.
+    It is impossible that more than one Room has the same Slot and seats the same Customer.
+    If Order1 placed by Customer1 then Order1 has Amount1.
+    If Order1 placed by Customer1 then Customer1 pays Amount1.
+    """
+    p = readings.Parser().read(text)
+    found = [(c.kind, c.args) for c in p.constraints]
+    # the first says nothing of a declared fact type
+    assert p.unknown == ["For each Customer and Slot, that Customer books Room at that Slot at most one Amount."]
+    assert ("frequency", ("OrderPlacedByCustomer", (1,), 1, 3)) in found
+    assert found.count(("external", (["RoomHasSlot", "RoomSeatsCustomer"],))) == 2
+    assert ("subset", (["proj", "OrderPlacedByCustomer", [1]], ["proj", "OrderHasAmount", [1]])) in found
+    assert ("subset", (["proj", "OrderPlacedByCustomer", [2]], ["proj", "CustomerPaysAmount", [1]])) in found
+    assert p.fact_types["CustomerIsActive"].unique == ((1,),)
+    p = readings.Parser().read("A(.x) is an entity type. B(.x) is an entity type. C(.x) is an entity type. A sells B to C. For each A and B, that A sells B to at most one C. It is impossible that the same A sells the same B to more than one C.")
+    assert not p.unknown and p.fact_types["ASellsBToC"].unique == ((1, 2),)
+    # a clause that isn't about declared facts, and a condition without a shared variable, aren't guessed
+    p = readings.Parser().read("A(.x) is an entity type. B(.x) is an entity type. A has B. A likes B. * A likes B iff A has B and B flies. If A1 has B1 then A2 likes B2.")
+    assert len(p.unknown) == 2 and not p.constraints
