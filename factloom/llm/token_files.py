@@ -7,7 +7,8 @@ per file gives every file its global start.
 
 Texts are cut where the pre-tokenizer always cuts: before a run of white space that follows something else, and after a
 run of letters that other ASCII follows. Distinct cuts are encoded once by the tokenizers library and remembered by the
-worker (bounded).
+worker (bounded). A text that holds one of the tokenizer's added tokens, such as <|endoftext|>, is encoded whole, since the
+library takes those out first; it gives such a token its own id.
 
 Defined results: null text is empty and has the end id alone; null ids come first; rows that repeat an id are ordered by
 text and have one result each; an empty table gives no files and no rows; only the id and text columns are read.
@@ -51,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: tokens that the library finds in any text, wherever the pre-tokenizer would cut
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -80,7 +82,7 @@ class Encoder:
         """(ids of all texts, number of ids of each)."""
         if self.store.bytes() > REMEMBERED:
             self.forget()
-        cuts = [CUT.findall(t) for t in texts]
+        cuts = [[t] if any(a in t for a in self.added) else CUT.findall(t) for t in texts]
         index, first, new = self.store.number(cuts)
         for k in range(0, len(new), 50_000):
             order, ids, sizes = self._ids(new[k : k + 50_000])

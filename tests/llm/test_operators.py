@@ -578,7 +578,7 @@ def test_suppression_against_brute_force():
 def odd_texts():
     rng = random.Random(3)
     alphabet = "ab cdé\n\t\r'sr  \x1c\x85\xa0 1234ñ漢字😀ａ\x00."
-    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["a" * 5000, "abab" * 90, "漢字仮名" * 200, "it's  we'll\n\n x", "", "<|endoftext|> x"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["a" * 5000, "abab" * 90, "漢字仮名" * 200, "it's  we'll\n\n x", "", "<|endoftext|> x", "x<|endoftext|>y and\n <|endoftext|><|endoftext|>", "<|endoftext |>"]
 
 
 def test_byte_bpe_as_tiktoken(odd_texts):
@@ -616,7 +616,6 @@ def test_cuts_encode_as_whole_texts(odd_texts):
 
     path = P.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     ids, lengths = token_files.Encoder(path).encode(odd_texts)
     at = 0
     for t, n in zip(odd_texts, lengths, strict=True):
@@ -642,7 +641,6 @@ def test_token_files(spark, docs, texts, none, tmp_path):
 
     path = P.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}/t", path, partitions=3)
     got = by_id(token_files.read_token_files(manifest, f"file://{tmp_path}/t", "bigint", with_ids=True))
     start = 0
