@@ -7,7 +7,8 @@ a cheap test says that a confirmed match is possible. Everything happens in the
 Expressions use possessive repeats and a look-behind that starts only where a run starts (or where the last match ended),
 so long runs take linear time and no deep recursion; they match what the plain forms in KINDS match.
 
-Score: `base` of the kind, and `context` more if one of its context words stands within 40 characters before the match.
+Score: `base` of the kind, and CONTEXT_BONUS more if one of its context words stands within 40 characters before or after the
+match (on either side at most one other match of the kind is looked past).
 Spans of at least THRESHOLD are returned; the first four kinds always are.
 
 Defined results: null text is empty: no spans; an empty table gives no rows; repeated rows are scanned one by one; spans of
@@ -80,7 +81,9 @@ def _spans(kind: Kind, rank: int) -> Column:
     """The confirmed spans of a kind, from columns p_<kind> (pieces) and m_<kind> (matches)."""
     p, ms = f"p_{kind.name}", f"m_{kind.name}"
     context = _sql(rf"(?<![a-z])(?:{kind.context})")
-    span = f"named_struct('start', a.pos + length({p}[i]), 'rank', {rank}, 'end', a.pos + length({p}[i]) + length({ms}[i]), 'kind', '{kind.name}', 'score', least(1D, {kind.base}D + if(lower(right({p}[i], 40)) rlike {context}, {CONTEXT_BONUS}D, 0D)))"
+    earlier = f"right(concat(if(i > 0, concat(right(get({p}, i - 1), 40), get({ms}, i - 1)), ''), right({p}[i], 40)), 40)"
+    later = f"left(concat(left({p}[i + 1], 40), coalesce(get({ms}, i + 1), ''), left(coalesce(get({p}, i + 2), ''), 40)), 40)"
+    span = f"named_struct('start', a.pos + length({p}[i]), 'rank', {rank}, 'end', a.pos + length({p}[i]) + length({ms}[i]), 'kind', '{kind.name}', 'score', least(1D, {kind.base}D + if(lower({earlier}) rlike {context} or lower({later}) rlike {context}, {CONTEXT_BONUS}D, 0D)))"
     found = f"if({_valid(kind, f'{ms}[i]')}, concat(a.found, array({span})), a.found)"
     start = f"named_struct('pos', 0, 'found', cast(array() as {_SPANS}))"
     return F.expr(

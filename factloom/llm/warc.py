@@ -401,7 +401,9 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     revisit = F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
 
     def name(c: str):
-        return F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+        """Nothing after the colon for null, % for an empty text, else the id with what a header can't hold encoded."""
+        text = F.col(c).cast("string")
+        return F.concat(F.lit("urn:page:"), F.when(text == "", "%").otherwise(F.coalesce(F.url_encode(text), F.lit(""))))
 
     return rows.select(
         name("id").alias("record_id"),
@@ -415,15 +417,16 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     )
 
 
-def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def archived(pages: DataFrame, folder: str, id_type) -> DataFrame:
+    """pages written to a folder as WARC files and read back from them."""
+    spark, kind = pages.sparkSession, id_type
     register(spark)
-    pages, folder = table(spark, sf_dir, "pages"), fresh_dir(spark, "warc")
     records(pages).write.format("warc").mode("append").save(folder)
     back = spark.read.format("warc").load(folder).where(F.col("record_type").isin("response", "revisit"))
-    kind = pages.schema["page_id"].dataType
 
     def page(c: str):
-        return F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 30), F.lit("")).cast(kind)
+        text = F.substring(c, len("urn:page:") + 1, 1 << 30)
+        return F.when(text == "%", "").when(text != "", F.url_decode(F.nullif(text, F.lit("%")))).cast(kind)
 
     return back.select(
         page("record_id").alias("page_id"),
@@ -434,6 +437,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return archived(pages, fresh_dir(spark, "warc"), pages.schema["page_id"].dataType)
+
+
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT page_id, h, strlen(h) AS b, max(page_id) OVER (PARTITION BY h) AS k FROM p)
