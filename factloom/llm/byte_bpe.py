@@ -33,7 +33,7 @@ from .support import prepare, table, tidied
 from .token_files import CUT, Store, _groups
 
 LONG = 200
-REMEMBERED = 112 << 20
+REMEMBERED = 64 << 20
 #: Rows of a recursive query at most, about.
 QUERY_ROWS = 1_000_000
 
@@ -231,7 +231,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in batches:
-            for keys, texts in _groups([batch], 1_000_000):
+            for keys, texts in _groups([batch], 500_000):
                 ids, lengths = codec.encode(texts)
                 raw, upto = ids.astype("<u4"), np.cumsum([0, *lengths]).tolist()
                 columns = [

@@ -398,14 +398,17 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all their columns, with one document of each component of similar documents: the one whose id is least (of
     rows that repeat both id and text, one)."""
-    found = similar(docs, id_col=id_col, text_col=text_col, size=size, similarity=similarity).select(F.col(id_col).alias("_own"), "component_id")
+    columns = docs.columns
+    packed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    found = similar(packed, id_col="_id", text_col="_text", size=size, similarity=similarity).select(F.col("_id").alias("_own"), "component_id")
     own = F.col("_own").eqNullSafe(F.col("component_id"))
     # an id that is the least of one component may be in another one too, by a row that repeats it
     stays = found.where(own).select(F.col("_own").alias("_stay")).distinct()
     gone = kept(found.where(~own).select("_own").distinct().join(stays, F.col("_own").eqNullSafe(F.col("_stay")), "left_anti"))
-    left = docs.join(bounded(gone, BROADCAST_ROWS), F.col(f"`{id_col}`").eqNullSafe(F.col("_own")), "left_anti")
-    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    return left if unique else left.dropDuplicates([id_col, text_col])
+    left = packed.join(bounded(gone, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_own")), "left_anti")
+    unique = packed.groupBy("_id").count().where("count > 1").isEmpty()
+    left = left if unique else left.dropDuplicates(["_id", "_text"])
+    return left.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

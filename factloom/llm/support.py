@@ -62,13 +62,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is set, one of our own if there are no executors but
+    the driver, as in tests, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="factloom-shared-")
             spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
@@ -103,7 +106,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Bytes of arrays and texts in the rows of a side that is broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame, max_rows: int, bytes_of: Column | None = None) -> DataFrame:
