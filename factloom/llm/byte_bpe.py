@@ -36,13 +36,15 @@ LONG = 200
 REMEMBERED = 64 << 20
 #: Rows of a recursive query at most, about.
 QUERY_ROWS = 1_000_000
+#: Ids that a decoding query takes, about.
+DECODED = 250_000
 
 _MERGE = """
 WITH RECURSIVE step(w, pos, tok, done) AS (
     SELECT w, pos, tok, false FROM start
     UNION ALL
     (WITH pair AS MATERIALIZED (
-        SELECT s.w, s.pos, s.tok, s.npos, m.merged, m.merged * 65536 + s.pos AS here
+        SELECT s.w, s.pos, s.tok, s.npos, m.merged, m.merged::BIGINT * 65536 + s.pos AS here
         FROM (SELECT w, pos, tok, lead(tok) OVER piece AS nxt, lead(pos) OVER piece AS npos FROM step WHERE NOT done WINDOW piece AS (PARTITION BY w ORDER BY pos)) s
         LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
     ), least AS (
@@ -68,14 +70,14 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         # \s of the pattern is Unicode's White_Space, which regex's own \s isn't quite
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        a, b, r = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
+        a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         merges = pa.table({"a": a, "b": b, "merged": r})  # noqa: F841  (a rank is the merged token's id)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         # a byte b stands as the character 256 + b, so that any bytes are text to the query
-        names = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "text": ["".join(chr(256 + b) for b in t) for t in self.ranks]})  # noqa: F841
+        names = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "text": ["".join(chr(256 + b) for b in t) for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM names")
         self.forget()
 
@@ -131,8 +133,8 @@ class Codec:
 
     def _query(self, batch: list[tuple[int, bytes]]) -> None:
         sizes = np.array([len(d) for _, d in batch])
-        which = np.repeat(np.arange(len(batch)), sizes)
-        pos = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        which = np.repeat(np.arange(len(batch), dtype=np.int32), sizes)
+        pos = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         self.db.register("start", pa.table({"w": which, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(d for _, d in batch), np.uint8)]}))
         got = self.db.execute(_MERGE).fetchnumpy()
         self.db.unregister("start")
@@ -142,7 +144,7 @@ class Codec:
         """Fill in cuts, numbered from first on."""
         split = [self.split(c) for c in cuts]
         several = [(first + k, parts) for k, parts in enumerate(split) if len(parts) > 1]
-        index, more, pieces = self.store.number([parts for _, parts in several])
+        index, more, pieces = self.store.number_all([x for _, parts in several for x in parts])
         self._merge([*((first + k, c) for k, (c, parts) in enumerate(zip(cuts, split, strict=True)) if len(parts) == 1), *enumerate(pieces, more)])
         if several:
             ids, size = self.store.gather(index)
@@ -153,12 +155,11 @@ class Codec:
         """(ids of all texts, number of ids of each)."""
         if self.store.bytes() > REMEMBERED:
             self.forget()
-        cuts = [CUT.findall(t) for t in texts]
-        index, first, new = self.store.number(cuts)
+        index, cuts, first, new = self.store.number(map(CUT.findall, texts))
         if new:
             self._learn(first, new)
         ids, size = self.store.gather(index)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, cuts)])])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(cuts)])])
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of documents whose ids follow one another; an id outside the vocabulary is an error."""
@@ -166,11 +167,17 @@ class Codec:
         if len(ids):
             if ids.min() < 0 or ids.max() >= len(self.ranks):
                 raise ValueError("an id isn't in the vocabulary")
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            self.db.register("tokens", pa.table({"d": doc, "pos": np.arange(len(ids)), "id": ids}))
-            for d, text in self.db.execute(_DECODE).fetchall():
-                out[d] = text.encode("utf-16-le")[::2]
-            self.db.unregister("tokens")
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            first = 0
+            while first < len(lengths):
+                # documents of DECODED ids together, or one of more
+                end = max(first + 1, int(np.searchsorted(upto, upto[first] + DECODED, side="right")) - 1)
+                doc = np.repeat(np.arange(first, end, dtype=np.int32), lengths[first:end])
+                self.db.register("tokens", pa.table({"d": doc, "pos": np.arange(len(doc), dtype=np.int32), "id": ids[upto[first] : upto[end]].astype(np.int32)}))
+                for d, text in self.db.execute(_DECODE).fetchall():
+                    out[d] = text.encode("utf-16-le")[::2]
+                self.db.unregister("tokens")
+                first = end
         return out
 
 
@@ -231,7 +238,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in batches:
-            for keys, texts in _groups([batch], 500_000):
+            for keys, texts in _groups([batch], 2_000_000):
                 ids, lengths = codec.encode(texts)
                 raw, upto = ids.astype("<u4"), np.cumsum([0, *lengths]).tolist()
                 columns = [

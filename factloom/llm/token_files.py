@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, count, islice
 
 import numpy as np
@@ -82,13 +82,12 @@ class Encoder:
         """(ids of all texts, number of ids of each)."""
         if self.store.bytes() > REMEMBERED:
             self.forget()
-        cuts = [[t] if any(a in t for a in self.added) else CUT.findall(t) for t in texts]
-        index, first, new = self.store.number(cuts)
+        index, cuts, first, new = self.store.number([t] if any(a in t for a in self.added) else CUT.findall(t) for t in texts)
         for k in range(0, len(new), 50_000):
             order, ids, sizes = self._ids(new[k : k + 50_000])
             self.store.fill(first + k + order, ids, sizes)
         ids, size = self.store.gather(index)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, cuts)])])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(cuts)])])
 
 
 class Store:
@@ -100,13 +99,23 @@ class Store:
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.chars = 0
 
-    def number(self, cuts: list[list[str]]) -> tuple[np.ndarray, int, list[str]]:
-        """(numbers of all cuts, first new number, the new cuts in order), which the caller has to fill."""
+    def number(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, int, list[str]]:
+        """(numbers of the cuts of all texts, how many each text has, first new number, the new cuts in order), which the
+        caller has to fill. Texts may be given one at a time: only new cuts are held on to."""
         before = len(self.known)
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
-        new = list(islice(reversed(self.known), len(self.known) - before))
+        parts = [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in texts]
+        return np.concatenate([np.zeros(0, np.int64), *parts]), np.fromiter(map(len, parts), np.int64, len(parts)), before, self._since(before)
+
+    def number_all(self, cuts: list[str]) -> tuple[np.ndarray, int, list[str]]:
+        """The same of one list of cuts, without their number."""
+        before = len(self.known)
+        index = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
+        return index, before, self._since(before)
+
+    def _since(self, before: int) -> list[str]:
+        new = list(islice(reversed(self.known), len(self.known) - before))[::-1]
         self.chars += sum(map(len, new))
-        return index, before, new[::-1]
+        return new
 
     def bytes(self) -> int:
         """What the store takes, about: a text of up to four bytes a character, its entry and its number, and the arrays."""
