@@ -117,6 +117,86 @@ PASSAGES = (
     ("commercial", 2, 0.6, "licen", "commercial licen[sc]e"),
     ("copyleft", 1, 0.4, "copyleft", "copyleft"),
     ("copyright-notice", 1, 0.4, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
+    ("mit", 4, 0.8, "shall be included in all copies", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 3, 0.6, "sublicense and or sell copies", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-0", 4, 0.8, "to whom the software is furnished to do so", "permit persons to whom the software is furnished to do so the software is provided"),
+    ("permissive", 2, 0.5, "without warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
+    ("permissive", 2, 0.5, "liable for any claim damages", "in no event shall the (?:authors?|copyright holders?|authors or copyright holders) be liable for any claim damages or other liability"),
+    ("isc", 4, 0.7, "disclaims all warranties with regard to this software", "the author disclaims all warranties with regard to this software"),
+    ("0bsd", 4, 0.8, "for any purpose with or without fee", "use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", 4, 0.8, "must retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 4, 0.8, "must reproduce the above copyright notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", 5, 0.9, "mentioning features or use of this software", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("bsd", 3, 0.6, "by the copyright holders and contributors as is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("apache-1.1", 4, 0.8, "developed by the apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("apache-2.0", 5, 0.95, "licensed under the apache license version 2 0 the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", 4, 0.7, "not use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", 4, 0.7, "unless required by applicable law or agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", 4, 0.8, "grant of patent license", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants"),
+    ("apache-2.0", 4, 0.8, "grant of copyright license", "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants"),
+    ("gpl", 4, 0.85, "free software you can redistribute it", "this (?:program|library|file|package) is free software you can redistribute it"),
+    ("gpl", 4, 0.8, "should have received a copy of the gnu", "you should have received a copy of the gnu general public license"),
+    ("lgpl", 5, 0.85, "should have received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", 5, 0.85, "should have received a copy of the gnu library", "you should have received a copy of the gnu library general public license"),
+    ("agpl", 5, 0.85, "should have received a copy of the gnu affero", "you should have received a copy of the gnu affero general public license"),
+    ("gpl-2.0", 4, 0.7, "either version 2 of the license", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", 4, 0.7, "either version 3 of the license", "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", 4, 0.75, "either version 2 1 of the license", "either version 2 1 of the license or at your option any later version"),
+    ("gpl", 4, 0.8, "everyone is permitted to copy and distribute verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", 3, 0.7, "designed to take away your freedom", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change"),
+    ("gpl", 3, 0.6, "free software foundation inc", "free software foundation inc (?:51 franklin|59 temple|675 mass)"),
+    ("agpl-3.0", 4, 0.8, "remote network interaction", "remote network interaction use with the gnu general public license"),
+    ("gfdl", 4, 0.85, "permission is granted to copy distribute and or modify this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", 3, 0.7, "with no invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 5, 0.95, "this source code form is subject to the terms of the mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 4, 0.8, "incompatible with secondary licenses", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-1.1", 4, 0.8, "are subject to the mozilla public license", "the contents of this file are subject to the mozilla public license"),
+    ("cddl-1.0", 4, 0.8, "subject to the terms of the common development and distribution license", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl-1.0", 4, 0.8, "made available under the terms of the eclipse public license v1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", 4, 0.8, "made available under the terms of the eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("eupl", 4, 0.8, "subject to the following eupl", "licensed under the eupl subject to the following eupl conditions"),
+    ("artistic", 4, 0.8, "the copyright holder maintains some semblance of artistic control", "the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("bsl-1.0", 4, 0.85, "obtaining a copy of the software and accompanying documentation", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("busl", 4, 0.8, "non production use", "licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("sspl", 4, 0.8, "make the functionality of the program or a modified version available to third parties as a service", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic", 4, 0.8, "hosted or managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("zlib", 4, 0.85, "must not be misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 4, 0.8, "altered source versions must be plainly marked", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("openssl", 4, 0.85, "for use in the openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("python", 4, 0.8, "python software foundation psf", "this license agreement is between the python software foundation psf"),
+    ("php", 4, 0.8, "products derived from this software may not be called php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("unlicense", 4, 0.85, "anyone is free to copy modify publish use compile sell", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 3, 0.7, "dedicate any and all copyright interest", "(?:we|i|the author or authors of this software) dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", 4, 0.85, "you just do what the fuck you want to", "you just do what the fuck you want to"),
+    ("cc0-1.0", 4, 0.85, "waived all copyright and related", "has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", 4, 0.8, "irrevocably and unconditionally waives", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc", 3, 0.6, "licensed under a creative commons", "(?:this work|this content|this document|content) is licensed under a creative commons"),
+    ("cc-by", 3, 0.7, "you must give appropriate credit", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", 4, 0.75, "distribute your contributions under the same license", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nc", 4, 0.75, "may not use the material for commercial purposes", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", 4, 0.75, "may not distribute the modified material", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("odbl", 4, 0.8, "made available under the open database license", "this [a-z ]{1,60} is made available under the open database license"),
+    ("ofl", 4, 0.85, "sold by itself", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("ofl", 3, 0.7, "reserved font name", "with reserved font name"),
+    ("ms-pl", 4, 0.8, "if you use the software you accept this license", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ncsa", 4, 0.8, "deal with the software without restriction", "to deal with the software without restriction including without limitation the rights to use copy"),
+    ("postgresql", 4, 0.85, "without a written agreement is hereby granted", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("lppl", 4, 0.8, "distributed and or modified under the conditions of the latex project public license", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("beerware", 4, 0.85, "buy me a beer", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("openrail", 4, 0.8, "use based restrictions", "use based restrictions as referenced in"),
+    ("proprietary", 3, 0.75, "confidential and proprietary", "(?:this (?:file|document|software) is |is )?confidential and proprietary"),
+    ("proprietary", 3, 0.7, "unauthorized copying of this file", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 3, 0.7, "may not be reproduced", "may not be reproduced (?:or distributed |distributed or transmitted )?(?:in any form )?without (?:the )?prior written permission"),
+    ("proprietary", 3, 0.75, "end user license agreement", "end user license agreement"),
+    ("commercial", 2, 0.6, "for personal use only", "for personal use only"),
+    ("non-commercial", 2, 0.6, "for non commercial use only", "for non commercial use only"),
+    ("non-commercial", 2, 0.6, "research purposes only", "for (?:academic |non commercial )?research purposes only"),
+    ("public-domain", 3, 0.8, "no copyright", "(?:there is |has )?no copyright (?:restrictions|protection|is claimed)"),
+    ("public-domain", 3, 0.7, "work of the united states government", "(?:is a |this )work of the united states government"),
+    ("dual", 3, 0.7, "dual licensed under", "dual licensed under"),
+    ("dual", 3, 0.6, "at your option", "under either (?:of )?[a-z0-9 ]{1,120} at your option"),
+    ("permissive", 1, 0.4, "see the license file", "see the license file"),
+    ("permissive", 2, 0.5, "freely distributable", "(?:this software is |is )?freely distributable"),
 )
 
 
