@@ -23,12 +23,11 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import simple8b
-from .support import file_system, fresh_dir, prepare, table
+from .support import file_system, fresh_dir, prepare, table, written
 
 END_ID = 2
 #: White space as Unicode's property White_Space has it.
@@ -229,13 +228,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
         if pending:
             yield flush()
 
-    rows = sorted((r.asDict() for r in ordered.mapInArrow(run, MANIFEST).collect()), key=lambda r: (r["part"], r["piece"]))
-    start = 0
-    for r in rows:
-        r["start"] = start
-        start += r["ids"]
-    schema = T._parse_datatype_string(MANIFEST).add("start", T.LongType())
-    return spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
+    manifest = written(ordered.mapInArrow(run, MANIFEST), "manifest")
+    # a number for each partition; files are as many as the corpus asks for and stay a table
+    sums, start = sorted(manifest.groupBy("part").agg(F.sum("ids").alias("n")).collect()), 0
+    starts = []
+    for r in sums:
+        starts.append((r.part, start))
+        start += r.n
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, first long"))
+    before = F.sum("ids").over(Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.join(starts, "part").select(*manifest.columns, (F.col("first") + F.coalesce(before, F.lit(0))).alias("start"))
 
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: str, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

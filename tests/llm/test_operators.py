@@ -654,6 +654,50 @@ def test_token_files(spark, docs, texts, none, tmp_path):
     assert token_files.read_token_files(empty, f"file://{tmp_path}/e", "bigint").count() == 0
 
 
+# cases that all operators share
+
+
+def _everything(docs, folder):
+    """Each operator's result over documents, as rows by id."""
+    tok = P.path("byte_bpe_50k.json")
+    bench = docs.sparkSession.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    return {
+        "quality": quality.ledger(docs),
+        "simhash": simhash.near_duplicates(docs),
+        "similar": simhash.similar(docs),
+        "benchmark": decontaminate.scan(docs, bench, keep=["doc_id"]),
+        "joined": decontaminate.scan(docs, bench, keep=["doc_id"], block_bytes=1),
+        "warc": warc.archived(pages, f"{folder}/warc", docs.schema["doc_id"].dataType).withColumnRenamed("page_id", "doc_id"),
+        "pii": pii.find(docs),
+        "lines": line_dedup.deduplicate_lines(docs).select("doc_id", "text"),
+        "lm": lm_score.score(docs, order=3),
+        "license": license_scan.scan_licenses(docs),
+        "bpe": byte_bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "files": token_files.read_token_files(token_files.write_token_files(docs, f"file://{folder}/files", tok), f"file://{folder}/files", docs.schema["doc_id"].dataType.simpleString()),
+    }
+
+
+def test_empty_tables_everywhere(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in _everything(none, tmp_path).items():
+        assert df.count() == 0, name
+
+
+def test_long_texts_repeated_rows_and_clashing_columns_everywhere(spark, tmp_path):
+    """A text of a million characters, rows that repeat, nulls, ties, text ids that are odd, and columns of names used inside."""
+    rng = random.Random(6)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(130_000))
+    rows = [("", "alpha beta gamma"), ("a\r\nb", long), ("x", None), (None, "alpha"), ("y", ""), ("z", "same text of five words\nsame text of five words"), ("z", "same text of five words\nsame text of five words"), ("%", "漢" * 100_000), ("q", " \n\t ")]
+    names = ["_own", "_id", "_text", "fp", "root", "key", "h", "gone", "words", "block", "n_words"]
+    df = spark.createDataFrame([(*r, *["clash"] * len(names)) for r in rows], "doc_id string, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, got in _everything(df, tmp_path).items():
+        assert Counter(r.doc_id for r in got.select("doc_id").collect()) == Counter(i for i, _ in rows), name
+    left = simhash.deduplicate(df)
+    assert left.columns == df.columns and Counter(r.doc_id for r in left.collect())["z"] == 1
+    assert line_dedup.deduplicate_lines(df).columns == df.columns
+
+
 # queries and the pipeline
 
 
