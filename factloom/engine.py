@@ -31,8 +31,8 @@ class Engine:
         self.registry, self._snapshots = Registry(), Snapshots()
         self._writer = Writer(self.schema.constraints, self.schema.rules)
         self._view: FactStore | None = None
-        #: (entity, trigger) of all events that moved or could have moved a machine, in order
-        self.events: list[tuple[str, str]] = []
+        #: (entity, trigger, write) tables of the events that moved or could have moved a machine, by write
+        self._events: list[DataFrame] = []
 
     @classmethod
     def compile(cls, spark: SparkSession, text: str, machines: Iterable[Machine] = ()) -> Engine:
@@ -64,6 +64,10 @@ class Engine:
         names = [f.name for f in self.schema.fact_types.values() if f.arity == 2 and noun in f.players and f.name in self.view]
         return rmap.entity(self.view, noun, value, names)
 
+    def links(self, noun: str, value, n: int = 25) -> DataFrame:
+        """(fact_type, a, b, total): an entity's links, of each fact type the first n with how many there are."""
+        return rmap.first_rows(self.get(noun, value), "fact_type", ["a", "b"], n).select("fact_type", "a", "b", "total")
+
     def cells(self) -> list[tuple]:
         """The schema as descriptors: name, players, uniqueness, mandatory roles, rows held."""
         return [(f.name, f.players, f.unique, f.mandatory, self.view.facts(f.name).count() if f.name in self.view else None) for f in self.schema.fact_types.values()]
@@ -180,6 +184,23 @@ class Engine:
     def retract(self, name: str, row: tuple) -> Answer:
         return self._done(self._writer.retract(self.store, name, row))
 
+    def update(self, name: str, row: tuple) -> Answer:
+        """The fact of a functional fact type with the same first player gives way to row."""
+        return self.replace(name, row[:1], row)
+
+    def delete(self, noun: str, value) -> Answer:
+        """An entity goes with all its facts."""
+        return self._done(self._writer.delete(self.store, noun, value))
+
+    def transition(self, noun: str, value, trigger: str, *others) -> Answer:
+        """The event that moves an entity: a fact of the trigger, refused if the entity's status has no such link."""
+        if self.actions(noun).where((F.col("entity") == str(value)) & (F.col("trigger") == trigger)).isEmpty():
+            m = self.machines[noun]
+            start, known = mach.leaf(m, m.start()), not self.status(noun).where(F.col("entity") == str(value)).isEmpty()
+            if known or all(t.source != start or t.trigger != trigger for t in mach.effective(m)):
+                return Answer(REFUSED, self.store, reason=f"{value} has no transition for {trigger}")
+        return self.create(**{trigger: [(value, *others)]})
+
     def snapshot(self, name: str) -> None:
         self._snapshots.snapshot(name, self.store)
 
@@ -191,13 +212,14 @@ class Engine:
 
     def migrate(self, recipes: dict[str, Recipe]) -> Answer:
         """Target fact types receive the rows of their recipes, as one transition."""
-        return self._done(self._writer.create(self.store, **{n: [tuple(r) for r in self.query(q).collect()] for n, q in recipes.items()}))
+        return self._done(self._writer.apply(self.store, add={n: self.view.query(q) for n, q in recipes.items()}))
 
     # machines
 
     def _record(self, before: FactStore, facts: dict[str, list[tuple]]) -> None:
         """New rows of trigger fact types, stated or newly derived, as events of the entities that play their roles."""
         triggers = {t.trigger for m in self.machines.values() for t in mach.effective(m)}
+        found = []
         for name in sorted(triggers):
             if name not in self.view:
                 continue
@@ -206,12 +228,25 @@ class Engine:
                 new = new.subtract(before.facts(name))
             elif name in facts:
                 new = new.limit(0).union(_rows(self.store.spark, facts[name], len(new.columns)).df)
-            self.events += [(str(r[0]), name) for r in sorted(new.collect())]
+            # a write's events of an entity are in the order of their triggers, then of the other players
+            found.append(new.select(F.col("c1").cast("string").alias("entity"), F.lit(name).alias("trigger"), F.lit(len(self._events)).alias("write"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in new.columns]).alias("row")))
+        if found:
+            rows = found[0]
+            for df in found[1:]:
+                rows = rows.union(df)
+            self._events.append(kept(rows))
+
+    @property
+    def events(self) -> DataFrame:
+        """entity, trigger, write and row of all events that moved or could have moved a machine."""
+        rows = self.store.spark.createDataFrame([], "entity string, trigger string, write int, row string")
+        for df in self._events:
+            rows = rows.union(df)
+        return rows
 
     def status(self, noun: str) -> DataFrame:
         """entity and status of noun's machine, by all events so far (a replay: nothing is written)."""
-        rows = [(e, t, k) for k, (e, t) in enumerate(self.events)]
-        return mach.fold(self.store.spark.createDataFrame(rows, "entity string, trigger string, place int"), self.machines[noun], entity="entity", event="trigger", order=["place"])
+        return mach.fold(self.events, self.machines[noun], entity="entity", event="trigger", order=["write", "trigger", "row"])
 
     def actions(self, noun: str) -> DataFrame:
         return mach.available(self.status(noun), self.machines[noun])

@@ -107,3 +107,41 @@ def test_library(spark):
     assert rows(d.facts("StatusIsRootedInMachine")) == {("p", "m")} and ("p", "r") in rows(d.facts("StatusReachesStatus"))
     assert rows(d.facts("ConstraintIsRedundant")) == {("c2",)}
     assert "PredicateIsBound" not in d
+
+
+def test_update_delete_transition_and_links(spark):
+    from factloom.engine import Engine
+    from factloom.plans.tx import REFUSED
+    from factloom.schema import Machine, Transition
+
+    e = Engine.compile(
+        spark,
+        """
+        Person(.nr) is an entity type. Name is a value type. Person has Name. Each Person has at most one Name. Person likes Person. Person joins. Person leaves.
+        Person 'p1' has Name 'Ann'. Person 'p2' has Name 'Bob'. Person 'p1' likes Person 'p2'. Person 'p2' likes Person 'p1'.
+        """,
+        [Machine("m", "Person", (Transition("j", "out", "in", "PersonJoins"), Transition("l", "in", "gone", "PersonLeaves")), initial="out")],
+    )
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert e.update("PersonHasName", ("p1", "Eve")).status != REFUSED and rows(e.query("PersonHasName")) == {("p1", "Eve"), ("p2", "Bob")}
+    assert rows(e.links("Person", "p1", 1).select("fact_type", "total")) == {("PersonHasName", 1), ("PersonLikesPerson", 1)}
+    assert e.transition("Person", "p1", "PersonLeaves").status == REFUSED
+    assert e.transition("Person", "p1", "PersonJoins").status != REFUSED and rows(e.status("Person")) == {("p1", "in")}
+    assert e.transition("Person", "p1", "PersonLeaves").status != REFUSED and rows(e.status("Person")) == {("p1", "gone")}
+    assert e.transition("Person", "p1", "PersonJoins").status == REFUSED
+    assert e.delete("Person", "p2").status != REFUSED
+    assert rows(e.query("PersonHasName")) == {("p1", "Eve")} and rows(e.query("PersonLikesPerson")) == set()
+
+
+def test_a_write_of_many_violations_lists_the_first(spark):
+    from factloom.plans import tx
+    from factloom.plans.recipe import relation
+    from factloom.schema import Constraint
+    from factloom.store import FactStore
+
+    store = FactStore(spark, {"N": relation(spark.range(3).selectExpr("id as a", "id as b"))})
+    w = tx.Writer([Constraint("uc", "uniqueness", ("N", (2,)))])
+    many = spark.range(3000).selectExpr("id + 10 as a", "id div 2 + 10 as b")
+    answer = w.apply(store, add={"N": many})
+    assert answer.status == tx.REFUSED and len(answer.violations) == tx.LISTED and answer.table.count() == 3000
+    assert w.apply(store, add={"N": many.where("a % 2 = 0")}).status == tx.COMMITTED
