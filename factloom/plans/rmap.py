@@ -52,7 +52,8 @@ def facts_of(wide: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def ddl(schema: Schema, dialect: str = "spark") -> list[str]:
-    """CREATE TABLE statements; dialects differ in the text type and in quoting."""
+    """CREATE TABLE statements; dialects differ in the text type and in quoting. Outside Spark, which has none that it
+    enforces, uniquenesses, references to other tables and lists of values become constraints."""
     text = {"spark": "STRING", "sqlite": "TEXT", "postgres": "TEXT", "mysql": "VARCHAR(255)", "sqlserver": "NVARCHAR(MAX)", "oracle": "VARCHAR2(4000)", "duckdb": "VARCHAR"}[dialect]
     quote = {"mysql": "``", "spark": "``", "sqlserver": "[]"}.get(dialect, '""')
 
@@ -65,18 +66,38 @@ def ddl(schema: Schema, dialect: str = "spark") -> list[str]:
             return text
         return CONCEPTUAL[o.domain.conceptual][0]
 
+    tables = layout(schema)
+
+    def references(column: str, noun: str) -> list[str]:
+        return [f"FOREIGN KEY ({q(column)}) REFERENCES {q(noun)} ({q(noun)})"] if noun in tables else []
+
+    def checks(column: str, noun: str) -> list[str]:
+        o = schema.object_types.get(noun)
+        if o is None or o.domain is None or not o.domain.values:
+            return []
+        return [f"CHECK ({q(column)} IN ({', '.join(repr(v) if not isinstance(v, str) else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in o.domain.values)}))"]
+
     out = []
-    for name, columns in layout(schema).items():
+    for name, columns in tables.items():
+        more: list[str] = []
         if name in schema.fact_types:
             f = schema.fact_types[name]
+            own = [f"{p}_{k}" if f.players.count(p) > 1 else p for k, p in enumerate(f.players, 1)]
+            more += [f"UNIQUE ({', '.join(q(own[k - 1]) for k in u)})" for u in f.unique]
+            for column, p in zip(own, f.players, strict=True):
+                more += references(column, p) + checks(column, p)
             body = [f"{q(f'{p}_{k}' if f.players.count(p) > 1 else p)} {sql_type(p)} NOT NULL" for k, p in enumerate(f.players, 1)]
         else:
             body = [f"{q(name)} {sql_type(name)} NOT NULL"]
             for c in columns[1:]:
                 f = schema.fact_types[c]
                 body.append(f"{q(c)} {sql_type(f.players[1]) if f.arity == 2 else 'BOOLEAN'}{' NOT NULL' if 1 in f.mandatory and f.arity == 2 else ''}")
+                if f.arity == 2:
+                    more += ([f"UNIQUE ({q(c)})"] if (2,) in f.unique else []) + (references(c, f.players[1]) if f.players[1] != name else []) + checks(c, f.players[1])
             if dialect != "spark":
                 body.append(f"PRIMARY KEY ({q(name)})")
+        if dialect != "spark":
+            body += more
         out.append(f"CREATE TABLE {q(name)} ({', '.join(body)})")
     return out
 
@@ -96,12 +117,12 @@ def json_schema(df: DataFrame) -> dict:
 
 
 def induced_uniqueness(df: DataFrame, most: int = 2) -> DataFrame:
-    """For each set of up to `most` columns: whether no two rows share it. One aggregation counts all sets."""
+    """For each set of up to `most` columns: whether no two rows share it. Each set is its own aggregation, with partial
+    counts before the shuffle; one for all would write every row once for every set."""
     cols = sorted(df.columns)
     groups = [c for n in range(1, most + 1) for c in combinations(cols, n)]
-    counts = df.agg(F.count("*").alias("n"), *[F.count_distinct(*c).alias(f"d{k}") for k, c in enumerate(groups)])
-    rows = F.array(*[F.struct(F.lit(",".join(c)).alias("columns"), (F.col("n") == F.col(f"d{k}")).alias("holds")) for k, c in enumerate(groups)])
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    parts = [df.groupBy(*c).agg(F.count("*").alias("_n")).agg((F.coalesce(F.max("_n"), F.lit(0)) < 2).alias("holds")).select(F.lit(",".join(c)).alias("columns"), "holds") for c in groups]
+    return reduce(DataFrame.union, parts)
 
 
 def induced_mandatory(store, instances: DataFrame, fact_types: list[str]) -> DataFrame:

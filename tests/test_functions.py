@@ -231,3 +231,31 @@ def test_sentences_of_constraints_and_conditions():
     # a clause that isn't about declared facts, and a condition without a shared variable, aren't guessed
     p = readings.Parser().read("A(.x) is an entity type. B(.x) is an entity type. A has B. A likes B. * A likes B iff A has B and B flies. If A1 has B1 then A2 likes B2.")
     assert len(p.unknown) == 2 and not p.constraints
+
+
+def test_table_constraints():
+    from factloom.schema import FactType, ObjectType, Schema
+    from factloom.types import Domain
+
+    schema = Schema(
+        {"Person": ObjectType("Person"), "Team": ObjectType("Team"), "Grade": ObjectType("Grade", False, domain=Domain("text", values=("a", "o'b"))), "Badge": ObjectType("Badge", False)},
+        {
+            "PersonHasGrade": FactType("PersonHasGrade", ("Person", "Grade"), unique=((1,),), mandatory=(1,)),
+            "PersonHasBadge": FactType("PersonHasBadge", ("Person", "Badge"), unique=((1,), (2,))),
+            "TeamHasGrade": FactType("TeamHasGrade", ("Team", "Grade"), unique=((1,),)),
+            "PersonInTeam": FactType("PersonInTeam", ("Person", "Team"), unique=((1, 2),)),
+        },
+    )
+    said = rmap.ddl(schema, "duckdb")
+    assert said[0] == 'CREATE TABLE "Person" ("Person" VARCHAR NOT NULL, "PersonHasGrade" VARCHAR NOT NULL, "PersonHasBadge" VARCHAR, PRIMARY KEY ("Person"), CHECK ("PersonHasGrade" IN (\'a\', \'o\'\'b\')), UNIQUE ("PersonHasBadge"))'
+    assert said[2] == 'CREATE TABLE "PersonInTeam" ("Person" VARCHAR NOT NULL, "Team" VARCHAR NOT NULL, UNIQUE ("Person", "Team"), FOREIGN KEY ("Person") REFERENCES "Person" ("Person"), FOREIGN KEY ("Team") REFERENCES "Team" ("Team"))'
+    import duckdb
+
+    db = duckdb.connect()
+    for s in said:
+        db.execute(s)
+    db.execute("INSERT INTO \"Person\" VALUES ('p', 'a', 'b1')")
+    for bad in ("('q', 'z', 'b2')", "('q', 'a', 'b1')", "('p', 'a', 'b2')"):
+        with pytest.raises(duckdb.ConstraintException):
+            db.execute(f'INSERT INTO "Person" VALUES {bad}')
+    assert not any("UNIQUE" in s or "CHECK" in s for s in rmap.ddl(schema))
