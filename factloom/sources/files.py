@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import mailbox
 import os
@@ -9,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from email.utils import getaddresses
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -95,17 +97,32 @@ def own_text(body: str) -> str:
 
 
 def _body(message) -> str:
-    parts = [p for p in message.walk() if p.get_content_type() == "text/plain"] if message.is_multipart() else [message]
-    for p in parts:
-        data = p.get_payload(decode=True)
+    """The first plain text part, else the text of the first HTML part."""
+    found: dict[str, str] = {}
+    for p in message.walk():
+        data = None if p.is_multipart() else p.get_payload(decode=True)
         if data is not None:
-            return data.decode(p.get_content_charset() or "utf-8", "replace")
-    return ""
+            try:
+                found.setdefault(p.get_content_type(), data.decode(p.get_content_charset() or "utf-8", "replace"))
+            except LookupError:  # an unknown character set
+                found.setdefault(p.get_content_type(), data.decode("utf-8", "replace"))
+    if "text/plain" in found:
+        return found["text/plain"]
+    without = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ", found.get("text/html", ""))
+    return re.sub(r"[ \t]+", " ", html.unescape(without)).strip()
+
+
+def _deleted(message) -> bool:
+    """Whether the mail program has marked the message as deleted (fixed value: bit 8 of its hexadecimal status)."""
+    try:
+        return bool(int(message.get("X-Mozilla-Status", "0"), 16) & 8)
+    except ValueError:
+        return False
 
 
 class MboxReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, wanted: dict[str, str]):
+        self.path, self.wanted = path, wanted
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
@@ -115,24 +132,33 @@ class MboxReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         box = mailbox.mbox(partition.value, create=False)
         for k, m in enumerate(box):
+            if not (m.get("Message-ID") or "").strip(" <>\t") or _deleted(m):
+                continue
+            senders = [a for _, a in getaddresses([str(x) for x in m.get_all("From", [])])]
+            to = [(kind.lower(), a) for kind in ("To", "Cc") for _, a in getaddresses([str(x) for x in m.get_all(kind, [])]) if a]
+            asked = {"sender": senders, "recipient": [a for _, a in to], "id": [m.get("Message-ID").strip(" <>\t")]}
+            if any(v not in asked[c] for c, v in self.wanted.items()):
+                continue
             text = _body(m)
-            yield (partition.value, k, m.get("Message-ID"), m.get("In-Reply-To"), m.get("From"), m.get("To"), m.get("Subject"), m.get("Date"), text, own_text(text))
+            yield (partition.value, k, m.get("Message-ID"), m.get("In-Reply-To"), m.get("From"), m.get("To"), m.get("Subject"), m.get("Date"), text, own_text(text), to)
 
 
 class MboxSource(DataSource):
-    """spark.read.format("mbox").load(path): a mailbox, or a folder of them (one partition each), on a mounted path."""
+    """spark.read.format("mbox").load(path): a mailbox, or a folder of them (one partition each), on a mounted path. Deleted
+    messages and those without an id are left out; the options sender, recipient (to or copy) and id ask for an address or
+    a message."""
 
     @classmethod
     def name(cls) -> str:
         return "mbox"
 
     def schema(self) -> str:
-        return "file string, place int, message_id string, in_reply_to string, sender string, recipient string, subject string, date string, text string, own_text string"
+        return "file string, place int, message_id string, in_reply_to string, sender string, recipient string, subject string, date string, text string, own_text string, recipients array<struct<kind: string, address: string>>"
 
     def reader(self, schema) -> MboxReader:
-        return MboxReader(self.options["path"])
+        return MboxReader(self.options["path"], {c: self.options[c] for c in ("sender", "recipient", "id") if c in self.options})
 
 
-def mailboxes(spark: SparkSession, path: str) -> DataFrame:
+def mailboxes(spark: SparkSession, path: str, **wanted: str) -> DataFrame:
     spark.dataSource.register(MboxSource)
-    return spark.read.format("mbox").load(path)
+    return spark.read.format("mbox").options(**wanted).load(path)

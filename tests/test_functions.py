@@ -259,3 +259,16 @@ def test_table_constraints():
         with pytest.raises(duckdb.ConstraintException):
             db.execute(f'INSERT INTO "Person" VALUES {bad}')
     assert not any("UNIQUE" in s or "CHECK" in s for s in rmap.ddl(schema))
+
+
+def test_mailbox_filters(spark, tmp_path):
+    def message(head, body):
+        return f"From a@b Mon Jan  1 00:00:00 2024\n{head}\n\n{body}\n\n"
+
+    text = message("From: Ann <a@b>\nTo: c@d\nCc: Eve <e@f>\nMessage-ID: <1>", "one") + message("From: a@b\nMessage-ID: <2>\nX-Mozilla-Status: 0009", "deleted") + message("From: a@b\nSubject: no id", "nameless")
+    text += message("From: x@y\nTo: e@f\nMessage-ID: <4>\nContent-Type: text/html", "<style>p {}</style><p>four &amp; <b>more</b></p>")
+    (tmp_path / "a.mbox").write_text(text)
+    load = lambda **wanted: {r.message_id: (r.text, [tuple(x) for x in r.recipients]) for r in files.mailboxes(spark, str(tmp_path / "a.mbox"), **wanted).collect()}
+    every = load()
+    assert {k: (t.split(), to) for k, (t, to) in every.items()} == {"<1>": (["one"], [("to", "c@d"), ("cc", "e@f")]), "<4>": (["four", "&", "more"], [("to", "e@f")])}
+    assert set(load(sender="a@b")) == {"<1>"} and set(load(recipient="e@f")) == {"<1>", "<4>"} and set(load(id="4")) == {"<4>"} and load(sender="a@b", id="4") == {}
