@@ -41,7 +41,7 @@ from .support import bounded, kept, prepare, release, spaced_words, table, tidie
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 4
 #: How often keys link their members to one of them before pairs are joined.
-ROUNDS = 3
+ROUNDS = 2
 SEED = 42
 _CHUNK = 1 << 14
 #: Rows of ids that may be broadcast.
@@ -168,6 +168,7 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
     compared.
     """
     spark, more_columns = fps.sparkSession, [c for c in fps.columns if c != "fp"]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wide = bounded(fps, BROADCAST_ROWS // 4) if more_columns else None
 
     def full(df: DataFrame, prefix: str) -> DataFrame:
@@ -188,7 +189,8 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
             pairs = pairs.where(near("", "p_"))
             if verified is not None:
                 pairs = verified(pairs.select("fp", "root", "p_fp", "p_root"), "p_fp")
-            edges = kept(pairs.select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct())
+            # edges are few; as many files as partitions would take more room than they
+            edges = kept(pairs.select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct().coalesce(max(1, partitions // 8)))
             if edges.isEmpty():
                 break
             roots = _merged(roots, edges)
@@ -198,7 +200,7 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
 
     roots = pivoted(kept(hints.withColumn("side", F.lit(None).cast("tinyint"))), None)
     # as many tasks as shuffles have: fingerprints are few and small, their keys many
-    keyed = keys(_rooted(fps, roots).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    keyed = keys(_rooted(fps, roots).repartition(partitions))
     # keys that bring different components together; most have one member
     facing = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     several = kept(facing.where("lo <> hi and (s0 is null or s0 <> s1)").select("key"))
@@ -209,12 +211,14 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
     # the key's members are in, so only those are paired with all
     rooted = _rooted(shared, roots)
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = written(full(rooted.join(main.select("key", "main"), "key"), ""), "mixed")
-    other = mixed.where("root <> main").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", "side", *more_columns)])
-    more = mixed.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & _facing("side", "o_side") & near("", "o_"))
+    main = main.select(F.col("key").alias("m_key"), "main")
+    other = full(rooted.join(main, (F.col("key") == F.col("m_key")) & (F.col("root") != F.col("main"))).drop("m_key", "main"), "")
+    other = other.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", "side", *more_columns)])
+    more = full(rooted, "").join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & _facing("side", "o_side") & near("", "o_"))
     if verified is not None:
         more = verified(more.select("fp", "root", "o_fp", "o_root").distinct(), "o_fp")
-    more = more.select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct()
+    more = kept(more.select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct().coalesce(max(1, partitions // 8)))
+    release(spark)
     roots = _merged(roots, more)
     return roots.select("fp", "root")
 
@@ -228,13 +232,14 @@ def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     """fp and root after more edges between roots."""
-    new = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    files = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    new = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new")).coalesce(files)
     if roots is None:
         return kept(new.select(F.col("old").alias("fp"), F.col("new").alias("root")))
     new = kept(new)
     moved = roots.join(new, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root"))
     fresh = new.join(roots.select("root").distinct(), F.col("old") == F.col("root"), "left_anti").select(F.col("old").alias("fp"), F.col("new").alias("root"))
-    return kept(moved.unionByName(fresh))
+    return kept(moved.unionByName(fresh).coalesce(files))
 
 
 def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -273,13 +278,13 @@ def most_bits(similarity: float) -> int:
 
 
 def plan_segments(similarity: float, documents: int) -> list[tuple[int, ...]]:
-    """Bit positions (of 64 * WIDE) of segments: four bits more than the logarithm of the documents, so that keys hold few
-    strangers; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit.
+    """Bit positions (of 64 * WIDE) of segments: six bits more than the logarithm of the documents, so that keys hold hardly
+    any strangers, and fewer of those that are alike but not enough; as many as find RECALL of the pairs at the threshold by a segment of at most one differing bit.
 
     Each run of 64 * WIDE // bits segments is cut from another order of all positions, so that segments of a run share none
     and those of different runs few.
     """
-    bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 4))
+    bits = min(32, max(10, math.ceil(math.log2(max(2, documents))) + 6))
     p, n = bit_rate(similarity), 64 * WIDE
     # by the number d of differing bits: how likely it is, and that a segment has at most one of them
     rows = []
