@@ -730,3 +730,85 @@ def test_pipeline(spark, docs, small):
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0
     texts = {r.doc_id: r.text for r in left.collect()}
     assert 12 in texts and 13 not in texts  # of the copies, the first stays
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a corpus with planted repeats, near copies on both sides of 0.8, and benchmark passages, stage by stage."""
+    import tiktoken
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(700)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = [line(rng.randint(5, 12)) for _ in range(8)]
+    items = [line(30) for _ in range(4)] + [line(4)]
+    texts: list[str | None] = []
+    for k in range(70):
+        lines = [line(rng.randint(6, 14)) for _ in range(12)]
+        kind = k % 7
+        if kind == 1:  # a line of another document, as it is or with a word replaced
+            w = rng.choice(shared).split()
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            lines.insert(3, " ".join(w))
+        elif kind == 2 and texts:  # a copy, or a near copy by words changed in every second line
+            lines = (texts[rng.randrange(0, len(texts) - 1)] or line(20)).split("\n")
+            lines = [" ".join([*x.split()[:-2], *rng.choices(vocabulary, k=3)]) for x in lines]
+        elif kind == 3:
+            w = rng.choice(items).split()
+            lines.insert(5, " ".join(w[3:16]))
+        elif kind == 4:
+            lines = [line(3)]
+        texts.append("\n".join(lines))
+    base = [line(200) for _ in range(6)]
+    for k, b in enumerate(base):  # a block of words replaced at the end: similarities of about 0.9 and 0.7
+        w = b.split()
+        texts += [b, " ".join([*w[: 190 if k % 2 else 165], *rng.choices(vocabulary, k=10 if k % 2 else 35)])]
+    texts += [None, "", shared[0], shared[0]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    kept = {r.doc_id for r in quality.verdicts(quality.ledger(spark.createDataFrame(rows, schema))).where("kept").collect()}
+    left = {i: t for i, t in enumerate(texts) if i in kept}
+    # lines
+    seen: list[list[str]] = []
+    after = {}
+    for i, t in left.items():
+        out = []
+        for x in t.split("\n"):
+            w = spaced(x)
+            if not (w and any(v == w or min(len(v), len(w)) >= 5 and within_an_edit(v, w) for v in seen)):
+                out.append(x)
+            seen.append(w)
+        if spaced("\n".join(out)):
+            after[i] = "\n".join(out)
+    assert any(after.get(i) != t for i, t in left.items())
+    # near copies
+    sets = {}
+    for i, t in after.items():
+        w = [x.lower() for x in spaced(t)]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = list(sets)
+    root = naive_components(ids, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    single = {i: after[i] for i, r in zip(ids, root, strict=True) if ids[r] == i}
+    assert len(single) < len(after)
+    # benchmark
+    windows = set()
+    for t in items:
+        w = [x.decode() for x in alnum_words(t.encode())]
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    clean = {}
+    for i, t in single.items():
+        w = [x.decode() for x in alnum_words(t.encode())]
+        if not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1)):
+            clean[i] = t
+    assert len(clean) < len(single)
+    codec = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got == {i: own.encode_ordinary(t) for i, t in clean.items()}
