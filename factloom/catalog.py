@@ -15,6 +15,7 @@ from .plans import rmap
 from .plans.recipe import printed, relation
 from .plans.rules import closure, cycle_core, derive, most_specifically
 from .schema import Constraint, Machine, Rule, Transition
+from .sources import replica
 from .star import star_store, table
 from .types import Domain
 
@@ -172,12 +173,12 @@ _list_query("ffp_div", lambda x: ffp.div(F.lit(-7), F.size(x)), "(-7 // len(xs))
 
 @query("SELECT c_nationkey AS nation, arg_max(c_custkey, (c_acctbal, c_custkey)) AS customer, max(c_acctbal) AS balance FROM customer GROUP BY 1")
 def agg_superlative_max(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("customer"), F.max("c_acctbal").alias("balance"))
+    return sets.extreme(table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("balance")), "nation", "balance", highest=True)
 
 
 @query("SELECT c_nationkey AS nation, arg_min(c_custkey, (c_acctbal, c_custkey)) AS customer, min(c_acctbal) AS balance FROM customer GROUP BY 1")
 def agg_superlative_min(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("customer"), F.min("c_acctbal").alias("balance"))
+    return sets.extreme(table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("balance")), "nation", "balance", highest=False)
 
 
 @query("SELECT o_custkey AS customer, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 6) AS ratio FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') > 0")
@@ -198,20 +199,17 @@ def agg_over_threshold(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
 def agg_count_kept_with_rows(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return rows.join(rows.groupBy("l_orderkey").agg(F.count("*").alias("n")), "l_orderkey")
+    return sets.with_counts(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey")
 
 
 @query("SELECT user_id AS u, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS position FROM events")
 def win_auto_position(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("e"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("position"))
+    return sets.next_positions(table(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("e"), "ts"), ["u"], ["ts", "e"]).drop("ts")
 
 
 @query("SELECT o_orderkey AS o, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def top_list(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("total")).orderBy(F.desc("total"), "o").limit(50)
+    return replica.listed(table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("total")), sort="total", descending=True, limit=50)
 
 
 # constraints

@@ -164,6 +164,12 @@ _list_query("ffp_eq_not", lambda x: ffp.negate(ffp.eq(x, ffp.reverse(x))), "xs <
 _list_query("ffp_add_sub", lambda x: ffp.sub(ffp.add(ffp.select(1)(x), F.size(x)), F.lit(1)), "(xs[1] + len(xs) - 1)::BIGINT")
 _list_query("ffp_cons", lambda x: _text(ffp.cons(ffp.select(1), ffp.last, ffp.const(5))(x)), "array_to_string([xs[1], xs[-1], 5], ',')")
 _list_query("ffp_while", lambda x: _text(ffp.bounded_while(lambda y: F.size(y) > 2, ffp.tl, 10)(x)), "array_to_string(CASE WHEN len(xs) > 2 THEN xs[len(xs) - 1:] ELSE xs END, ',')")
+_list_query("ffp_compare", lambda x: F.concat_ws(",", *[f(ffp.select(1)(x), F.size(x)).cast("string") for f in (ffp.lt, ffp.le, ffp.gt, ffp.ge)]), "concat_ws(',', (xs[1] < len(xs))::VARCHAR, (xs[1] <= len(xs))::VARCHAR, (xs[1] > len(xs))::VARCHAR, (xs[1] >= len(xs))::VARCHAR)")
+_list_query("ffp_and", lambda x: ffp.conjunction(F.size(x) > 2, F.array_contains(x, 1)), "len(xs) > 2 AND list_contains(xs, 1)")
+_list_query("list_flatten", lambda x: _text(sets.flattened(F.array(x, ffp.reverse(x)))), "array_to_string(list_concat(xs, list_reverse(xs)), ',')")
+_list_query("list_sort_by", lambda x: _text(sets.sorted_by(x, lambda e: -(e % 3))), "array_to_string(list_concat([e for e in xs if e % 3 = 2], [e for e in xs if e % 3 = 1], [e for e in xs if e % 3 = 0]), ',')")
+_scalar("fn_text_holds", "part", "p_partkey", lambda: F.concat_ws(",", *[scalars.text_holds(F.col("p_name"), op, "S").cast("string") for op in ("starts with", "ends with", "not contains")]), "concat_ws(',', starts_with(lower(p_name), 's')::VARCHAR, ends_with(lower(p_name), 's')::VARCHAR, (NOT contains(lower(p_name), 's'))::VARCHAR)")
+_scalar("fn_or_more", "part", "p_partkey", lambda: scalars.bare_comparison(F.col("p_size"), "30 or more") | scalars.bare_comparison(F.col("p_size"), "5 or fewer"), "p_size >= 30 OR p_size <= 5")
 _scalar("fn_quoted", "part", "p_partkey", lambda: scalars.quoted(F.concat(F.col("p_name"), F.lit(' "x"\\'))), "'\"' || p_name || ' \\\"x\\\"\\\\\"'")
 _scalar("fn_number_text", "part", "p_partkey", lambda: scalars.number_text(F.col("p_size")), "p_size::VARCHAR")
 _scalar("fn_is_lower", "part", "p_partkey", lambda: scalars.is_lower(F.substring("p_name", 1, 1)), "regexp_matches(left(p_name, 1), '[a-z]')")
@@ -205,6 +211,23 @@ def ring_implied(spark, d):
 # rules and writes
 
 
+@query("SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier")
+def rule_provided(spark, d):
+    """A subset constraint that provides its head: nations of customers are nations that trade, as those of suppliers are."""
+    store = star_store(spark, d).with_facts(NationTrades=relation(table(spark, d, "supplier").select("s_nationkey").distinct()))
+    rules = con.provided([Constraint("trade", "subset", (["proj", "CustomerInNation", [2]], "NationTrades"))], ["NationTrades"])
+    return derive(store, rules, only=["NationTrades"]).facts("NationTrades").toDF("n")
+
+
+@query("SELECT user_id AS u, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click' DESC, ts, event_id)::INT AS position FROM events QUALIFY event_type <> 'click'")
+def win_next_position(spark, d):
+    """Positions next after the greatest that the user's clicks hold."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("e"), "event_type", "ts")
+    held = sets.next_positions(rows.where("event_type = 'click'"), ["u"], ["ts", "e"])
+    new = sets.next_positions(rows.where("event_type <> 'click'").select("u", "e", "ts"), ["u"], ["ts", "e"], held)
+    return new.select("u", "e", F.col("position").cast("int"))
+
+
 @query("SELECT 0 AS arm, 'CustomerInNation' AS antecedents UNION ALL SELECT 1, 'SupplierInNation'")
 def rule_explain(spark, d):
     """The arms that give a derived row."""

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Fn = Callable[[Column], Column]
 
@@ -80,6 +81,33 @@ def eq(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def lt(a: Column, b: Column) -> Column:
+    """Both sides are of one kind: Spark refuses, or here compares, what its types allow."""
+    return a < b
+
+
+def le(a: Column, b: Column) -> Column:
+    return a <= b
+
+
+def gt(a: Column, b: Column) -> Column:
+    return a > b
+
+
+def ge(a: Column, b: Column) -> Column:
+    return a >= b
+
+
+def conjunction(a: Column, b: Column) -> Column:
+    """T if both are T, else F; null is not T."""
+    return F.coalesce(a, F.lit(False)) & F.coalesce(b, F.lit(False))
+
+
+def atom(data_type: T.DataType) -> Fn:
+    """Whether values of a type are atoms: all that aren't sequences or tuples, which a column's type says."""
+    return lambda x: F.lit(not isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)))
+
+
 def negate(x: Column) -> Column:
     """Anything but T is T's opposite."""
     return ~F.coalesce(x, F.lit(False))

@@ -104,6 +104,22 @@ def plural(noun: Column) -> Column:
     return out
 
 
+def text_holds(text: Column, operator: str, value) -> Column:
+    """starts with, ends with or contains, or one of them after `not`, whatever the case of letters."""
+    negated, name = operator.startswith("not "), operator.removeprefix("not ")
+    holds = {"starts with": F.startswith, "ends with": F.endswith, "contains": F.contains}[name](F.lower(text), F.lower(F.lit(value) if isinstance(value, str) else value))
+    return ~holds if negated else holds
+
+
+def bare_comparison(x: Column, words: str) -> Column:
+    """`10 or more`, `5 or fewer` and the like of a number."""
+    m = re.fullmatch(r"(-?\d+(?:\.\d+)?) or (more|greater|less|fewer)", words)
+    if m is None:
+        raise ValueError(f"not a comparison: {words!r}")
+    value = F.lit(float(m[1]) if "." in m[1] else int(m[1]))
+    return x >= value if m[2] in ("more", "greater") else x <= value
+
+
 def within(x: Column, low, high) -> Column:
     return x.between(low, high)
 

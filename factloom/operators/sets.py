@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # relations
@@ -58,6 +59,11 @@ def count_rows(df: DataFrame, *keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def with_counts(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with n, how many share their keys."""
+    return df.join(df.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+
+
 def rows_for(df: DataFrame, key, position: int = 1) -> DataFrame:
     """Rows whose column at position equals key."""
     return df.where(F.col(df.columns[position - 1]) == key)
@@ -95,9 +101,39 @@ def wide_row(spine: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def extreme(df: DataFrame, by: str, value: str, *, highest: bool) -> DataFrame:
+    """For each value of `by`, the row with the highest or lowest value; ties go to the greatest or least row by its other
+    columns. One aggregation with partial results."""
+    rest = F.struct(value, *[c for c in df.columns if c not in (by, value)])
+    best = (F.max if highest else F.min)(rest).alias("_r")
+    return df.groupBy(by).agg(best).select(by, *[F.col(f"_r.{c}").alias(c) for c in df.columns if c != by])
+
+
+def next_positions(new: DataFrame, by: list[str], order: list[str], held: DataFrame | None = None, position: str = "position") -> DataFrame:
+    """new with positions: by order, next after the greatest that held facts with the same `by` have."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    if held is None:
+        return new.withColumn(position, place)
+    last = held.groupBy(*[F.col(c).alias(f"_h_{c}") for c in by]).agg(F.max(position).alias("_last"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by])
+    rows = new.withColumn("_place", place).join(last, on, "left")
+    return rows.select(*new.columns, (F.col("_place") + F.coalesce("_last", F.lit(0))).alias(position))
+
+
 # array columns
 
 
+def flattened(xs: Column) -> Column:
+    """The elements of a sequence of sequences, one level down."""
+    return F.flatten(xs)
+
+
+def sorted_by(xs: Column, key: Callable[[Column], Column]) -> Column:
+    """Elements sorted by a key, those of one key in their order."""
+    placed = F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda p: p["x"])
+
+
 def dedup_last(xs: Column) -> Column:
     """Each element once, at its last place."""
     return F.reverse(F.array_distinct(F.reverse(xs)))

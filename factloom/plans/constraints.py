@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Constraint
+from ..schema import Constraint, Rule
 from ..types import Domain, kind, same_kind
 from .recipe import Compiler, sources
 from .rules import strong_edges
@@ -90,6 +90,20 @@ def subset(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.subtract(right)
 
 
+def provided(constraints: Iterable[Constraint], heads: Iterable[str]) -> list[Rule]:
+    """Rules for heads that a subset or equality constraint provides: what has to hold of them is derived instead of asked
+    for. A side that a head isn't alone, as a whole, can't be materialised."""
+    rules, wanted = [], set(heads)
+    for c in constraints:
+        if c.kind in ("subset", "equality"):
+            left, right = c.args[:2]
+            if right in wanted if isinstance(right, str) else False:
+                rules.append(Rule(right, (left,), "+"))
+            if c.kind == "equality" and isinstance(left, str) and left in wanted:
+                rules.append(Rule(left, (right,), "+"))
+    return rules
+
+
 def equality(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side only."""
     return left.subtract(right).union(right.subtract(left))
