@@ -192,6 +192,31 @@ def test_near_copies_are_judged_by_their_shingles(spark):
     assert len(left - set(kept)) <= 3  # by RECALL, few of those above it stay
 
 
+def test_near_copies_in_families(spark, monkeypatch):
+    """Families whose members are about 0.8 similar to each other: what goes by components of exact pairs, planned as for ten
+    million documents too."""
+    rng = random.Random(14)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows = []
+    for _ in range(6):
+        center = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(25):
+            w = list(center)
+            for k in rng.sample(range(300), rng.randint(2, 5)):
+                w[k] = f"v{rng.randrange(10**6)}"
+            rows.append(w)
+    sets = [shingles(w) for w in rows]
+    root = naive_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    stay = {k for k, r in enumerate(root) if r == k}
+    assert 6 <= len(stay) < 100
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    plan = simhash.plan_segments
+    for documents in (None, 10**7):
+        monkeypatch.setattr(simhash, "plan_segments", lambda s, n, documents=documents: plan(s, documents or n))
+        left = {r.doc_id for r in simhash.deduplicate(df).collect()}
+        assert stay <= left and len(left - stay) <= 3
+
+
 @pytest.mark.parametrize("documents", [10**5, 10**7, 3 * 10**8])
 def test_segments_find_pairs_of_a_similarity_at_any_size(documents):
     segments = simhash.plan_segments(0.8, documents)
