@@ -17,16 +17,56 @@ def functional(schema: Schema, noun: str) -> list[FactType]:
     return [f for f in schema.fact_types.values() if f.arity == 2 and f.players[0] == noun and (1,) in f.unique]
 
 
-def layout(schema: Schema) -> dict[str, tuple[str, ...]]:
-    """Tables by name: an entity's table with its functional facts, own tables for facts whose uniqueness is compound."""
+SUBTYPES = ("separate", "absorb", "partition")
+
+
+def home(schema: Schema, noun: str) -> str:
+    """The top supertype of a noun; of several, the first declared."""
+    tops = [n for n in schema.supertypes(noun) if not (schema.object_types[n].supertypes if n in schema.object_types else ())]
+    return next((n for n in schema.object_types if n in tops), noun)
+
+
+def one_to_one(schema: Schema) -> dict[str, str]:
+    """Binaries unique in both roles between two entity types: the noun whose table holds each. A mandatory role leaves no
+    nulls; without one, or with both, the first player has it."""
+    out = {}
+    for f in schema.fact_types.values():
+        if f.arity == 2 and (1,) in f.unique and (2,) in f.unique:
+            out[f.name] = f.players[1] if 2 in f.mandatory and 1 not in f.mandatory else f.players[0]
+    return out
+
+
+def layout(schema: Schema, subtypes: str = "separate") -> dict[str, tuple[str, ...]]:
+    """Tables by name: an entity's table with its functional facts, own tables for facts whose uniqueness is compound.
+
+    subtypes: "separate" gives each subtype with facts of its own a table; "absorb" puts them into the top supertype's, with
+    the subtype itself as a flag; "partition" gives each lowest subtype a table with the columns of all above it.
+    """
+    if subtypes not in SUBTYPES:
+        raise ValueError(f"subtypes is one of {', '.join(SUBTYPES)}")
     out: dict[str, tuple[str, ...]] = {}
-    for noun in dict.fromkeys(p for f in schema.fact_types.values() for p in f.players):
-        columns = tuple(f.name for f in functional(schema, noun))
-        flags = tuple(f.name for f in schema.fact_types.values() if f.players == (noun,))
-        if columns or flags:
-            out[noun] = (noun, *columns, *flags)
+    single = one_to_one(schema)
+    own: dict[str, list[str]] = {}
+    nouns = dict.fromkeys([*(p for f in schema.fact_types.values() for p in f.players), *schema.object_types])
+    for noun in nouns:
+        columns = [f.name for f in functional(schema, noun) if single.get(f.name, noun) == noun]
+        columns += [name for name, holder in single.items() if holder == noun and name not in columns]
+        own[noun] = columns + [f.name for f in schema.fact_types.values() if f.players == (noun,)]
+    for noun, columns in own.items():
+        below = [n for n in schema.object_types if n != noun and noun in schema.supertypes(n)]
+        if subtypes == "absorb":
+            top = home(schema, noun)
+            if columns or top != noun and any(own[n] for n in own if home(schema, n) == top):
+                held = out.get(top, (top,))
+                out[top] = (*held, *([noun] if top != noun else []), *columns)
+        elif subtypes == "partition":
+            above = [c for n in own if n != noun and n in schema.supertypes(noun) for c in own[n]]
+            if not below and (columns or above):
+                out[noun] = (noun, *above, *columns)
+        elif columns:
+            out[noun] = (noun, *columns)
     for f in schema.fact_types.values():
-        if f.arity > 1 and (1,) not in f.unique:
+        if f.arity > 1 and (1,) not in f.unique and f.name not in single:
             out[f.name] = f.players
     return out
 
@@ -91,9 +131,12 @@ def ddl(schema: Schema, dialect: str = "spark") -> list[str]:
             body = [f"{q(name)} {sql_type(name)} NOT NULL"]
             for c in columns[1:]:
                 f = schema.fact_types[c]
-                body.append(f"{q(c)} {sql_type(f.players[1]) if f.arity == 2 else 'BOOLEAN'}{' NOT NULL' if 1 in f.mandatory and f.arity == 2 else ''}")
+                # a one-to-one fact may stand in the table of its second player
+                k = 1 if f.players[0] == name else 2
+                other = f.players[2 - k] if f.arity == 2 else name
+                body.append(f"{q(c)} {sql_type(other) if f.arity == 2 else 'BOOLEAN'}{' NOT NULL' if k in f.mandatory and f.arity == 2 else ''}")
                 if f.arity == 2:
-                    more += ([f"UNIQUE ({q(c)})"] if (2,) in f.unique else []) + (references(c, f.players[1]) if f.players[1] != name else []) + checks(c, f.players[1])
+                    more += ([f"UNIQUE ({q(c)})"] if (3 - k,) in f.unique else []) + (references(c, other) if other != name else []) + checks(c, other)
             if dialect != "spark":
                 body.append(f"PRIMARY KEY ({q(name)})")
         if dialect != "spark":

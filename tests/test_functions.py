@@ -272,3 +272,31 @@ def test_mailbox_filters(spark, tmp_path):
     every = load()
     assert {k: (t.split(), to) for k, (t, to) in every.items()} == {"<1>": (["one"], [("to", "c@d"), ("cc", "e@f")]), "<4>": (["four", "&", "more"], [("to", "e@f")])}
     assert set(load(sender="a@b")) == {"<1>"} and set(load(recipient="e@f")) == {"<1>", "<4>"} and set(load(id="4")) == {"<4>"} and load(sender="a@b", id="4") == {}
+
+
+def test_subtypes_and_one_to_one_facts_in_tables():
+    from factloom.schema import FactType, ObjectType, Schema
+
+    def f(name, a, b, unique, mandatory=()):
+        return name, FactType(name, (a, b), unique=unique, mandatory=mandatory)
+
+    schema = Schema(
+        {"Party": ObjectType("Party"), "Person": ObjectType("Person", supertypes=("Party",)), "Firm": ObjectType("Firm", supertypes=("Party",)), "Desk": ObjectType("Desk"), "Name": ObjectType("Name", False)},
+        dict(
+            [
+                f("PartyHasName", "Party", "Name", ((1,),)),
+                f("PersonBornOn", "Person", "Date", ((1,),)),
+                f("FirmHasTax", "Firm", "Tax", ((1,),)),
+                f("PersonUsesDesk", "Person", "Desk", ((1,), (2,)), (2,)),
+                f("PersonOwnsFirm", "Person", "Firm", ((1, 2),)),
+            ]
+        ),
+    )
+    owns = {"PersonOwnsFirm": ("Person", "Firm")}
+    # each desk is used and not each person has one, so the desk's table has the fact
+    desk = {"Desk": ("Desk", "PersonUsesDesk")}
+    assert rmap.layout(schema) == {"Party": ("Party", "PartyHasName"), "Person": ("Person", "PersonBornOn"), "Firm": ("Firm", "FirmHasTax")} | desk | owns
+    assert rmap.layout(schema, "absorb") == {"Party": ("Party", "PartyHasName", "Person", "PersonBornOn", "Firm", "FirmHasTax")} | desk | owns
+    assert rmap.layout(schema, "partition") == {"Person": ("Person", "PartyHasName", "PersonBornOn"), "Firm": ("Firm", "PartyHasName", "FirmHasTax")} | desk | owns
+    with pytest.raises(ValueError):
+        rmap.layout(schema, "other")
