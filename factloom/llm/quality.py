@@ -139,6 +139,11 @@ def ablation(entries: DataFrame, policy: str | tuple[str, ...] = POLICY) -> Data
     return entries.agg(*aggregates).select(rows.alias("r")).select("r.*")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does to the documents, alone and among the others."""
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
 def filter_documents(docs: DataFrame, policy: str | tuple[str, ...] = POLICY, *, text_col: str = "text") -> DataFrame:
     """docs, all their columns, without what the base rules or the policy reject; each row is judged by its own text."""
     columns = docs.columns

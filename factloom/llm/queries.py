@@ -1,4 +1,8 @@
-"""The queries of the text operators and, where SQL can express one, the same query in DuckDB's SQL."""
+"""The queries of the text operators and, where SQL can express one, the same query in DuckDB's SQL.
+
+DuckDB has no seeded XXH64 (op2), no CRC-32 (op7, op10), neither tokenizer (op9, op10), and no way to say op5's and op8's own
+detections but their hundreds of patterns over again: these are held against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from . import byte_bpe, decontaminate, license_scan, line_dedup, lm_score, pii,
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "quality_ablation": quality.quality_ablation,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_warc": warc.op4_warc,
