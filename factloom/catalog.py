@@ -100,11 +100,12 @@ def flagship(spark, d):
 
 
 def _nations(spark, d, who):
-    t, c = {"s": ("supplier", "s_nationkey"), "c": ("customer", "c_nationkey")}[who]
-    return table(spark, d, t).where(f"{c} % 2 = {0 if who == 's' else 1} or {c} < 5").select(F.col(c).alias("n")).distinct()
+    """Nations of suppliers with much money, or of customers with debts."""
+    t, c, condition = {"s": ("supplier", "s_nationkey", "s_acctbal > 7000"), "c": ("customer", "c_nationkey", "c_acctbal < -900")}[who]
+    return table(spark, d, t).where(condition).select(F.col(c).alias("n")).distinct()
 
 
-_S, _C = "SELECT s_nationkey AS n FROM supplier WHERE s_nationkey % 2 = 0 OR s_nationkey < 5", "SELECT c_nationkey AS n FROM customer WHERE c_nationkey % 2 = 1 OR c_nationkey < 5"
+_S, _C = "SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 7000", "SELECT c_nationkey AS n FROM customer WHERE c_acctbal < -900"
 QUERIES["set_union"] = lambda spark, d: sets.union(_nations(spark, d, "s"), _nations(spark, d, "c"))
 ORACLE["set_union"] = f"{_S} UNION {_C}"
 QUERIES["set_inter"] = lambda spark, d: sets.inter(_nations(spark, d, "s"), _nations(spark, d, "c"))
