@@ -33,7 +33,8 @@ from .support import prepare, table, tidied
 from .token_files import CUT, Store, _groups
 
 LONG = 200
-REMEMBERED = 64 << 20
+#: Bytes of pieces and cuts that a worker remembers.
+REMEMBERED = 128 << 20
 #: Rows of a recursive query at most, about.
 QUERY_ROWS = 1_000_000
 #: Ids that a decoding query takes, about.
@@ -79,6 +80,7 @@ class Codec:
         # a byte b stands as the character 256 + b, so that any bytes are text to the query
         names = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "text": ["".join(chr(256 + b) for b in t) for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM names")
+        self.remembered = REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -153,7 +155,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if self.store.bytes() > REMEMBERED:
+        if self.store.bytes() > self.remembered:
             self.forget()
         index, cuts, first, new = self.store.number(map(CUT.findall, texts))
         if new:
@@ -229,14 +231,15 @@ def decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
 _DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encode and decode again in one pass: id, n_tokens, digests of the ids (little-endian unsigned 32-bit) and of the decoded bytes, and the ids if asked for."""
+def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Encode and decode again in one pass, with so many bytes of pieces remembered by a worker: id, n_tokens, digests of the ids (little-endian unsigned 32-bit) and of the decoded bytes, and the ids if asked for."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
+        codec.remembered = remembered
         for batch in batches:
             for keys, texts in _groups([batch], 2_000_000):
                 ids, lengths = codec.encode(texts)

@@ -164,31 +164,26 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
     differ) of rows of fps with root; near: whether two rows are linked, given prefixes of their
     columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
     merge needn't be found by the many keys; verified: of rows with fp and another named column of fingerprints, those that
-    are linked, where near only bounds that. Rows of keys hold fp alone; the other columns are joined to the rows that are
-    compared.
+    are linked, where near only bounds that. The other columns join those rows of keys that have anything to be compared with.
     """
     spark, more_columns = fps.sparkSession, [c for c in fps.columns if c != "fp"]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wide = bounded(fps, BROADCAST_ROWS // 4) if more_columns else None
 
-    def full(df: DataFrame, prefix: str) -> DataFrame:
-        """df with the other columns of its column <prefix>fp, under that prefix."""
-        if wide is None:
-            return df
-        return df.join(wide.select(F.col("fp").alias(f"{prefix}fp"), *[F.col(c).alias(f"{prefix}{c}") for c in more_columns]), f"{prefix}fp")
+    def full(df: DataFrame) -> DataFrame:
+        """df with the other columns of its fp."""
+        return df if wide is None else df.join(wide, "fp")
 
     def pivoted(shared: DataFrame, roots: DataFrame | None) -> DataFrame | None:
         """roots after every key has linked its members to one of them, several times with another one each."""
         for r in range(ROUNDS):
             rooted = _rooted(shared, roots)
-            pivot = rooted.groupBy("key").agg(F.min_by(F.struct("fp", "root", "side"), F.xxhash64("fp", F.lit(r))).alias("p"))
-            pivot = pivot.select("key", F.col("p.fp").alias("p_fp"), F.col("p.root").alias("p_root"), F.col("p.side").alias("p_side"))
-            pairs = rooted.join(pivot, "key").where((F.col("root") != F.col("p_root")) & _facing("side", "p_side")).select("fp", "root", "p_fp", "p_root")
-            if more_columns:
-                pairs = full(full(pairs.distinct(), ""), "p_")
-            pairs = pairs.where(near("", "p_"))
+            held = ("fp", "root", "side", *more_columns)
+            pivot = rooted.groupBy("key").agg(F.min_by(F.struct(*held), F.xxhash64("fp", F.lit(r))).alias("p"))
+            pivot = pivot.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in held])
+            pairs = rooted.join(pivot, "key").where((F.col("root") != F.col("p_root")) & _facing("side", "p_side") & near("", "p_")).select("fp", "root", "p_fp", "p_root")
             if verified is not None:
-                pairs = verified(pairs.select("fp", "root", "p_fp", "p_root"), "p_fp")
+                pairs = verified(pairs.distinct(), "p_fp")
             # edges are few; as many files as partitions would take more room than they
             edges = kept(pairs.select(F.col("root").alias("a"), F.col("p_root").alias("b")).distinct().coalesce(max(1, partitions // 8)))
             if edges.isEmpty():
@@ -198,13 +193,13 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
             release(spark)
         return roots
 
-    roots = pivoted(kept(hints.withColumn("side", F.lit(None).cast("tinyint"))), None)
+    roots = pivoted(kept(full(hints.withColumn("side", F.lit(None).cast("tinyint")))), None)
     # as many tasks as shuffles have: fingerprints are few and small, their keys many
     keyed = keys(_rooted(fps, roots).repartition(partitions))
     # keys that bring different components together; most have one member
     facing = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     several = kept(facing.where("lo <> hi and (s0 is null or s0 <> s1)").select("key"))
-    shared = written(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "side"), "signatures")
+    shared = written(full(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "side")), "signatures")
     release(spark)
     roots = pivoted(shared, roots)
     # Members that are in different components by now. Of such a pair one at least is outside the component that most of
@@ -212,9 +207,9 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
     rooted = _rooted(shared, roots)
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     main = main.select(F.col("key").alias("m_key"), "main")
-    other = full(rooted.join(main, (F.col("key") == F.col("m_key")) & (F.col("root") != F.col("main"))).drop("m_key", "main"), "")
+    other = rooted.join(main, (F.col("key") == F.col("m_key")) & (F.col("root") != F.col("main")))
     other = other.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "fp", "root", "side", *more_columns)])
-    more = full(rooted, "").join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & _facing("side", "o_side") & near("", "o_"))
+    more = rooted.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & _facing("side", "o_side") & near("", "o_"))
     if verified is not None:
         more = verified(more.select("fp", "root", "o_fp", "o_root").distinct(), "o_fp")
     more = kept(more.select(F.col("root").alias("a"), F.col("o_root").alias("b")).distinct().coalesce(max(1, partitions // 8)))
@@ -263,6 +258,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 #: 64-bit words of a wide fingerprint; least shingle hashes that tell whether a document can have a near copy at all, and how
 #: many of them others have to have; the share of pairs at the threshold that signatures should find.
 WIDE, LEAST, MET, RECALL = 8, 16, 8, 0.97
+#: How often documents are left out of which others don't have enough shingles.
+GATES = 2
 
 
 def bit_rate(similarity: float) -> float:
@@ -369,9 +366,10 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id and component_id, the least id reachable over pairs whose shingle sets are similar.
 
     Pairs are proposed by wide fingerprints (512 bits over the set of shingles) and linked if the sets of their shingles'
-    hashes have that similarity; documents whose wide fingerprints are equal count as alike. Only documents of whose LEAST smallest shingle hashes others have MET or more among theirs are indexed
-    (all they have, if that is fewer): of two documents with a similarity of 0.8, each hash is shared with probability
-    0.8, so fewer than 8 of 16 are in 2 of 1000 such pairs.
+    hashes have that similarity; documents whose wide fingerprints are equal count as alike. Only documents of whose LEAST
+    smallest shingle hashes others have MET or more among theirs are indexed (all they have, if that is fewer): of two
+    documents with a similarity of 0.8, each hash is shared with probability 0.8, so fewer than 8 of 16 are in 2 of 1000
+    such pairs. Of these, only documents are that have 0.8 of their shingles in common with any others, which loses none.
     """
     words = [f"w{k}" for k in range(WIDE)]
     prints = kept(sketches(docs, id_col=id_col, text_col=text_col, size=size).withColumn("fp", F.xxhash64(*words)))
@@ -382,7 +380,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     candidates = classes.join(some, "fp").where(F.col("_met") >= F.least(F.lit(MET), F.ceil(F.size("least") * MET / LEAST)))
     candidates = kept(candidates.select("fp", "th", *words))
     sets = written(shingle_sets(docs, candidates.select("fp", "th"), text_col=text_col, size=size), "shingles")
-    candidates = candidates.drop("th")
+    # two sets of that similarity share it of each: a document with more shingles than the rest that no other has is alone
+    for _ in range(GATES):
+        own = sets.select("fp", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n = 1")
+        alone = own.groupBy("fp").agg(F.count("*").alias("alone"))
+        stay = kept(sets.join(alone, "fp", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.size("shingles") + 1e-9).select("fp"))
+        sets = written(sets.join(bounded(stay, BROADCAST_ROWS), "fp", "left_semi"), "shingles")
+        release(docs.sparkSession)
+    candidates = kept(candidates.drop("th").join(bounded(sets.select("fp"), BROADCAST_ROWS), "fp", "left_semi"))
     hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
 
