@@ -163,7 +163,7 @@ _list_query("ffp_distr", lambda x: F.array_join(F.transform(ffp.distr(x, F.lit(7
 _list_query("ffp_eq_not", lambda x: ffp.negate(ffp.eq(x, ffp.reverse(x))), "xs <> list_reverse(xs)")
 _list_query("ffp_add_sub", lambda x: ffp.sub(ffp.add(ffp.select(1)(x), F.size(x)), F.lit(1)), "(xs[1] + len(xs) - 1)::BIGINT")
 _list_query("ffp_cons", lambda x: _text(ffp.cons(ffp.select(1), ffp.last, ffp.const(5))(x)), "array_to_string([xs[1], xs[-1], 5], ',')")
-_list_query("ffp_while", lambda x: _text(ffp.bounded_while(lambda y: F.size(y) > 2, ffp.tl, 10)(x)), "array_to_string(CASE WHEN len(xs) > 2 THEN xs[len(xs) - 1:] ELSE xs END, ',')")
+_list_query("ffp_while", lambda x: _text(ffp.bounded_while(lambda y: F.size(y) > 2, ffp.tl, 100)(x)), "array_to_string(CASE WHEN len(xs) > 2 THEN xs[len(xs) - 1:] ELSE xs END, ',')")
 _list_query("ffp_compare", lambda x: F.concat_ws(",", *[f(ffp.select(1)(x), F.size(x)).cast("string") for f in (ffp.lt, ffp.le, ffp.gt, ffp.ge)]), "concat_ws(',', (xs[1] < len(xs))::VARCHAR, (xs[1] <= len(xs))::VARCHAR, (xs[1] > len(xs))::VARCHAR, (xs[1] >= len(xs))::VARCHAR)")
 _list_query("ffp_and", lambda x: ffp.conjunction(F.size(x) > 2, F.array_contains(x, 1)), "len(xs) > 2 AND list_contains(xs, 1)")
 _list_query("list_flatten", lambda x: _text(sets.flattened(F.array(x, ffp.reverse(x)))), "array_to_string(list_concat(xs, list_reverse(xs)), ',')")
