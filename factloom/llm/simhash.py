@@ -174,10 +174,11 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
         """df with the other columns of its fp."""
         return df if wide is None else df.join(wide, "fp")
 
-    def pivoted(shared: DataFrame, roots: DataFrame | None) -> DataFrame | None:
-        """roots after every key has linked its members to one of them, several times with another one each."""
-        for r in range(ROUNDS):
-            rooted = _rooted(shared, roots)
+    def pivoted(shared: DataFrame, roots: DataFrame | None, rounds: int) -> DataFrame | None:
+        """roots after every key has linked its members to one of them, so many times with another one each. shared has each
+        member's root."""
+        for r in range(rounds):
+            rooted = written(_rooted(shared.drop("root"), roots), "rooted") if r else shared
             held = ("fp", "root", "side", *more_columns)
             pivot = rooted.groupBy("key").agg(F.min_by(F.struct(*held), F.xxhash64("fp", F.lit(r))).alias("p"))
             pivot = pivot.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in held])
@@ -193,18 +194,19 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
             release(spark)
         return roots
 
-    roots = pivoted(kept(full(hints.withColumn("side", F.lit(None).cast("tinyint")))), None)
+    roots = pivoted(kept(full(hints.withColumns({"root": F.col("fp"), "side": F.lit(None).cast("tinyint")}))), None, ROUNDS)
     # as many tasks as shuffles have: fingerprints are few and small, their keys many
     keyed = keys(_rooted(fps, roots).repartition(partitions))
     # keys that bring different components together; most have one member
     facing = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     several = kept(facing.where("lo <> hi and (s0 is null or s0 <> s1)").select("key"))
-    shared = written(full(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "side")), "signatures")
+    shared = written(full(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "root", "side")), "signatures")
     release(spark)
-    roots = pivoted(shared, roots)
+    # what is left to merge by pivots is little; the exact step below takes it from there
+    roots = pivoted(shared, roots, 1)
     # Members that are in different components by now. Of such a pair one at least is outside the component that most of
     # the key's members are in, so only those are paired with all
-    rooted = _rooted(shared, roots)
+    rooted = written(_rooted(shared.drop("root"), roots), "rooted")
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     main = main.select(F.col("key").alias("m_key"), "main")
     other = rooted.join(main, (F.col("key") == F.col("m_key")) & (F.col("root") != F.col("main")))
