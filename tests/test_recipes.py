@@ -128,3 +128,20 @@ def test_arithmetic_is_exact(spark):
     for row, op, text in ((0, "*", "1"), (1, "-", "0.1")):
         column = Compiler(store.get)(["calc", "t", op, 5, 6]).df.select(printed(F.col("c7")).alias("p")).collect()
         assert column[row].p == text
+
+
+def test_quotients_are_rounded_by_all_their_digits(spark):
+    """The 14th decimal and those after it decide by less than a double can tell; so do halves, of either sign."""
+    from decimal import Decimal, localcontext
+
+    big = 9_223_372_036_854_775_807
+    pairs = [(292070000000000000, 1319), (914530000000000000, 987), (1270860000000000000, 2603), (1, 2**14), (-1, 2**14), (49151, 2**14), (-49151, 2**14), (5, -(2**14)), (big, big - 1), (-big, 3), (big - 1, big), (0, 7)]
+    doubles = [(0.1, 12345678.9), (1e-9, 3e8), (9e18, 7.000000001), (-2.5, 98765432.1), (8e18, 8.5e18), (-0.3, -1e-18), (1.0, 16384.0)]
+    frames = [spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(doubles, "a double, b double")]
+    frames.append(frames[0].selectExpr("a", "double(b) as b").where("abs(b) < 1e15"))
+    for df in frames:
+        with localcontext(prec=80):
+            rows = [[Decimal(repr(x)) for x in r] for r in df.collect()]
+            want = [(x / y).quantize(Decimal(10) ** -13, "ROUND_HALF_UP") for x, y in rows]
+        got = [r[-1] for r in Compiler({"t": relation(df)}.get)(["calc", "t", "/", 1, 2]).df.collect()]
+        assert got == want
