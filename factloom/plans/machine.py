@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..schema import Machine, Transition
 from ..session import kept
 
-#: Events of one entity folded together at most.
-CHUNK = 10_000
+#: Events of one entity folded together at most, and events of a task where they are dealt by ranges.
+CHUNK, PART = 10_000, 200_000
 
 
 def machines(m: Machine) -> list[Machine]:
@@ -125,10 +125,12 @@ def _chunks(events: DataFrame, m: Machine, names: list[str], entity: str, event:
     rows = events.select(F.col(entity).alias("_e"), F.struct(*order, event).alias("_o"), step.alias("_f"))
     most = rows.groupBy("_e").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     if (most[0] or 0) > chunk:
-        parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most[1] // chunk))
-        rows = rows.repartitionByRange(parts, "_e", "_o").withColumn("_c", F.spark_partition_id())
+        parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most[1] // PART))
+        rows = rows.repartitionByRange(parts, "_e", "_o").sortWithinPartitions("_e", "_o")
+        # ids rise with the partition, then with the row; those of different partitions lie far apart
+        rows = rows.withColumn("_c", F.call_function("div", F.monotonically_increasing_id(), F.lit(chunk)))
     else:
-        rows = rows.withColumn("_c", F.lit(0))
+        rows = rows.withColumn("_c", F.lit(0).cast("bigint"))
     return rows.groupBy("_e", "_c").agg(F.array_sort(F.collect_list(F.struct("_o", "_f"))).alias("_x"))
 
 
@@ -184,7 +186,7 @@ def history(events: DataFrame, m: Machine, *, entity: str, event: str, order: li
     begin = names.index(leaf(m, m.start()))
     chunks = kept(_chunks(events, m, names, entity, event, order, guards, chunk))
     parts = chunks.select("_e", F.struct("_c", _composed(F.transform("_x", lambda x: x["_f"]), len(names)).alias("_f")).alias("p"))
-    zero = F.struct(F.lit(begin).alias("at"), F.array().cast("array<struct<c:int,at:int>>").alias("path"))
+    zero = F.struct(F.lit(begin).alias("at"), F.array().cast("array<struct<c:bigint,at:int>>").alias("path"))
 
     def enter(acc, p):
         return F.struct(F.element_at(p["_f"], acc["at"] + 1).alias("at"), F.array_append(acc["path"], F.struct(p["_c"].alias("c"), acc["at"].alias("at"))).alias("path"))

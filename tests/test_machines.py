@@ -131,3 +131,16 @@ def test_one_entity_with_most_events(spark):
     assert rows(mach.fold(ev, USER, entity="u", event="k", order=["t"], chunk=50)) == whole
     one = rows(mach.history(ev, USER, entity="u", event="k", order=["t"], chunk=10**6))
     assert rows(mach.history(ev, USER, entity="u", event="k", order=["t"], chunk=40)) == one and len(one) == 4000
+
+
+def test_small_chunks_make_no_more_tasks(spark):
+    """Chunks are cut inside of tasks: so many tasks as there are chunks would never end on a large table."""
+    import re
+
+    ev = spark.range(20000).selectExpr("if(id % 4 = 0, id % 97, -1) as u", "id as t", "element_at(array('signup','view','click','purchase','error'), int(pmod(hash(id), 5)) + 1) as k")
+    out = mach.fold(ev, USER, entity="u", event="k", order=["t"], chunk=5)
+    dealt = re.findall(r"rangepartitioning\(.*?, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and max(map(int, dealt)) <= 4
+    assert rows(out) == rows(mach.fold(ev, USER, entity="u", event="k", order=["t"]))
+    chunks = mach._chunks(ev, USER, mach.statuses(USER), "u", "k", ["t"], None, 5).selectExpr("size(_x) as n")
+    assert chunks.selectExpr("max(n)", "sum(n)").first() == (5, 20000)
