@@ -44,8 +44,9 @@ DISTANCE = 4
 ROUNDS = 2
 SEED = 42
 _CHUNK = 1 << 14
-#: Rows of ids that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows of ids that may be broadcast; for similar(), whose dozens of joins follow other stages in one driver: each passes
+#: through its heap as rows, as a table and as blocks, and stays there for a while.
+BROADCAST_ROWS, SIMILAR_ROWS = 500_000, 50_000
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -157,18 +158,18 @@ def _facing(a: str, b: str) -> Column:
     return F.col(a).isNull() | (F.col(a) != F.col(b))
 
 
-def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hints: DataFrame, verified: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hints: DataFrame, verified: Callable[[DataFrame, str], DataFrame] | None = None, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Components of distinct fingerprints: fp and root, for those that have a link to another one.
 
     fps: fp (distinct longs) and whatever else near reads; keys: gives fp, root, key and side (null, or a byte that has to
     differ) of rows of fps with root; near: whether two rows are linked, given prefixes of their
     columns; hints: (key, fp) rows whose keys are cheap and bring many linked fingerprints together, so that what they
     merge needn't be found by the many keys; verified: of rows with fp and another named column of fingerprints, those that
-    are linked, where near only bounds that. The other columns join those rows of keys that have anything to be compared with.
+    are linked, where near only bounds that; most_rows: rows that may be broadcast. The other columns join those rows of keys that have anything to be compared with.
     """
     spark, more_columns = fps.sparkSession, [c for c in fps.columns if c != "fp"]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = bounded(fps, BROADCAST_ROWS // 4) if more_columns else None
+    wide = bounded(fps, most_rows // 4) if more_columns else None
 
     def full(df: DataFrame) -> DataFrame:
         """df with the other columns of its fp."""
@@ -178,7 +179,7 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
         """roots after every key has linked its members to one of them, so many times with another one each. shared has each
         member's root."""
         for r in range(rounds):
-            rooted = written(_rooted(shared.drop("root"), roots), "rooted") if r else shared
+            rooted = written(_rooted(shared.drop("root"), roots, most_rows), "rooted") if r else shared
             held = ("fp", "root", "side", *more_columns)
             pivot = rooted.groupBy("key").agg(F.min_by(F.struct(*held), F.xxhash64("fp", F.lit(r))).alias("p"))
             pivot = pivot.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in held])
@@ -196,17 +197,17 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
 
     roots = pivoted(kept(full(hints.withColumns({"root": F.col("fp"), "side": F.lit(None).cast("tinyint")}))), None, ROUNDS)
     # as many tasks as shuffles have: fingerprints are few and small, their keys many
-    keyed = keys(_rooted(fps, roots).repartition(partitions))
+    keyed = keys(_rooted(fps, roots, most_rows).repartition(partitions))
     # keys that bring different components together; most have one member
     facing = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     several = kept(facing.where("lo <> hi and (s0 is null or s0 <> s1)").select("key"))
-    shared = written(full(keyed.join(bounded(several, BROADCAST_ROWS), "key").select("key", "fp", "root", "side")), "signatures")
+    shared = written(full(keyed.join(bounded(several, most_rows), "key").select("key", "fp", "root", "side")), "signatures")
     release(spark)
     # what is left to merge by pivots is little; the exact step below takes it from there
     roots = pivoted(shared, roots, 1)
     # Members that are in different components by now. Of such a pair one at least is outside the component that most of
     # the key's members are in, so only those are paired with all
-    rooted = written(_rooted(shared.drop("root"), roots), "rooted")
+    rooted = written(_rooted(shared.drop("root"), roots, most_rows), "rooted")
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     main = main.select(F.col("key").alias("m_key"), "main")
     other = rooted.join(main, (F.col("key") == F.col("m_key")) & (F.col("root") != F.col("main")))
@@ -220,11 +221,11 @@ def links(fps: DataFrame, keys: Callable[[DataFrame], DataFrame], near: Callable
     return roots.select("fp", "root")
 
 
-def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(shared: DataFrame, roots: DataFrame | None, most_rows: int) -> DataFrame:
     """shared with the root of each fp, itself where it has none."""
     if roots is None:
         return shared.withColumn("root", F.col("fp"))
-    return shared.join(bounded(roots, BROADCAST_ROWS), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return shared.join(bounded(roots, most_rows), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -239,11 +240,11 @@ def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return kept(moved.unionByName(fresh).coalesce(files))
 
 
-def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _placed(classes: DataFrame, roots: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """classes (fp, class_id) with component_id, the least class_id of all that have its root; most have none."""
     least = kept(classes.select("fp", "class_id").join(roots, "fp").groupBy("root").agg(F.min("class_id").alias("component_id")))
-    linked = kept(roots.join(bounded(least, BROADCAST_ROWS), "root").select("fp", "component_id"))
-    return classes.join(bounded(linked, BROADCAST_ROWS), "fp", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    linked = kept(roots.join(bounded(least, most_rows), "root").select("fp", "component_id"))
+    return classes.join(bounded(linked, most_rows), "fp", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -349,10 +350,12 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataF
     return source.mapInArrow(lambda b: tidied(run(b)), f"_id {source.schema['_id'].dataType.simpleString()}, th long, " + ", ".join(f"w{k} long" for k in range(WIDE)) + ", least array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, size: int) -> DataFrame:
-    """fp and shingles (the hashes of all its shingles, each once) of wanted documents (fp, th: the hash of a text)."""
-    texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("th"))
-    source = texts.join(bounded(wanted, BROADCAST_ROWS), "th").dropDuplicates(["fp"]).select("fp", "_text")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """fp and shingles (the hashes of all its shingles, each once) of wanted documents (fp, th: the hash of a text, at_id: the
+    id of a row that has it, by which copies of a text are dealt over tasks where the join shuffles)."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_th"))
+    met = (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("at_id"))
+    source = texts.join(bounded(wanted, SIMILAR_ROWS), met).dropDuplicates(["fp"]).select("fp", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,35 +378,35 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     words = [f"w{k}" for k in range(WIDE)]
     prints = kept(sketches(docs, id_col=id_col, text_col=text_col, size=size).withColumn("fp", F.xxhash64(*words)))
-    classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in (*words, "least")]))
+    classes = kept(prints.groupBy("fp").agg(F.min("_id").alias("class_id"), F.min(F.struct("th", "_id")).alias("at"), *[F.first(c).alias(c) for c in (*words, "least")]))
     least = classes.select("fp", F.explode("least").alias("h"))
     met = least.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("h")
     some = least.join(met, "h", "left_semi").groupBy("fp").agg(F.count("*").alias("_met"))
     candidates = classes.join(some, "fp").where(F.col("_met") >= F.least(F.lit(MET), F.ceil(F.size("least") * MET / LEAST)))
-    candidates = kept(candidates.select("fp", "th", *words))
-    sets = written(shingle_sets(docs, candidates.select("fp", "th"), text_col=text_col, size=size), "shingles")
+    candidates = kept(candidates.select("fp", F.col("at.th").alias("th"), F.col("at._id").alias("at_id"), *words))
+    sets = written(shingle_sets(docs, candidates.select("fp", "th", "at_id"), id_col=id_col, text_col=text_col, size=size), "shingles")
     # two sets of that similarity share it of each: a document with more shingles than the rest that no other has is alone
     for _ in range(GATES):
         own = sets.select("fp", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n = 1")
         alone = own.groupBy("fp").agg(F.count("*").alias("alone"))
         stay = kept(sets.join(alone, "fp", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.size("shingles") + 1e-9).select("fp"))
-        sets = written(sets.join(bounded(stay, BROADCAST_ROWS), "fp", "left_semi"), "shingles")
+        sets = written(sets.join(bounded(stay, SIMILAR_ROWS), "fp", "left_semi"), "shingles")
         release(docs.sparkSession)
-    candidates = kept(candidates.drop("th").join(bounded(sets.select("fp"), BROADCAST_ROWS), "fp", "left_semi"))
+    candidates = kept(candidates.drop("th", "at_id").join(bounded(sets.select("fp"), SIMILAR_ROWS), "fp", "left_semi"))
     hints = least.join(met, "h", "left_semi").join(candidates.select("fp"), "fp", "left_semi").select(F.col("h").alias("key"), "fp")
     segments, most = plan_segments(similarity, candidates.count()), most_bits(similarity)
 
     def near(a: str, b: str) -> Column:
         return F.expr(" + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) + f" <= {most}")
 
-    few = bounded(sets, BROADCAST_ROWS // 4, 8 * F.size("shingles"))
+    few = bounded(sets, SIMILAR_ROWS // 4, 8 * F.size("shingles"))
 
     def verified(pairs: DataFrame, other: str) -> DataFrame:
         rows = pairs.join(few.select("fp", F.col("shingles").alias("_a")), "fp").join(few.select(F.col("fp").alias(other), F.col("shingles").alias("_b")), other)
         both = F.size(F.array_intersect("_a", "_b"))
         return rows.where(both / (F.size("_a") + F.size("_b") - both) >= similarity).drop("_a", "_b")
 
-    placed = kept(_placed(classes.select("fp", "class_id"), links(candidates, lambda rows: segment_keys(rows, segments), near, hints, verified)).select("fp", "component_id"))
+    placed = kept(_placed(classes.select("fp", "class_id"), links(candidates, lambda rows: segment_keys(rows, segments), near, hints, verified, SIMILAR_ROWS), SIMILAR_ROWS).select("fp", "component_id"))
     return prints.join(placed, "fp").select(F.col("_id").alias(id_col), "component_id")
 
 
@@ -417,7 +420,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # an id that is the least of one component may be in another one too, by a row that repeats it
     stays = found.where(own).select(F.col("_own").alias("_stay")).distinct()
     gone = kept(found.where(~own).select("_own").distinct().join(stays, F.col("_own").eqNullSafe(F.col("_stay")), "left_anti"))
-    left = packed.join(bounded(gone, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_own")), "left_anti")
+    left = packed.join(bounded(gone, SIMILAR_ROWS), F.col("_id").eqNullSafe(F.col("_own")), "left_anti")
     unique = packed.groupBy("_id").count().where("count > 1").isEmpty()
     left = left if unique else left.dropDuplicates(["_id", "_text"])
     return left.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])

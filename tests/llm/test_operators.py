@@ -192,6 +192,24 @@ def test_near_copies_are_judged_by_their_shingles(spark):
     assert len(left - set(kept)) <= 3  # by RECALL, few of those above it stay
 
 
+def test_near_copies_with_small_broadcasts_or_none(spark, monkeypatch):
+    """What goes through the driver is bounded below what would fill it, and joins that shuffle give the same."""
+    import random
+
+    rnd, texts = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join([*words[:-2], "other", "end"]), " ".join(words)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, texts[-1] + " more"), (5, texts[5]), (5, texts[9])], "doc_id long, text string")
+    asked, bounded = [], simhash.bounded
+    monkeypatch.setattr(simhash, "bounded", lambda side, n, *more: asked.append(n) or bounded(side, n, *more))
+    left = sorted(tuple(r) for r in simhash.deduplicate(df).collect())
+    assert max(asked) <= 50_000
+    monkeypatch.setattr(simhash, "bounded", lambda side, *_: side)
+    assert sorted(tuple(r) for r in simhash.deduplicate(df).collect()) == left
+    assert {r[0] for r in left} == set(range(0, 36, 3)) - {9} | {5}
+
+
 def test_near_copies_in_families(spark, monkeypatch):
     """Families whose members are about 0.8 similar to each other: what goes by components of exact pairs, planned as for ten
     million documents too."""
