@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +100,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Ask the driver to drop what nothing refers to any more, so that executors can delete the shuffle files of finished
     rounds; Spark does so only after the driver's garbage is collected, which it may not need for a long time. The last
-    query's plan is held until another one runs."""
+    query's plan is held until another one runs. Then the driver gives back what its hundreds of threads have freed outside
+    the heap, which glibc keeps for each of them."""
     spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Give the free native memory of the driver's JVM back to the system; whether the JVM can (on Linux, from 17.0.9 on)."""
+    jvm = spark.sparkContext._jvm
+    arguments = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # the last two stay null
+    try:
+        arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class is not public, so its method is taken from the interface
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JError:
+        return False
+    return True
 
 
 #: Bytes of arrays and texts in the rows of a side that is broadcast.

@@ -855,3 +855,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == {i: own.encode_ordinary(t) for i, t in clean.items()}
+
+
+def test_release_gives_native_memory_back(spark, monkeypatch):
+    """The driver's JVM can be asked to, and release() does so after its garbage is collected."""
+    from factloom.llm import support
+
+    assert support.trimmed(spark)
+    calls = []
+    monkeypatch.setattr(support, "trimmed", lambda s: calls.append(s))
+    support.release(spark)
+    assert calls == [spark]
